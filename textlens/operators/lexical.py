@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlens.functions.scoring import percent_of, safe_ratio
-from textlens.operators.ranking import exact_median, top_k
+from textlens.operators.ranking import first_rows, top_k, weighted_median
+from textlens.session import settle
 
 # A rate of zero is replaced by this before dividing (fixed value).
 RATE_FLOOR = 1e-6
@@ -29,14 +30,17 @@ def explode_ngrams(
     code; the joined string is made once per row and no array of strings is built.
     """
     keep = list(keep)
+    if "text" in tokens.columns:
+        # Known before tokenising, so rows without a text are dropped at the scan. A
+        # condition on the tokens would be pushed there too, and tokenise twice.
+        tokens = tokens.filter(F.col("text").isNotNull())
     if n == 1:
         return tokens.select(*keep, F.explode("tokens").alias(term))
-    size = F.size("tokens")
     parts = [f"_w{i}" for i in range(n)]
-    shifted = tokens.filter(size >= n).select(
+    shifted = tokens.select(
         *keep,
         F.col("tokens").alias(parts[0]),
-        *[F.slice("tokens", F.lit(i + 1), size).alias(parts[i]) for i in range(1, n)],
+        *[F.slice("tokens", F.lit(i + 1), F.size("tokens")).alias(parts[i]) for i in range(1, n)],
     )
     rows = shifted.select(*keep, F.inline(F.arrays_zip(*parts)))
     # The shorter slices are padded with nulls: those are the incomplete tails.
@@ -74,10 +78,11 @@ def class_term_counts(
     )
 
 
-def _top_terms(counts: DataFrame, k: int) -> DataFrame:
+def _top_terms(counts: DataFrame, k: int, carry: Sequence[str] = ()) -> DataFrame:
     """Top-k terms per class as (y, rank, term, n), count descending, term ascending."""
     per_class = counts.select(
         "term",
+        *carry,
         F.inline(
             F.array(
                 F.struct(F.lit(1).alias("y"), F.col("n_pos").alias("n")),
@@ -86,7 +91,7 @@ def _top_terms(counts: DataFrame, k: int) -> DataFrame:
         ),
     ).filter(F.col("n") > 0)
     return top_k(per_class, k, ["y"], [F.col("n").desc(), F.col("term").asc()]).select(
-        "y", "rank", "term", "n"
+        "y", "rank", "term", "n", *carry
     )
 
 
@@ -134,27 +139,31 @@ def _with_rates(counts: DataFrame, examples: DataFrame) -> DataFrame:
 
 
 def ngram_rates(
-    tokens: DataFrame, vocabulary: DataFrame | Sequence[str], n: int = 3
+    tokens: DataFrame,
+    vocabulary: DataFrame | Sequence[str],
+    n: int = 3,
+    examples: DataFrame | None = None,
 ) -> DataFrame:
     """Counts and occurrences per 100 documents of given n-grams in either class."""
-    return _with_rates(restrict_to_vocabulary(tokens, vocabulary, n), tokens)
+    return _with_rates(restrict_to_vocabulary(tokens, vocabulary, n), tokens if examples is None else examples)
 
 
 def ngram_enrichment(
-    tokens: DataFrame, n: int = 3, top: int = 8, floor: float = RATE_FLOOR
+    tokens: DataFrame,
+    n: int = 3,
+    top: int = 8,
+    floor: float = RATE_FLOOR,
+    examples: DataFrame | None = None,
 ) -> DataFrame:
     """The positive class's most frequent n-grams with their rate in either class.
 
     Both counts of a term are in one row, so the ranking needs no second scan and no
-    join. ``orderBy().limit()`` keeps ``top`` rows per task.
+    join; each task keeps ``top`` rows. ``examples`` gives the class sizes where a
+    narrower plan than that of ``tokens`` has the same rows.
     """
-    counts = class_term_counts(tokens, n)
-    best = (
-        counts.filter(F.col("n_pos") > 0)
-        .orderBy(F.col("n_pos").desc(), F.col("term").asc())
-        .limit(top)
-    )
-    rated = _with_rates(best, tokens)
+    counts = class_term_counts(tokens, n).filter(F.col("n_pos") > 0)
+    best = first_rows(counts, top, [F.col("n_pos").desc(), F.col("term").asc()])
+    rated = _with_rates(best, tokens if examples is None else examples)
     divisor = F.when(F.col("rate_neg") == 0, F.lit(floor)).otherwise(F.col("rate_neg"))
     return rated.withColumn("ratio", F.col("rate_pos") / divisor)
 
@@ -171,22 +180,33 @@ def stop_word_share(stop_words: Sequence[str], tokens: str = "tokens") -> Column
 def stop_word_density(tokens: DataFrame, stop_words: Sequence[str]) -> DataFrame:
     """Mean, exact median and population deviation of the stop-word share per class.
 
-    Also the class's mean minus the other class's mean, in percentage points.
+    Also the positive mean minus the negative mean, in percentage points. Documents per
+    distinct share are counted in one pass over the texts; all figures come from there.
     """
-    density = tokens.select(
-        "y", stop_word_share(stop_words).alias("density")
-    ).filter(F.col("density").isNotNull())
-    moments = density.groupBy("y").agg(
-        F.count("*").alias("n_docs"),
-        F.avg("density").alias("mean_density"),
-        F.stddev_pop("density").alias("std_density"),
+    counts = (
+        tokens.select("y", stop_word_share(stop_words).alias("density"))
+        .groupBy("y", "density")
+        .agg(F.count("*").alias("n"))
+        .filter(F.col("density").isNotNull())
     )
-    both = density.agg(
-        F.avg(F.when(F.col("y") == 1, F.col("density"))).alias("pos"),
-        F.avg(F.when(F.col("y") == 0, F.col("density"))).alias("neg"),
+    counts = settle(counts)
+    n, share = F.col("n"), F.col("density")
+    sums = counts.groupBy("y").agg(
+        F.sum(n).alias("n_docs"),
+        F.sum(n * share).alias("_sum"),
+        F.sum(n * share * share).alias("_squares"),
     )
-    difference = both.select((F.col("pos") - F.col("neg")).alias("d")).scalar()
-    medians = exact_median(density, "density", ["y"])
+    mean = safe_ratio("_sum", "n_docs")
+    variance = F.greatest(safe_ratio("_squares", "n_docs") - mean * mean, F.lit(0.0))
+    moments = sums.select(
+        "y", "n_docs", mean.alias("mean_density"), F.sqrt(variance).alias("std_density")
+    )
+
+    def of_class(y: int) -> Column:
+        return F.max(F.when(F.col("y") == y, F.col("mean_density")))
+
+    difference = moments.agg((of_class(1) - of_class(0)).alias("d")).scalar()
+    medians = weighted_median(counts, "density", "n", ["y"])
     return moments.join(medians, "y").select(
         "y",
         "n_docs",
@@ -198,28 +218,34 @@ def stop_word_density(tokens: DataFrame, stop_words: Sequence[str]) -> DataFrame
 
 
 def top_content_words(
-    tokens: DataFrame, stop_words: Sequence[str], k: int = 20
+    tokens: DataFrame,
+    stop_words: Sequence[str],
+    k: int = 20,
+    examples: DataFrame | None = None,
 ) -> DataFrame:
     """Top-k words per class without stop words, with occurrences per 100 documents."""
     ranked = _top_terms(class_term_counts(tokens, 1, stop_words), k)
-    size_pos, size_neg = _size_columns(tokens)
+    size_pos, size_neg = _size_columns(tokens if examples is None else examples)
     size = F.when(F.col("y") == 1, size_pos).otherwise(size_neg)
     return ranked.withColumn("pct", percent_of("n", size))
 
 
 def distinctive_words(
-    tokens: DataFrame, stop_words: Sequence[str], k: int = 20, floor: float = RATE_FLOOR
+    tokens: DataFrame,
+    stop_words: Sequence[str],
+    k: int = 20,
+    floor: float = RATE_FLOOR,
+    examples: DataFrame | None = None,
 ) -> DataFrame:
     """Positive top-k words, their rates, and whether the negative top-k lacks them."""
     counts = class_term_counts(tokens, 1, stop_words)
-    tops = _top_terms(counts, k)
-    # At most 2k rows from here on.
-    listed = tops.groupBy("term").agg(
+    # Both counts travel with a term's rank, so its rates need no second look-up.
+    tops = _top_terms(counts, k, carry=("n_pos", "n_neg"))
+    listed = tops.groupBy("term", "n_pos", "n_neg").agg(
         F.max(F.when(F.col("y") == 1, F.col("rank"))).alias("rank"),
         F.max(F.when(F.col("y") == 0, F.col("rank"))).alias("_rank_neg"),
     )
-    positive = listed.filter(F.col("rank").isNotNull())
-    rated = _with_rates(positive.join(counts, "term"), tokens)
+    rated = _with_rates(listed.filter(F.col("rank").isNotNull()), tokens if examples is None else examples)
     divisor = F.when(F.col("rate_neg") == 0, F.lit(floor)).otherwise(F.col("rate_neg"))
     return rated.select(
         "rank",
@@ -238,17 +264,17 @@ def term_weights(
 ) -> DataFrame:
     """Top terms per class with weight = count / largest count of the class."""
     ranked = _top_terms(class_term_counts(tokens, 1, stop_words), max_terms)
-    largest = ranked.filter(F.col("rank") == 1).select("y", F.col("n").alias("_top"))
-    # Two rows, one per class.
-    return ranked.join(F.broadcast(largest), "y").select(
-        "y", "rank", "term", "n", safe_ratio("n", "_top").alias("weight")
-    )
+    # 2 * max_terms rows.
+    largest = F.max("n").over(Window.partitionBy("y"))
+    return ranked.withColumn("weight", safe_ratio("n", largest))
 
 
-def ngram_table_side_by_side(tokens: DataFrame, n: int = 2, k: int = 10) -> DataFrame:
+def ngram_table_side_by_side(
+    tokens: DataFrame, n: int = 2, k: int = 10, examples: DataFrame | None = None
+) -> DataFrame:
     """Rank-aligned n-grams of both classes; a shorter list leaves nulls."""
     ranked = top_ngrams(tokens, n, k)
-    size_pos, size_neg = _size_columns(tokens)
+    size_pos, size_neg = _size_columns(tokens if examples is None else examples)
 
     def of(y: int, column: str) -> Column:
         return F.max(F.when(F.col("y") == y, F.col(column)))

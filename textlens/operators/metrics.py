@@ -14,7 +14,8 @@ from textlens.functions.scoring import (
     quadrant,
     safe_ratio,
 )
-from textlens.operators.ranking import prefix_sums
+from textlens.operators.ranking import first_rows, prefix_sums
+from textlens.session import settle
 
 
 def _counts(y: str = "y", pred: str = "pred") -> list[Column]:
@@ -120,7 +121,7 @@ def score_totals(scored: DataFrame) -> DataFrame:
 
 
 def _ranked_scores(scored: DataFrame) -> DataFrame:
-    return prefix_sums(score_totals(scored), "score", ["n", "pos"])
+    return prefix_sums(settle(score_totals(scored)), "score", ["n", "pos"])
 
 
 def pr_curve(scored: DataFrame) -> DataFrame:
@@ -260,8 +261,8 @@ def sort_by_metric(table: DataFrame, metric: str, *keys: str) -> DataFrame:
 
 def worst_groups(by_group: DataFrame, by_label: DataFrame, column: str = "keyword") -> DataFrame:
     """The group with most missed positives and the label with the highest miss rate."""
-    group = sort_by_metric(by_group, "fn", column).limit(1)
-    label = sort_by_metric(by_label, "miss_rate", "label").limit(1)
+    group = first_rows(by_group, 1, [F.col("fn").desc(), F.col(column).asc()])
+    label = first_rows(by_label, 1, [F.col("miss_rate").desc(), F.col("label").asc()])
     return group.select(
         F.lit("group").alias("kind"),
         F.col(column).alias("name"),
@@ -360,11 +361,8 @@ def threshold_sweep(
     fallback: float = 0.5,
 ) -> DataFrame:
     """The smallest threshold with the best F1; the fallback when F1 is never positive."""
-    best = (
-        threshold_grid(scored, lo, hi, step)
-        .orderBy(F.col("f1").desc(), F.col("threshold").asc())
-        .limit(1)
-    )
+    grid = threshold_grid(scored, lo, hi, step)
+    best = first_rows(grid, 1, [F.col("f1").desc(), F.col("threshold").asc()])
     return best.select(
         F.when(F.col("f1") > 0, F.col("threshold")).otherwise(F.lit(float(fallback))).alias("threshold"),
         "f1",
@@ -377,22 +375,20 @@ def relative_improvement(metrics: DataFrame, baseline: float) -> DataFrame:
     return metrics.select("f1", F.lit(float(baseline)).alias("baseline"), gain.alias("improvement"))
 
 
+def _hardest(scored: DataFrame, y: int, pred: int, k: int, by_score) -> DataFrame:
+    wrong = scored.filter((F.col("y") == y) & (F.col("pred") == pred))
+    columns = wrong.select("id", "keyword", "score", "text")
+    return first_rows(columns, k, [by_score, F.col("id").asc()])
+
+
 def hardest_false_positives(scored: DataFrame, k: int = 10) -> DataFrame:
-    wrong = scored.filter((F.col("y") == 0) & (F.col("pred") == 1))
-    return (
-        wrong.orderBy(F.col("score").desc(), F.col("id").asc())
-        .limit(k)
-        .select("id", "keyword", "score", "text")
-    )
+    """Wrongly accepted rows with the highest scores."""
+    return _hardest(scored, 0, 1, k, F.col("score").desc())
 
 
 def hardest_false_negatives(scored: DataFrame, k: int = 10) -> DataFrame:
-    wrong = scored.filter((F.col("y") == 1) & (F.col("pred") == 0))
-    return (
-        wrong.orderBy(F.col("score").asc(), F.col("id").asc())
-        .limit(k)
-        .select("id", "keyword", "score", "text")
-    )
+    """Missed positives with the lowest scores."""
+    return _hardest(scored, 1, 0, k, F.col("score").asc())
 
 
 def multilabel_metrics(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
@@ -18,6 +19,7 @@ from textlens.functions.scoring import decide, sigmoid
 from textlens.functions.text import WORD_PATTERN
 from textlens.operators.lexical import class_sizes, class_term_counts
 from textlens.operators.metrics import ensemble_mean
+from textlens.session import settle
 
 
 def text_features(num_features: int = 1 << 18, text: str = "text") -> list:
@@ -141,9 +143,19 @@ def score_batches(
 HOT_TERMS = 10_000
 
 
-def naive_bayes_weights(tokens: DataFrame, alpha: float = 1.0) -> DataFrame:
-    """Smoothed log-odds per term of the training texts: (term, log_odds, hot)."""
-    counts = class_term_counts(tokens)
+@dataclass(frozen=True)
+class NaiveBayes:
+    """``weights`` is (term, log_odds, hot); ``prior`` a one-row table with the log-odds."""
+
+    weights: DataFrame
+    prior: DataFrame
+
+
+def train_naive_bayes(
+    tokens: DataFrame, alpha: float = 1.0, examples: DataFrame | None = None
+) -> NaiveBayes:
+    """Multinomial naive Bayes: smoothed log-odds per term from one pass over the texts."""
+    counts = settle(class_term_counts(tokens))
     totals = counts.agg(
         F.struct(
             F.sum("n_pos").alias("pos"), F.sum("n_neg").alias("neg"), F.count("*").alias("terms")
@@ -152,26 +164,24 @@ def naive_bayes_weights(tokens: DataFrame, alpha: float = 1.0) -> DataFrame:
     pos = (F.col("n_pos") + alpha) / (totals["pos"] + totals["terms"] * F.lit(alpha))
     neg = (F.col("n_neg") + alpha) / (totals["neg"] + totals["terms"] * F.lit(alpha))
     share = (F.col("n_pos") + F.col("n_neg")) * F.lit(HOT_TERMS)
-    return counts.select(
+    weights = counts.select(
         "term",
         (F.log(pos) - F.log(neg)).alias("log_odds"),
         (share >= totals["pos"] + totals["neg"]).alias("hot"),
     )
+    odds = (F.col("size_pos") + F.lit(alpha)) / (F.col("size_neg") + F.lit(alpha))
+    prior = class_sizes(tokens if examples is None else examples).select(F.log(odds).alias("log_odds"))
+    return NaiveBayes(weights, prior)
 
 
-def naive_bayes_scores(
-    training: DataFrame, documents: DataFrame, alpha: float = 1.0, model_id: str = "nb"
-) -> DataFrame:
-    """(id, model_id, score): multinomial naive Bayes as aggregations and joins.
+def naive_bayes_scores(model: NaiveBayes, documents: DataFrame, model_id: str = "nb") -> DataFrame:
+    """(id, model_id, score, log_odds) of tokenised documents.
 
     Terms not seen in training are ignored. Hot terms, which are most occurrences, meet
     their weight in a broadcast join and are summed per document before any shuffle;
     only the rare rest is shuffled by term, where no key is hot.
     """
-    weights = naive_bayes_weights(training, alpha)
-    sizes = class_sizes(training).select(F.struct("size_pos", "size_neg")).scalar()
-    prior = F.log((sizes["size_pos"] + F.lit(alpha)) / (sizes["size_neg"] + F.lit(alpha)))
-
+    weights = model.weights
     hot = F.broadcast(weights.filter("hot").select("term", "log_odds"))
     cold = weights.filter(~F.col("hot")).select("term", "log_odds")
     occurrences = documents.select("id", F.explode("tokens").alias("term"))
@@ -184,9 +194,10 @@ def naive_bayes_scores(
     # Every document takes part, also one without a known term.
     base = documents.select("id", F.lit(0.0).alias("log_odds"))
     parts = reduce(lambda a, b: a.unionByName(b), [of_hot, of_cold, base])
-    summed = parts.groupBy("id").agg(F.sum("log_odds").alias("_sum"))
+    prior = model.prior.scalar()
+    summed = parts.groupBy("id").agg((F.sum("log_odds") + prior).alias("log_odds"))
     return summed.select(
-        "id", F.lit(model_id).alias("model_id"), sigmoid(F.col("_sum") + prior).alias("score")
+        "id", F.lit(model_id).alias("model_id"), sigmoid("log_odds").alias("score"), "log_odds"
     )
 
 

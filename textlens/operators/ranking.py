@@ -13,9 +13,14 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textlens.session import settle
+
 _BUCKET = "_bucket"
 _SORT_VALUE = "_bucket_value"
 
+# The bounds of this many buckets fit any driver and any plan.
+_MAX_BUCKETS = 1024
+
 
 def top_k(
     df: DataFrame,
@@ -45,6 +50,15 @@ def top_k(
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
 
 
+def first_rows(df: DataFrame, k: int, order: Sequence) -> DataFrame:
+    """The first k rows under a total order: each task keeps k rows, one merges them.
+
+    Stated as a rank, not as a limit, because a projection that the optimizer moves
+    between a limit and its sort turns the pair into a full sort.
+    """
+    return top_k(df, k, [], order, "_rank").drop("_rank")
+
+
 def _slots(df: DataFrame) -> int:
     return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
@@ -57,7 +71,7 @@ def _bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
     """
     valued = df.withColumn(_SORT_VALUE, F.col(key).cast("double"))
     shares = [i / buckets for i in range(1, buckets)]
-    bounds = valued.approxQuantile(_SORT_VALUE, shares, 1.0 / (4 * buckets)) if shares else []
+    bounds = valued.approxQuantile(_SORT_VALUE, shares, 1.0 / (2 * buckets)) if shares else []
     inner = sorted(set(bounds))
     if not inner:
         return valued.withColumn(_BUCKET, F.lit(0.0)).drop(_SORT_VALUE)
@@ -78,9 +92,10 @@ def prefix_sums(
 
     ``df`` holds one row per (by, key), with a numeric key that is never null. ``by``
     must be a flag with few values: the bucket totals, at most ``buckets`` rows per
-    group, are broadcast.
+    group, are broadcast. ``df`` is read three times, so give a stored or settled one.
     """
-    buckets = buckets or _slots(df)
+    # A few buckets per task even out the hashing of buckets to tasks.
+    buckets = buckets or min(_MAX_BUCKETS, 4 * _slots(df))
     by = list(by)
     bucketed = _bucketed(df, key, buckets)
 
@@ -129,28 +144,34 @@ def dense_ordinals(
     return counted.withColumn(ordinal, F.col("cum__one") - 1).drop("_one", "cum__one", "total__one")
 
 
-def exact_median(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+def weighted_median(
+    counts: DataFrame, value: str, n: str = "n", by: Sequence[str] = ()
+) -> DataFrame:
     """Exact median per ``by`` group of a column with any number of distinct values.
 
-    Equal values are counted first, so a value shared by many rows is one row of the
-    ranking. Null values are skipped.
+    ``counts`` holds each distinct value once with its number of rows, so a value that
+    many rows share is one row of the ranking.
     """
     by = list(by)
-    counts = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*by, value)
-        .agg(F.count("*").alias("_n"))
-    )
-    ranked = prefix_sums(counts, value, ["_n"], by, descending=False)
+    cum, total = F.col(f"cum_{n}"), F.col(f"total_{n}")
+    ranked = prefix_sums(counts, value, [n], by, descending=False)
     # The two middle ranks (equal when the count is odd), 1-based.
-    low = F.floor((F.col("total__n") + 1) / 2)
-    high = F.floor((F.col("total__n") + 2) / 2)
-    first = F.col("cum__n") - F.col("_n") + 1
-    covers_low = (first <= low) & (low <= F.col("cum__n"))
-    covers_high = (first <= high) & (high <= F.col("cum__n"))
-    middle = ranked.filter(covers_low | covers_high)
+    low = F.floor((total + 1) / 2)
+    high = F.floor((total + 2) / 2)
+    first = cum - F.col(n) + 1
+    covers_low = (first <= low) & (low <= cum)
+    covers_high = (first <= high) & (high <= cum)
     halves = (
         F.when(covers_low, F.col(value)).otherwise(0.0)
         + F.when(covers_high, F.col(value)).otherwise(0.0)
     ) / 2
+    middle = ranked.filter(covers_low | covers_high)
     return middle.groupBy(*by).agg(F.sum(halves).alias(f"median_{value}"))
+
+
+def exact_median(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """``weighted_median`` of plain rows; null values are skipped."""
+    counts = (
+        df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+    )
+    return weighted_median(settle(counts), value, "n", by)

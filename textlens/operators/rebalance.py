@@ -9,7 +9,7 @@ from textlens.functions.hashing import seeded_uniform
 from textlens.functions.scoring import safe_ratio
 from textlens.functions.text import ws_tokens
 from textlens.operators.lexical import class_sizes
-from textlens.operators.ranking import dense_ordinals
+from textlens.operators.ranking import dense_ordinals, first_rows
 
 
 def _sizes(examples: DataFrame):
@@ -128,4 +128,5 @@ def shuffle_rows(df: DataFrame, seed: int = 42, keys: tuple[str, ...] = ("id",))
 def sample_rows(df: DataFrame, n: int, seed: int = 42, keys: tuple[str, ...] = ("id",)) -> DataFrame:
     """n random rows, the same ones on every run."""
     u = seeded_uniform("sample", seed, *[F.col(k) for k in keys])
-    return df.withColumn("_u", u).orderBy("_u", *keys).limit(n).drop("_u")
+    order = [F.col("_u").asc(), *[F.col(k).asc() for k in keys]]
+    return first_rows(df.withColumn("_u", u), n, order).drop("_u")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlens.functions.scoring import f1_from_counts
+from textlens.operators.ranking import first_rows
 
 
 def history_from_scores(scores: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -71,8 +72,5 @@ def early_stop(history: DataFrame, patience: int = 5) -> DataFrame:
 def search_runs(history: DataFrame, patience: int = 5) -> DataFrame:
     """The run whose best epoch has the highest F1 (ties: smallest run id)."""
     runs = early_stop(history, patience)
-    return (
-        runs.orderBy(F.col("best_f1").desc(), F.col("run_id").asc())
-        .limit(1)
-        .select("run_id", "best_epoch", "best_f1")
-    )
+    best = first_rows(runs, 1, [F.col("best_f1").desc(), F.col("run_id").asc()])
+    return best.select("run_id", "best_epoch", "best_f1")

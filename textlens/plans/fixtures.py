@@ -55,10 +55,14 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("y", binarise("label_vec"))
 
 
-def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels with their texts: (id, label_vec, y, keyword, country, text)."""
-    documents = corpus(spark, sf_dir)
-    return spread(attach_text(labels(spark, sf_dir), documents), documents)
+    return attach_text(labels(spark, sf_dir), corpus(spark, sf_dir))
+
+
+def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``labelled``, spread over the cores when the corpus is a small file."""
+    return spread(labelled(spark, sf_dir), corpus(spark, sf_dir))
 
 
 def all_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,8 +83,8 @@ def with_tokens(texts: DataFrame) -> DataFrame:
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokenised examples without the texts themselves."""
-    return with_tokens(examples(spark, sf_dir).select("id", "y", "text")).drop("text")
+    """Tokenised examples."""
+    return with_tokens(examples(spark, sf_dir).select("id", "y", "text"))
 
 
 def surrogate_score(*parts) -> Column:

@@ -66,7 +66,7 @@ def _(spark, sf):
     FROM (VALUES {_WANTED_SQL}) AS v(term) CROSS JOIN size LEFT JOIN w ON w.term = v.term""",
 )
 def _(spark, sf):
-    return lexical.ngram_rates(fx.tokens(spark, sf), _WANTED, 3)
+    return lexical.ngram_rates(fx.tokens(spark, sf), _WANTED, 3, fx.labelled(spark, sf))
 
 
 @query(
@@ -79,7 +79,7 @@ def _(spark, sf):
     FROM r JOIN w ON w.term = r.term, size WHERE r.y = 1""",
 )
 def enrichment(spark, sf):
-    return lexical.ngram_enrichment(fx.tokens(spark, sf))
+    return lexical.ngram_enrichment(fx.tokens(spark, sf), examples=fx.labelled(spark, sf))
 
 
 @query(
@@ -104,7 +104,9 @@ def _(spark, sf):
       round(100.0 * n / CASE WHEN y = 1 THEN np ELSE nn END, 6) AS pct FROM r, size""",
 )
 def _(spark, sf):
-    return lexical.top_content_words(fx.tokens(spark, sf), fx.STOP_WORDS)
+    return lexical.top_content_words(
+        fx.tokens(spark, sf), fx.STOP_WORDS, examples=fx.labelled(spark, sf)
+    )
 
 
 @query(
@@ -118,7 +120,9 @@ def _(spark, sf):
     FROM r JOIN w ON w.term = r.term, size WHERE r.y = 1""",
 )
 def _(spark, sf):
-    return lexical.distinctive_words(fx.tokens(spark, sf), fx.STOP_WORDS)
+    return lexical.distinctive_words(
+        fx.tokens(spark, sf), fx.STOP_WORDS, examples=fx.labelled(spark, sf)
+    )
 
 
 @query(
@@ -139,7 +143,9 @@ def _(spark, sf):
     FROM p FULL JOIN q ON p.rank = q.rank CROSS JOIN size""",
 )
 def _(spark, sf):
-    return lexical.ngram_table_side_by_side(fx.tokens(spark, sf), 2, 10)
+    return lexical.ngram_table_side_by_side(
+        fx.tokens(spark, sf), 2, 10, fx.labelled(spark, sf)
+    )
 
 
 @query(

@@ -22,16 +22,27 @@ _NB = r""", f AS (SELECT y, unnest(toks) AS term FROM tok),
     alltok AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term
       FROM documents),
     s AS (SELECT alltok.id, sum(odds) AS odds FROM alltok JOIN w ON w.term = alltok.term GROUP BY 1),
-    nb AS (SELECT d.doc_id AS id,
-        1 / (1 + exp(-(coalesce(s.odds, 0) + (SELECT ln((np + 1) / (nn + 1)::DOUBLE) FROM size)))) AS score
-      FROM documents d LEFT JOIN s ON s.id = d.doc_id)
+    nb AS (SELECT *, 1 / (1 + exp(-log_odds)) AS score FROM (
+      SELECT d.doc_id AS id,
+        coalesce(s.odds, 0) + (SELECT ln((np + 1) / (nn + 1)::DOUBLE) FROM size) AS log_odds
+      FROM documents d LEFT JOIN s ON s.id = d.doc_id))
     """
 
 
-@query("naive_bayes_scores", _NB + "SELECT id, 'nb' AS model_id, round(score, 6) AS score FROM nb")
+@query(
+    "naive_bayes_scores",
+    _NB
+    + "SELECT id, 'nb' AS model_id, round(score, 6) AS score, round(log_odds, 3) AS log_odds FROM nb",
+)
 def _(spark, sf):
+    model = _model(spark, sf)
     documents = fx.with_tokens(fx.all_documents(spark, sf).select("id", "text"))
-    return modelling.naive_bayes_scores(fx.tokens(spark, sf), documents)
+    scores = modelling.naive_bayes_scores(model, documents)
+    return scores.withColumn("log_odds", F.round("log_odds", 3))
+
+
+def _model(spark, sf):
+    return modelling.train_naive_bayes(fx.tokens(spark, sf), examples=fx.labelled(spark, sf))
 
 
 @query(
@@ -49,11 +60,12 @@ def _(spark, sf):
     FROM rest""",
 )
 def _(spark, sf):
-    training = fx.tokens(spark, sf)
-    on_training = modelling.naive_bayes_scores(training, training.select("id", "tokens"))
-    threshold = threshold_sweep(on_training.join(fx.labels(spark, sf).select("id", "y"), "id"))
+    model = _model(spark, sf)
+    labelled = fx.tokens(spark, sf)
+    on_labelled = modelling.naive_bayes_scores(model, labelled).select("id", "score")
+    threshold = threshold_sweep(on_labelled.join(fx.labels(spark, sf).select("id", "y"), "id"))
     rest = fx.with_tokens(fx.unlabelled(spark, sf).select("id", "text"))
-    return modelling.predict_split(modelling.naive_bayes_scores(training, rest), threshold)
+    return modelling.predict_split(modelling.naive_bayes_scores(model, rest), threshold)
 
 
 @query("train_text_classifier")
