@@ -21,6 +21,19 @@ from textlens.session import settle
 RATE_FLOOR = 1e-6
 
 
+def explode_tokens(
+    tokens: DataFrame, keep: Sequence[str] = ("y",), term: str = "term"
+) -> DataFrame:
+    """One row per token.
+
+    An inner explode makes the optimizer test the array's size first, and push that test
+    with the tokenising below the scan's other work, so that texts are tokenised twice.
+    The outer form does not; the null row of an empty array is dropped afterwards.
+    """
+    rows = tokens.select(*keep, F.explode_outer("tokens").alias(term))
+    return rows.filter(F.col(term).isNotNull())
+
+
 def explode_ngrams(
     tokens: DataFrame, n: int, keep: Sequence[str] = ("y",), term: str = "term"
 ) -> DataFrame:
@@ -31,11 +44,10 @@ def explode_ngrams(
     """
     keep = list(keep)
     if "text" in tokens.columns:
-        # Known before tokenising, so rows without a text are dropped at the scan. A
-        # condition on the tokens would be pushed there too, and tokenise twice.
+        # Drops rows without a text at the scan, before tokenising.
         tokens = tokens.filter(F.col("text").isNotNull())
     if n == 1:
-        return tokens.select(*keep, F.explode("tokens").alias(term))
+        return explode_tokens(tokens, keep, term)
     parts = [f"_w{i}" for i in range(n)]
     shifted = tokens.select(
         *keep,
@@ -187,9 +199,10 @@ def stop_word_density(tokens: DataFrame, stop_words: Sequence[str]) -> DataFrame
         tokens.select("y", stop_word_share(stop_words).alias("density"))
         .groupBy("y", "density")
         .agg(F.count("*").alias("n"))
-        .filter(F.col("density").isNotNull())
     )
-    counts = settle(counts)
+    # Documents without tokens are dropped from the settled counts: asked for earlier,
+    # the test would be pushed to the scan and compute the share a second time.
+    counts = settle(counts).filter(F.col("density").isNotNull())
     n, share = F.col("n"), F.col("density")
     sums = counts.groupBy("y").agg(
         F.sum(n).alias("n_docs"),

@@ -17,7 +17,7 @@ from pyspark.storagelevel import StorageLevel
 
 from textlens.functions.scoring import decide, sigmoid
 from textlens.functions.text import WORD_PATTERN
-from textlens.operators.lexical import class_sizes, class_term_counts
+from textlens.operators.lexical import class_sizes, class_term_counts, explode_tokens
 from textlens.operators.metrics import ensemble_mean
 from textlens.session import settle
 
@@ -179,16 +179,18 @@ def naive_bayes_scores(model: NaiveBayes, documents: DataFrame, model_id: str =
 
     Terms not seen in training are ignored. Hot terms, which are most occurrences, meet
     their weight in a broadcast join and are summed per document before any shuffle;
-    only the rare rest is shuffled by term, where no key is hot.
+    only the rare rest is shuffled by term, where no key is hot. That join is told to
+    shuffle: size estimates ignore that the tokens of a text are many rows, and would
+    broadcast them.
     """
     weights = model.weights
     hot = F.broadcast(weights.filter("hot").select("term", "log_odds"))
     cold = weights.filter(~F.col("hot")).select("term", "log_odds")
-    occurrences = documents.select("id", F.explode("tokens").alias("term"))
+    occurrences = explode_tokens(documents, ["id"])
     of_hot = occurrences.join(hot, "term").select("id", "log_odds")
     of_cold = (
         occurrences.join(hot.select("term"), "term", "left_anti")
-        .join(cold, "term")
+        .join(cold.hint("merge"), "term")
         .select("id", "log_odds")
     )
     # Every document takes part, also one without a known term.

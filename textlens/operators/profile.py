@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textlens.functions.labels import labels_per_row
 from textlens.functions.scoring import percent_of, safe_ratio
+from textlens.operators.lexical import explode_ngrams
 
 
 def split_by_class(examples: DataFrame, y: int) -> DataFrame:
@@ -97,15 +98,11 @@ def token_length_stats(tokens: DataFrame, length: str = "n_tokens") -> DataFrame
 
 
 def vocabulary(tokens: DataFrame) -> DataFrame:
-    return (
-        tokens.select(F.explode("tokens").alias("term"))
-        .groupBy("term")
-        .agg(F.count("*").alias("n"))
-    )
+    return explode_ngrams(tokens, 1, ()).groupBy("term").agg(F.count("*").alias("n"))
 
 
 def vocabulary_size(tokens: DataFrame, approximate: bool = False) -> DataFrame:
-    terms = tokens.select(F.explode("tokens").alias("term"))
+    terms = explode_ngrams(tokens, 1, ())
     count = F.approx_count_distinct("term") if approximate else F.count_distinct("term")
     return terms.agg(count.alias("vocabulary_size"))
 
@@ -119,7 +116,7 @@ def _bin(value, low, high, bins: int):
 
 def length_histogram(tokens: DataFrame, bins: int = 50, length: str = "n_tokens") -> DataFrame:
     """Equal-width histogram over the data's own range, empty bins included."""
-    frequencies = length_frequencies(tokens.filter(F.col(length).isNotNull()), length)
+    frequencies = length_frequencies(tokens, length)
     # One row per distinct length: the unpartitioned window is over a small table.
     everything = Window.partitionBy()
     ranged = frequencies.select(
@@ -128,7 +125,8 @@ def length_histogram(tokens: DataFrame, bins: int = 50, length: str = "n_tokens"
         F.min("length").over(everything).alias("low"),
         F.max("length").over(everything).alias("high"),
     )
-    counted = ranged.groupBy(
+    # A null length is in no bin.
+    counted = ranged.filter(F.col("length").isNotNull()).groupBy(
         _bin(F.col("length"), F.col("low"), F.col("high"), bins).alias("bin"), "low", "high"
     ).agg(F.sum("n").alias("n"))
     grid = counted.agg(F.min("low").alias("low"), F.max("high").alias("high")).select(

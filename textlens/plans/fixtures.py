@@ -31,8 +31,16 @@ STOP_WORDS = (
 ).split()
 
 
+# Explicit, so that reading a table runs no job to find its schema.
+SCHEMAS = {
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +70,8 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``labelled``, spread over the cores when the corpus is a small file."""
-    return spread(labelled(spark, sf_dir), corpus(spark, sf_dir))
+    documents = corpus(spark, sf_dir)
+    return spread(attach_text(labels(spark, sf_dir), documents), documents)
 
 
 def all_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
