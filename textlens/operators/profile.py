@@ -129,15 +129,17 @@ def length_histogram(tokens: DataFrame, bins: int = 50, length: str = "n_tokens"
     counted = ranged.filter(F.col("length").isNotNull()).groupBy(
         _bin(F.col("length"), F.col("low"), F.col("high"), bins).alias("bin"), "low", "high"
     ).agg(F.sum("n").alias("n"))
-    grid = counted.agg(F.min("low").alias("low"), F.max("high").alias("high")).select(
-        "low", "high", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)).cast("array<bigint>")).alias("bin")
+    # At most ``bins`` entries in one row, from which the empty bins are filled in.
+    filled = counted.groupBy("low", "high").agg(
+        F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("_n")
     )
+    numbers = F.sequence(F.lit(0), F.lit(bins - 1)).cast("array<bigint>")
     step = (F.col("high") - F.col("low")) / F.lit(float(bins))
-    return grid.join(counted.select("bin", "n"), "bin", "left").select(
+    return filled.select("low", "high", "_n", F.explode(numbers).alias("bin")).select(
         "bin",
         (F.col("low") + F.col("bin") * step).alias("bin_low"),
         (F.col("low") + (F.col("bin") + 1) * step).alias("bin_high"),
-        F.coalesce("n", F.lit(0)).alias("n"),
+        F.coalesce(F.try_element_at("_n", F.col("bin")), F.lit(0)).alias("n"),
     )
 
 
