@@ -1,0 +1,72 @@
+"""From raw files to error tables on a small collection."""
+
+from __future__ import annotations
+
+import random
+
+from textlens import sources
+from textlens.operators import metrics
+from textlens.plans import pipeline
+
+
+def test_whole_work_flow(spark, tmp_path):
+    rng = random.Random(3)
+    neutral = ["market", "city", "report", "year", "council", "team", "road", "plan"]
+    loaded = ["poor", "helpless", "save", "mercy", "hopeless"]
+    lines, labels = [], {"train": ["par_id,label"], "dev": ["par_id,label"]}
+    for i in range(240):
+        positive = rng.random() < 0.25
+        words = [rng.choice(neutral) for _ in range(12)]
+        if positive:
+            words += [rng.choice(loaded) for _ in range(4)]
+        rng.shuffle(words)
+        lines.append(f"{i}\t@@{i}\tkw{i % 3}\tus\t{' '.join(words)}\t9")
+        vector = [int(positive), 0, int(positive and i % 2 == 0)]
+        labels["train" if i % 3 else "dev"].append(f'{i},"{vector}"')
+    rng.shuffle(labels["train"])
+    labels["train"].remove("par_id,label")
+    labels["train"].insert(0, "par_id,label")
+
+    def write(name, text):
+        (tmp_path / name).write_text(text)
+        return str(tmp_path / name)
+
+    raw = dict(
+        corpus_path=write("corpus.tsv", "a\nb\nc\nd\n" + "\n".join(lines) + "\n"),
+        label_paths={k: write(f"{k}.csv", "\n".join(v) + "\n") for k, v in labels.items()},
+        unlabelled_path=write("test.tsv", "900\t@@1\tkw0\tus\tsave the poor helpless\n901\t@@2\tkw1\tgb\tcity plan\n"),
+        out_dir=str(tmp_path / "splits"),
+    )
+    pipeline.prepare(spark, **raw)
+    report = pipeline.verify(spark, **raw, width=3).collect()
+    assert len(report) == 1 + 2 * 5 + 2
+    assert [r for r in report if not r.ok] == []
+
+    read = {n: sources.read_split(spark, f"{raw['out_dir']}/{n}") for n in ("train", "dev")}
+    order = [int(line.split(",")[0]) for line in labels["train"][1:]]
+    assert [r.id for r in read["train"].collect()] == order
+
+    splits = {n: pipeline.labelled(df, 3) for n, df in read.items()}
+    tokens = pipeline.tokenised(splits["train"])
+    tables = pipeline.profile_tables(splits["train"], tokens, ["the", "a"])
+    assert tables["class_distribution"].first().n_total == 160
+    assert all(t.count() > 0 for t in tables.values())
+    words = {r.term for r in tables["distinctive_words"].filter("only_pos").collect()}
+    assert words <= set(loaded)
+
+    training = pipeline.train(
+        splits["train"], splits["dev"], reg_params=(0.01, 1.0), n_aug=1, num_features=1 << 10, max_iter=10
+    )
+    assert training.history.count() == 2
+    dev = pipeline.predict([training.model], splits["dev"], training.threshold)
+    names = ("unequal", "shallow", "pity")
+    report = pipeline.evaluate(splits["dev"], dev, names)
+    summary = {r.metric: r.value for r in report["summary"].collect()}
+    assert summary["n"] == 80 and summary["f1"] > 0.8 and summary["average_precision"] > 0.8
+    assert summary["f1"] == metrics.binary_metrics(splits["dev"].join(dev, "id")).first().f1
+    assert {r.label for r in report["errors_by_label"].collect()} == set(names)
+    assert all(t.columns for t in report.values())
+
+    test = sources.read_split(spark, f"{raw['out_dir']}/test", labelled=False)
+    scored = {r.id: r.score for r in pipeline.predict([training.model] * 2, test, training.threshold).collect()}
+    assert scored[900] > scored[901]

@@ -118,6 +118,22 @@ def test_predictions_of_one_file_in_many_splits(spark, tmp_path):
     assert [(r.row_id, r.pred) for r in rows] == [(i, int(i % 5 == 0)) for i in range(3000)]
 
 
+def test_numbering_beyond_the_broadcast_limit(spark, tmp_path, monkeypatch):
+    from textlens.sources import readers
+
+    path = _write(tmp_path / "dev.txt", "".join(f"{i % 2}\n" for i in range(1000)))
+    small = readers.read_predictions(spark, path)
+    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(readers, "_MAX_BROADCAST_SPLITS", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        large = readers.read_predictions(spark, path)
+        assert "SortMergeJoin" in large._jdf.queryExecution().executedPlan().toString()
+        assert sorted(large.collect()) == sorted(small.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_alignment_by_position(spark, tmp_path):
     split = spark.createDataFrame([(i, f"text {i}") for i in range(4)], "row_id bigint, text string")
     predictions = spark.createDataFrame([(i, i % 2) for i in range(4)], "row_id bigint, pred int")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CANONICAL = ("id", "art_id", "keyword", "country", "text", "label")
@@ -16,14 +16,15 @@ def select_columns(df: DataFrame, columns: Sequence[str] = CANONICAL) -> DataFra
     return df.select(*[c for c in columns if c in present])
 
 
-def missing_text(labels: DataFrame, corpus: DataFrame, key: str = "id") -> DataFrame:
-    """Label rows whose key is not in the corpus, or whose corpus text is null."""
-    found = (
-        corpus.filter(F.col("text").isNotNull())
-        .select(key)
-        .join(labels.select(key), key, "left_semi")
-        .distinct()
-    )
+def missing_text(
+    labels: DataFrame, corpus: DataFrame, key: str = "id", null_texts: bool = True
+) -> DataFrame:
+    """Label rows whose key is not in the corpus, or whose corpus text is null.
+
+    Without ``null_texts`` only keys are compared, and the texts are not read.
+    """
+    texts = corpus.filter(F.col("text").isNotNull()) if null_texts else corpus
+    found = texts.select(key).join(labels.select(key), key, "left_semi").distinct()
     return labels.join(found, key, "left_anti")
 
 
@@ -86,42 +87,48 @@ def cast_key_as_string(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("string") for c in columns})
 
 
-def _side_fingerprints(df: DataFrame, key: str, columns: Sequence[str], side: str) -> DataFrame:
-    """Per row: the key, the side, and two 64-bit hashes of each column."""
-    hashed = []
-    for c in columns:
-        value = F.coalesce(F.sha2(F.col(c).cast("string"), 256), F.lit("null"))
-        hashed.append(
-            F.struct(
-                F.xxhash64(value).cast("decimal(20,0)").alias("a"),
-                F.xxhash64(F.reverse(value)).cast("decimal(20,0)").alias("b"),
-            ).alias(c)
-        )
-    return df.select(F.col(key), F.lit(side).alias("_side"), *hashed)
+def _fingerprint(value: Column) -> Column:
+    """128 bits of hash of a value as a string, as two numbers that can be summed.
 
+    Null has its own fingerprint, which no string has.
+    """
+    digest = F.coalesce(F.sha2(value.cast("string"), 256), F.lit("null"))
+    return F.struct(
+        F.xxhash64(digest).cast("decimal(20,0)").alias("a"),
+        F.xxhash64(F.reverse(digest)).cast("decimal(20,0)").alias("b"),
+    )
 
-def compare_tables(
+
+def fingerprints(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """The key and a fixed-size hash of each column, so that long texts need not move."""
+    return df.select(key, *[_fingerprint(F.col(c)).alias(c) for c in columns])
+
+
+def compare_fingerprints(
     left: DataFrame, right: DataFrame, key: str, columns: Sequence[str]
 ) -> DataFrame:
-    """One row (key, column_name, problem) per cell that differs; null equals null.
-
-    Compared as strings. Both sides go through one grouping by key of fixed-size
-    hashes, so long texts are never shuffled and a key repeated on both sides is
-    summed, not multiplied. Rows of a repeated key are compared as a bag. A key found
-    on one side only is reported once, with a null column name.
-    """
-    sides = _side_fingerprints(left, key, columns, "L").unionByName(
-        _side_fingerprints(right, key, columns, "R")
-    )
+    """``compare_tables`` on tables of fingerprints; a null one stands for a null value."""
+    absent = _fingerprint(F.lit(None))
+    sides = [
+        side.select(
+            key, F.lit(name).alias("_side"), *[F.coalesce(F.col(c), absent).alias(c) for c in columns]
+        )
+        for side, name in ((left, "L"), (right, "R"))
+    ]
     sums = []
     for c in columns:
         for part in ("a", "b"):
             signed = F.when(F.col("_side") == "L", F.col(c)[part]).otherwise(-F.col(c)[part])
             sums.append(F.sum(signed).alias(f"_{c}_{part}"))
-    grouped = sides.groupBy(key).agg(
-        F.count_if(F.col("_side") == "L").alias("_n_left"),
-        F.count_if(F.col("_side") == "R").alias("_n_right"),
-        *sums,
+    grouped = (
+        sides[0]
+        .unionByName(sides[1])
+        .groupBy(key)
+        .agg(
+            F.count_if(F.col("_side") == "L").alias("_n_left"),
+            F.count_if(F.col("_side") == "R").alias("_n_right"),
+            *sums,
+        )
     )
 
     def finding(name, problem):
@@ -142,6 +149,21 @@ def compare_tables(
     return grouped.select(key, F.inline(findings))
 
 
+def compare_tables(
+    left: DataFrame, right: DataFrame, key: str, columns: Sequence[str]
+) -> DataFrame:
+    """One row (key, column_name, problem) per cell that differs; null equals null.
+
+    Compared as strings. Both sides go through one grouping by key of fixed-size
+    hashes, so long texts are never shuffled and a key repeated on both sides is
+    summed, not multiplied. Rows of a repeated key are compared as a bag. A key found
+    on one side only is reported once, with a null column name.
+    """
+    return compare_fingerprints(
+        fingerprints(left, key, columns), fingerprints(right, key, columns), key, columns
+    )
+
+
 def class_contrast_join(counts: DataFrame, term: str, n: str = "n", y: str = "y") -> DataFrame:
     """Per-class counts of one term side by side, 0 where a class lacks the term."""
     return counts.groupBy(term).agg(

@@ -33,27 +33,49 @@ def text_features(num_features: int = 1 << 18, text: str = "text") -> list:
     ]
 
 
+def _without_null_texts(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("text", F.coalesce("text", F.lit("")))
+
+
+def train_text_classifiers(
+    weighted: DataFrame,
+    reg_params: Sequence[float],
+    num_features: int = 1 << 18,
+    max_iter: int = 20,
+) -> list[PipelineModel]:
+    """Weighted logistic regression on texts, one per regularisation, on shared features.
+
+    Input has text, y and weight columns. Gradients are combined in a tree of executors;
+    the driver holds one weight vector.
+    """
+    rows = _without_null_texts(weighted)
+    features = Pipeline(stages=text_features(num_features)).fit(rows)
+    shared = features.transform(rows).select("features", F.col("y").cast("double"), "weight")
+    shared = shared.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        heads = [
+            LogisticRegression(
+                labelCol="y",
+                weightCol="weight",
+                maxIter=max_iter,
+                regParam=reg_param,
+                aggregationDepth=3,
+            ).fit(shared)
+            for reg_param in reg_params
+        ]
+    finally:
+        shared.unpersist()
+    return [PipelineModel(stages=[*features.stages, head]) for head in heads]
+
+
 def train_text_classifier(
     weighted: DataFrame,
     num_features: int = 1 << 18,
     max_iter: int = 20,
     reg_param: float = 0.01,
 ) -> PipelineModel:
-    """Weighted logistic regression on texts; input has text, y and weight columns.
-
-    Gradients are combined in a tree of executors; the driver holds one weight vector.
-    """
-    head = LogisticRegression(
-        labelCol="y",
-        weightCol="weight",
-        maxIter=max_iter,
-        regParam=reg_param,
-        aggregationDepth=3,
-    )
-    rows = weighted.withColumns(
-        {"text": F.coalesce("text", F.lit("")), "y": F.col("y").cast("double")}
-    )
-    return Pipeline(stages=[*text_features(num_features), head]).fit(rows)
+    """One weighted logistic regression on texts."""
+    return train_text_classifiers(weighted, [reg_param], num_features, max_iter)[0]
 
 
 def _positive_probability(column: str = "probability") -> Column:
@@ -62,7 +84,7 @@ def _positive_probability(column: str = "probability") -> Column:
 
 def score_text(model: PipelineModel, examples: DataFrame, model_id: str = "text") -> DataFrame:
     """(id, model_id, score) of a fitted text classifier."""
-    rows = examples.withColumn("text", F.coalesce("text", F.lit(""))).select("id", "text")
+    rows = _without_null_texts(examples.select("id", "text"))
     return model.transform(rows).select(
         "id", F.lit(model_id).alias("model_id"), _positive_probability().alias("score")
     )
@@ -76,7 +98,7 @@ def train_label_heads(
     max_iter: int = 10,
 ) -> tuple[PipelineModel, list[LogisticRegressionModel]]:
     """One head per label on shared features, fitted one after the other."""
-    rows = examples.withColumn("text", F.coalesce("text", F.lit("")))
+    rows = _without_null_texts(examples)
     features = Pipeline(stages=text_features(num_features)).fit(rows)
     shared = features.transform(rows).select(
         "features", *[F.element_at(vector, i + 1).alias(f"_label_{i}") for i in range(width)]
@@ -98,7 +120,7 @@ def score_label_heads(
     features: PipelineModel, heads: Sequence[LogisticRegressionModel], examples: DataFrame
 ) -> DataFrame:
     """(id, label_scores): the score of each head, in label order."""
-    rows = examples.withColumn("text", F.coalesce("text", F.lit("")))
+    rows = _without_null_texts(examples)
     scored = features.transform(rows).select("id", "features")
     for i, head in enumerate(heads):
         one = head.copy()

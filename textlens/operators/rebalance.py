@@ -45,10 +45,8 @@ def draw_balanced(
     ``expand_draws`` repeats the rows.
     """
     members = dense_ordinals(examples.select("id", "y"), "id", ["y"])
-    if n is None:
-        draws = dense_ordinals(examples.select("id"), "id", ordinal="draw").select("draw")
-    else:
-        draws = examples.sparkSession.range(n).withColumnRenamed("id", "draw")
+    n = examples.count() if n is None else n
+    draws = examples.sparkSession.range(n).withColumnRenamed("id", "draw")
     size_pos, size_neg = _sizes(examples)
     draw = F.col("draw")
     picked = (

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from textlens.functions import seeded_uniform
 from textlens.operators import metrics, selection
+from textlens.operators.ranking import dense_ordinals, exact_median, prefix_sums
 from textlens.plans import fixtures as fx
 from textlens.plans.registry import query, u
+from textlens.session import settle
 
 _P = "CASE WHEN tp + fp = 0 THEN 0 ELSE tp::DOUBLE / (tp + fp) END"
 _R = "CASE WHEN tp + fn = 0 THEN 0 ELSE tp::DOUBLE / (tp + fn) END"
@@ -69,6 +71,34 @@ def _(spark, sf):
     return metrics.pr_curve(fx.scored_labels(spark, sf))
 
 
+@query(
+    "prefix_sums",
+    """SELECT score, (sum(n) OVER (ORDER BY score DESC))::BIGINT AS cum_n,
+      (sum(pos) OVER (ORDER BY score DESC))::BIGINT AS cum_pos
+    FROM (SELECT score, count(*) AS n, sum(y) AS pos FROM sc GROUP BY score)""",
+)
+def _(spark, sf):
+    totals = settle(metrics.score_totals(fx.scored_labels(spark, sf)))
+    return prefix_sums(totals, "score", ["n", "pos"]).select("score", "cum_n", "cum_pos")
+
+
+@query(
+    "exact_median",
+    "SELECT y::INTEGER AS y, round(median(score), 6) AS median_score FROM sc GROUP BY y",
+)
+def _(spark, sf):
+    return exact_median(fx.scored_labels(spark, sf), "score", ["y"])
+
+
+@query(
+    "dense_ordinals",
+    """SELECT id, y::INTEGER AS y, row_number() OVER (PARTITION BY y ORDER BY id) - 1 AS ordinal
+    FROM lab""",
+)
+def _(spark, sf):
+    return dense_ordinals(fx.labels(spark, sf).select("id", "y"), "id", ["y"])
+
+
 @query(
     "average_precision",
     _CURVE

@@ -1,4 +1,8 @@
-"""Lexical contrast of the two classes."""
+"""Lexical contrast of the two classes.
+
+Class sizes are taken from the labels alone: document ids are unique (``check_unique_key``),
+so joining the texts adds no rows.
+"""
 
 from __future__ import annotations
 
@@ -66,7 +70,7 @@ def _(spark, sf):
     FROM (VALUES {_WANTED_SQL}) AS v(term) CROSS JOIN size LEFT JOIN w ON w.term = v.term""",
 )
 def _(spark, sf):
-    return lexical.ngram_rates(fx.tokens(spark, sf), _WANTED, 3, fx.labelled(spark, sf))
+    return lexical.ngram_rates(fx.tokens(spark, sf), _WANTED, 3, fx.labels(spark, sf))
 
 
 @query(
@@ -79,7 +83,7 @@ def _(spark, sf):
     FROM r JOIN w ON w.term = r.term, size WHERE r.y = 1""",
 )
 def enrichment(spark, sf):
-    return lexical.ngram_enrichment(fx.tokens(spark, sf), examples=fx.labelled(spark, sf))
+    return lexical.ngram_enrichment(fx.tokens(spark, sf), examples=fx.labels(spark, sf))
 
 
 @query(
@@ -105,7 +109,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return lexical.top_content_words(
-        fx.tokens(spark, sf), fx.STOP_WORDS, examples=fx.labelled(spark, sf)
+        fx.tokens(spark, sf), fx.STOP_WORDS, examples=fx.labels(spark, sf)
     )
 
 
@@ -121,7 +125,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return lexical.distinctive_words(
-        fx.tokens(spark, sf), fx.STOP_WORDS, examples=fx.labelled(spark, sf)
+        fx.tokens(spark, sf), fx.STOP_WORDS, examples=fx.labels(spark, sf)
     )
 
 
@@ -144,7 +148,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return lexical.ngram_table_side_by_side(
-        fx.tokens(spark, sf), 2, 10, fx.labelled(spark, sf)
+        fx.tokens(spark, sf), 2, 10, fx.labels(spark, sf)
     )
 
 
@@ -156,6 +160,12 @@ def _(spark, sf):
     return lexical.rank_terms(lexical.class_term_counts(fx.tokens(spark, sf)), 50)
 
 
+# More terms than Spark prunes below the shuffle by itself.
+@query("top_k_terms", _ranked(1, 1500) + "SELECT y, rank, term, n FROM r")
+def _(spark, sf):
+    return lexical.rank_terms(lexical.class_term_counts(fx.tokens(spark, sf)), 1500)
+
+
 @query(
     "class_contrast_join",
     _ranked(2, 15) + "SELECT term, n_pos, n_neg FROM w",

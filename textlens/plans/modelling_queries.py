@@ -42,7 +42,7 @@ def _(spark, sf):
 
 
 def _model(spark, sf):
-    return modelling.train_naive_bayes(fx.tokens(spark, sf), examples=fx.labelled(spark, sf))
+    return modelling.train_naive_bayes(fx.tokens(spark, sf), examples=fx.labels(spark, sf))
 
 
 @query(

@@ -1,0 +1,201 @@
+"""The work flow from raw files to error tables, composed of the operators.
+
+prepare -> verify -> profile -> train -> predict -> evaluate. Each step reads tables and
+returns or writes tables; splits should be stored once and read back between steps.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.ml import PipelineModel
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from textlens.functions import (
+    binarise,
+    n_tokens,
+    n_ws_tokens,
+    parse_label,
+    word_tokens,
+)
+from textlens.operators import lexical, metrics, modelling, profile, quality, rebalance, selection
+from textlens.operators.joins import CANONICAL, attach_text, select_columns
+from textlens.schemas import LABEL_NAMES
+from textlens.sources import (
+    read_corpus_tsv,
+    read_labels_csv,
+    read_split,
+    read_unlabelled_tsv,
+    write_split,
+)
+
+
+def prepare(
+    spark: SparkSession,
+    corpus_path: str,
+    label_paths: Mapping[str, str],
+    unlabelled_path: str | None,
+    out_dir: str,
+    format: str = "parquet",
+    skip: int = 4,
+) -> None:
+    """Write one split per label file, in its row order, and the unlabelled split."""
+    corpus = read_corpus_tsv(spark, corpus_path, skip=skip)
+    for name, path in label_paths.items():
+        labels = read_labels_csv(spark, path, row_ids=True)
+        split = attach_text(labels, corpus).select("row_id", *CANONICAL)
+        write_split(split, f"{out_dir}/{name}", format, row="row_id")
+    if unlabelled_path is not None:
+        test = select_columns(read_unlabelled_tsv(spark, unlabelled_path))
+        write_split(test, f"{out_dir}/test", format)
+
+
+def verify(
+    spark: SparkSession,
+    corpus_path: str,
+    label_paths: Mapping[str, str],
+    unlabelled_path: str | None,
+    out_dir: str,
+    format: str = "parquet",
+    skip: int = 4,
+    width: int = 7,
+) -> DataFrame:
+    """One report over the written splits: (check, expected, actual, ok)."""
+    corpus = read_corpus_tsv(spark, corpus_path, skip=skip)
+    checks = [quality.check_unique_key(corpus, "id", "corpus: unique key")]
+    for name, path in label_paths.items():
+        labels = read_labels_csv(spark, path)
+        split = read_split(spark, f"{out_dir}/{name}", format)
+        cells = quality.check_content(split, labels, corpus, "id", CANONICAL[1:])
+        checks += [
+            quality.check_row_count(labels, split, f"{name}: row count"),
+            quality.check_columns(split, CANONICAL, f"{name}: columns"),
+            quality.content_check(cells, f"{name}: content"),
+            quality.check_missing(labels, corpus, name=f"{name}: missing text"),
+            quality.check_label_format(labels, width, name=f"{name}: label format"),
+        ]
+    if unlabelled_path is not None:
+        raw = read_unlabelled_tsv(spark, unlabelled_path)
+        test = read_split(spark, f"{out_dir}/test", format, labelled=False)
+        checks += [
+            quality.check_row_count(raw, test, "test: row count"),
+            quality.check_tables_equal(raw, test, "id", CANONICAL[1:5], "test: content"),
+        ]
+    return quality.quality_report(*checks)
+
+
+def labelled(split: DataFrame, width: int = 7) -> DataFrame:
+    """A split with its label vector and binary target."""
+    vector = parse_label("label", width)
+    return split.withColumn("label_vec", vector).withColumn("y", binarise("label_vec"))
+
+
+def tokenised(examples: DataFrame) -> DataFrame:
+    """(id, y, tokens, n_tokens): worth storing when several reports read it."""
+    return examples.select("id", "y", word_tokens("text").alias("tokens")).withColumn(
+        "n_tokens", n_tokens("tokens")
+    )
+
+
+def profile_tables(
+    examples: DataFrame, tokens: DataFrame, stop_words: Sequence[str]
+) -> dict[str, DataFrame]:
+    """Every table of the collection's profile."""
+    return {
+        "class_distribution": profile.class_distribution(examples),
+        "label_frequency": profile.label_frequency(examples),
+        "labels_per_row_histogram": profile.labels_per_row_histogram(examples),
+        "labels_per_row_stats": profile.labels_per_row_stats(examples),
+        "token_length_stats": profile.token_length_stats(tokens),
+        "length_histogram": profile.length_histogram(tokens),
+        "length_coverage": profile.length_coverage(tokens),
+        "vocabulary_size": profile.vocabulary_size(tokens),
+        "bigrams": lexical.ngram_table_side_by_side(tokens, 2),
+        "trigrams": lexical.ngram_table_side_by_side(tokens, 3),
+        "trigram_enrichment": lexical.ngram_enrichment(tokens),
+        "stop_word_density": lexical.stop_word_density(tokens, stop_words),
+        "content_words": lexical.top_content_words(tokens, stop_words),
+        "distinctive_words": lexical.distinctive_words(tokens, stop_words),
+        "term_weights": lexical.term_weights(tokens, stop_words),
+    }
+
+
+@dataclass(frozen=True)
+class Training:
+    """The chosen model, the metrics of every run, and the threshold for the dev split."""
+
+    model: PipelineModel
+    history: DataFrame
+    dev_scores: DataFrame
+    threshold: DataFrame
+
+
+def train(
+    train_split: DataFrame,
+    dev_split: DataFrame,
+    reg_params: Sequence[float] = (0.001, 0.01, 0.1),
+    pos_ratio: float = 0.33,
+    n_aug: int = 0,
+    drop_prob: float = 0.10,
+    seed: int = 42,
+    num_features: int = 1 << 18,
+    max_iter: int = 20,
+) -> Training:
+    """Fit one classifier per regularisation; keep the one with the best dev F1.
+
+    Positives are augmented and weighted, then the threshold is swept on the dev scores.
+    Features are fitted once. Only the winner's name comes to the driver.
+    """
+    rows = train_split.select("id", "y", "text")
+    if n_aug > 0:
+        copies = rebalance.augment_word_deletion(rows, n_aug, drop_prob, seed)
+        rows = rebalance.append_augmented(rows, copies)
+    weighted = rebalance.class_weights(rows, pos_ratio)
+    models = modelling.train_text_classifiers(weighted, reg_params, num_features, max_iter)
+    runs = {f"run-{i}": model for i, model in enumerate(models)}
+
+    truth = dev_split.select("id", "y")
+    scored = [
+        modelling.score_text(model, dev_split, name).join(truth, "id")
+        for name, model in runs.items()
+    ]
+    dev_scores = reduce(lambda a, b: a.unionByName(b), scored)
+    per_run = dev_scores.select(F.col("model_id").alias("run_id"), F.lit(1).alias("epoch"), "y", "score")
+    history = selection.history_from_scores(per_run)
+    best = selection.search_runs(history).first()["run_id"]
+    chosen = dev_scores.filter(F.col("model_id") == best)
+    return Training(runs[best], history, chosen, metrics.threshold_sweep(chosen))
+
+
+def predict(
+    models: Sequence[PipelineModel], split: DataFrame, threshold: DataFrame
+) -> DataFrame:
+    """(id, score, pred): mean score of the models, cut at the threshold."""
+    scores = [modelling.score_text(m, split, f"model-{i}") for i, m in enumerate(models)]
+    return modelling.predict_split(reduce(lambda a, b: a.unionByName(b), scores), threshold)
+
+
+def evaluate(
+    examples: DataFrame, predictions: DataFrame, label_names: Sequence[str] = LABEL_NAMES
+) -> dict[str, DataFrame]:
+    """Every error table of (id, score, pred) against the labelled examples."""
+    scored = examples.join(predictions, "id").withColumn("n_ws_tokens", n_ws_tokens("text"))
+    by_group = metrics.errors_by_group(scored)
+    by_label = metrics.errors_by_label(scored, label_names)
+    return {
+        "summary": metrics.evaluation_summary(scored),
+        "classification_report": metrics.classification_report(scored),
+        "confusion_matrix": metrics.confusion_matrix(scored),
+        "errors_by_group": metrics.sort_by_metric(by_group, "fn", "keyword"),
+        "errors_by_label": metrics.sort_by_metric(by_label, "miss_rate", "label"),
+        "worst_groups": metrics.worst_groups(by_group, by_label),
+        "false_positives": metrics.hardest_false_positives(scored),
+        "false_negatives": metrics.hardest_false_negatives(scored),
+        "length_by_quadrant": metrics.length_by_quadrant(scored),
+        "pr_curve": metrics.pr_curve(scored),
+        "score_histogram": metrics.score_histogram(scored),
+        "threshold_grid": metrics.threshold_grid(scored),
+    }

@@ -221,3 +221,20 @@ def _(spark, sf):
         quality.check_label_format(label_strings(spark, sf), fx.WIDTH),
         quality.content_check(_content(spark, sf)),
     )
+
+
+@query(
+    "check_columns",
+    """SELECT 'columns' AS "check", 3::BIGINT AS expected, 4::BIGINT AS actual, false AS ok""",
+)
+def _(spark, sf):
+    return quality.check_columns(fx.corpus(spark, sf), ["id", "keyword", "text"])
+
+
+@query(
+    "check_expected_rows",
+    """SELECT 'expected_rows' AS "check", 1000::BIGINT AS expected, count(*) AS actual,
+      count(*) = 1000 AS ok FROM documents""",
+)
+def _(spark, sf):
+    return quality.check_expected_rows(fx.corpus(spark, sf), 1000)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,17 +21,44 @@ from textlens.functions.text import is_missing
 _QUOTING = {"escape": '"'}
 
 
-def number_rows(scan: DataFrame, row: str = "row_id", first: int = 0) -> DataFrame:
-    """Dense row numbers of a file scan: by file name, then by position in the file.
-
-    Joins back one row per file split; part files written in order are read in order.
-    """
-    placed = scan.select(
+def _placed(scan: DataFrame) -> DataFrame:
+    """Adds each row's file, the start of its split, and a number that grows with it."""
+    return scan.select(
         "*",
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_seq"),
     )
+
+
+def _checked(index: Column, count: Column) -> Column:
+    """The index of a row in its split, or an error when the file was split differently
+    in the two reads (the number of cores changed in between)."""
+    fits = F.coalesce((index >= 0) & (index < count), F.lit(False))
+    message = F.lit("file splits changed while rows were numbered; run again")
+    return F.when(fits, index).otherwise(F.raise_error(message).cast("bigint"))
+
+
+# One row per file split, a hundred bytes each, is broadcast up to this many.
+_MAX_BROADCAST_SPLITS = 200_000
+
+
+def _per_split(rows: DataFrame, scan: DataFrame) -> DataFrame:
+    """Rows of which there is at most one per file split, broadcast when these are few.
+
+    A file is cut into full splits, which are a task each, and one rest, so tasks plus
+    files bound the splits. Beyond the limit the join is left to the optimizer.
+    """
+    splits = scan.rdd.getNumPartitions() + len(scan.inputFiles())
+    return F.broadcast(rows) if splits <= _MAX_BROADCAST_SPLITS else rows
+
+
+def number_rows(scan: DataFrame, row: str = "row_id", first: int = 0) -> DataFrame:
+    """Dense row numbers of a file scan: by file name, then by position in the file.
+
+    Joins back one row per file split; part files written in order are read in order.
+    """
+    placed = _placed(scan)
     splits = placed.groupBy("_file", "_start").agg(
         F.min("_seq").alias("_first_seq"), F.count("*").alias("_n")
     )
@@ -40,12 +67,12 @@ def number_rows(scan: DataFrame, row: str = "row_id", first: int = 0) -> DataFra
         "_file",
         "_start",
         "_first_seq",
+        "_n",
         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
     )
-    position = F.col("_before") + F.col("_seq") - F.col("_first_seq") + first
-    return placed.join(offsets, ["_file", "_start"]).select(
-        position.alias(row), *[c for c in scan.columns]
-    )
+    index = _checked(F.col("_seq") - F.col("_first_seq"), F.col("_n"))
+    joined = placed.join(_per_split(offsets, scan), ["_file", "_start"], "left")
+    return joined.select((F.col("_before") + index + first).alias(row), *scan.columns)
 
 
 def _null_spellings(df: DataFrame, na_values: Sequence[str]) -> DataFrame:
@@ -96,20 +123,17 @@ def read_corpus_tsv(
 
 def _skip_lines(lines: DataFrame, skip: int) -> DataFrame:
     """Drop the first lines of every file, by position in the file's first split."""
-    placed = lines.select(
-        "value",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_seq"),
-    )
+    placed = _placed(lines)
     heads = (
         placed.filter(F.col("_start") == 0)
         .groupBy("_file")
-        .agg(F.min("_seq").alias("_first_seq"))
+        .agg(F.min("_seq").alias("_first_seq"), F.count("*").alias("_n"))
         .withColumn("_start", F.lit(0).cast("bigint"))
     )
-    in_preamble = F.coalesce(F.col("_seq") - F.col("_first_seq") < skip, F.lit(False))
-    return placed.join(heads, ["_file", "_start"], "left").filter(~in_preamble).select("value")
+    index = _checked(F.col("_seq") - F.col("_first_seq"), F.col("_n"))
+    in_preamble = (F.col("_start") == 0) & (index < skip)
+    joined = placed.join(_per_split(heads, lines), ["_file", "_start"], "left")
+    return joined.filter(~in_preamble).select("value")
 
 
 def read_unlabelled_tsv(
