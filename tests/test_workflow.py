@@ -6,7 +6,7 @@ import random
 
 from textlens import sources
 from textlens.operators import metrics
-from textlens.plans import pipeline
+from textlens.plans import workflow
 
 
 def test_whole_work_flow(spark, tmp_path):
@@ -37,8 +37,8 @@ def test_whole_work_flow(spark, tmp_path):
         unlabelled_path=write("test.tsv", "900\t@@1\tkw0\tus\tsave the poor helpless\n901\t@@2\tkw1\tgb\tcity plan\n"),
         out_dir=str(tmp_path / "splits"),
     )
-    pipeline.prepare(spark, **raw)
-    report = pipeline.verify(spark, **raw, width=3).collect()
+    workflow.prepare(spark, **raw)
+    report = workflow.verify(spark, **raw, width=3).collect()
     assert len(report) == 1 + 2 * 5 + 2
     assert [r for r in report if not r.ok] == []
 
@@ -46,21 +46,21 @@ def test_whole_work_flow(spark, tmp_path):
     order = [int(line.split(",")[0]) for line in labels["train"][1:]]
     assert [r.id for r in read["train"].collect()] == order
 
-    splits = {n: pipeline.labelled(df, 3) for n, df in read.items()}
-    tokens = pipeline.tokenised(splits["train"])
-    tables = pipeline.profile_tables(splits["train"], tokens, ["the", "a"])
+    splits = {n: workflow.labelled(df, 3) for n, df in read.items()}
+    tokens = workflow.tokenised(splits["train"])
+    tables = workflow.profile_tables(splits["train"], tokens, ["the", "a"])
     assert tables["class_distribution"].first().n_total == 160
     assert all(t.count() > 0 for t in tables.values())
     words = {r.term for r in tables["distinctive_words"].filter("only_pos").collect()}
     assert words <= set(loaded)
 
-    training = pipeline.train(
+    training = workflow.train(
         splits["train"], splits["dev"], reg_params=(0.01, 1.0), n_aug=1, num_features=1 << 10, max_iter=10
     )
     assert training.history.count() == 2
-    dev = pipeline.predict([training.model], splits["dev"], training.threshold)
+    dev = workflow.predict([training.model], splits["dev"], training.threshold)
     names = ("unequal", "shallow", "pity")
-    report = pipeline.evaluate(splits["dev"], dev, names)
+    report = workflow.evaluate(splits["dev"], dev, names)
     summary = {r.metric: r.value for r in report["summary"].collect()}
     assert summary["n"] == 80 and summary["f1"] > 0.8 and summary["average_precision"] > 0.8
     assert summary["f1"] == metrics.binary_metrics(splits["dev"].join(dev, "id")).first().f1
@@ -68,5 +68,5 @@ def test_whole_work_flow(spark, tmp_path):
     assert all(t.columns for t in report.values())
 
     test = sources.read_split(spark, f"{raw['out_dir']}/test", labelled=False)
-    scored = {r.id: r.score for r in pipeline.predict([training.model] * 2, test, training.threshold).collect()}
+    scored = {r.id: r.score for r in workflow.predict([training.model] * 2, test, training.threshold).collect()}
     assert scored[900] > scored[901]

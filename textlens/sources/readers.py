@@ -131,7 +131,7 @@ def _skip_lines(lines: DataFrame, skip: int) -> DataFrame:
         .withColumn("_start", F.lit(0).cast("bigint"))
     )
     index = _checked(F.col("_seq") - F.col("_first_seq"), F.col("_n"))
-    in_preamble = (F.col("_start") == 0) & (index < skip)
+    in_preamble = F.when(F.col("_start") == 0, index < skip).otherwise(F.lit(False))
     joined = placed.join(_per_split(heads, lines), ["_file", "_start"], "left")
     return joined.filter(~in_preamble).select("value")
 
