@@ -12,6 +12,7 @@ from textlens.functions import (
     bce_with_logits,
     binarise,
     focal_loss,
+    hash_key,
     inject_keyword,
     is_missing,
     label_is_bad,
@@ -23,6 +24,7 @@ from textlens.functions import (
     safe_ratio,
     seeded_uniform,
     sigmoid,
+    uniform_exceeds,
     unlabelled_targets,
     word_tokens,
 )
@@ -142,6 +144,13 @@ def test_small_functions(spark):
     u = spark.range(2000).select(seeded_uniform(42, F.col("id")).alias("u"))
     row = u.agg(F.min("u"), F.max("u"), F.avg("u"), F.count_distinct("u")).first()
     assert 0 <= row[0] and row[1] < 1 and abs(row[2] - 0.5) < 0.03 and row[3] == 2000
+    value = u.filter("u > 0.4").first().u
+    for p in (-1.0, 0.0, 0.1, value, 0.9999999999, 1.0, 2.0):
+        same = spark.range(2000).filter(
+            uniform_exceeds(hash_key(42, F.col("id")), p)
+            != (seeded_uniform(42, F.col("id")) > p)
+        )
+        assert same.count() == 0
 
 
 SCORED = "id bigint, keyword string, y int, pred int, score double, text string"

@@ -1,6 +1,6 @@
 """Column expressions: all built-in, all inside the JVM."""
 
-from textlens.functions.hashing import seeded_uniform
+from textlens.functions.hashing import hash_key, seeded_uniform, uniform_exceeds
 from textlens.functions.labels import (
     binarise,
     label_is_bad,
@@ -35,6 +35,7 @@ __all__ = [
     "decide",
     "f1_from_counts",
     "focal_loss",
+    "hash_key",
     "inject_keyword",
     "is_missing",
     "label_is_bad",
@@ -49,6 +50,7 @@ __all__ = [
     "safe_ratio",
     "seeded_uniform",
     "sigmoid",
+    "uniform_exceeds",
     "unlabelled_targets",
     "word_tokens",
     "ws_tokens",

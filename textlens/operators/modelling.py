@@ -161,8 +161,9 @@ def score_batches(
 
 
 # A term with at least 1/HOT_TERMS of all occurrences is hot: there are at most
-# HOT_TERMS of them in any collection, so their weights can be broadcast.
-HOT_TERMS = 10_000
+# HOT_TERMS of them in any collection, so their weights, some 100 bytes each, can be
+# broadcast. In natural language they are nearly all occurrences.
+HOT_TERMS = 1_000_000
 
 
 @dataclass(frozen=True)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlens.functions.hashing import seeded_uniform
+from textlens.functions.hashing import hash_key, seeded_uniform, uniform_exceeds
 from textlens.functions.scoring import safe_ratio
 from textlens.functions.text import ws_tokens
 from textlens.operators.lexical import class_sizes
@@ -93,19 +93,23 @@ def augment_word_deletion(
     positives = examples.filter(F.col("y") == 1)
     if n_aug < 1:
         return positives.withColumn("copy", F.lit(1)).limit(0)
-    copies = positives.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(n_aug))))
+    # Split and keyed once per row; only the position is added per word.
+    copies = positives.withColumn("_words", ws_tokens("text")).withColumn(
+        "copy", F.explode(F.sequence(F.lit(1), F.lit(n_aug)))
+    )
+    keyed = copies.withColumn("_key", hash_key(seed, F.col("id"), F.col("copy")))
 
     def stays(_, position):
-        return seeded_uniform(seed, F.col("id"), F.col("copy"), position) > drop_prob
+        key = F.concat(F.col("_key"), F.lit("|"), position.cast("string"))
+        return uniform_exceeds(key, drop_prob)
 
-    kept = F.filter(ws_tokens("text"), stays)
     return (
-        copies.withColumn("_kept", kept)
+        keyed.withColumn("_kept", F.filter("_words", stays))
         .withColumn(
             "text",
             F.when(F.size("_kept") > 0, F.array_join("_kept", " ")).otherwise(F.col("text")),
         )
-        .drop("_kept")
+        .drop("_kept", "_words", "_key")
     )
 
 
