@@ -236,3 +236,5 @@ def test_length_histogram_matches_numpy(spark):
     stats = profile.token_length_stats(df).first()
     assert stats.std_tokens == pytest.approx(statistics.stdev(lengths))
     assert stats.median_tokens == statistics.median(lengths)
+    rough = profile.token_length_stats(df, approximate=True).first()
+    assert rough.median_tokens in (statistics.median_low(lengths), statistics.median_high(lengths))
