@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textlens.llm.common import store
+from textlens.llm.mixing import mix_sources, with_size
 from textlens.llm.packing import pack_documents
 from textlens.llm.topk_search import top_k_products
 from textlens.llm.vector_neardup import near_duplicate_vectors
@@ -43,6 +45,19 @@ def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+@query("op2_mixing")
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = with_size(table(spark, sf_dir, "documents"))
+    sized = store(sized.select("doc_id", "mix_size", "mix_source", "mix_key"), "mix-sizes")
+    return mix_sources(sized).select(
+        "doc_id",
+        F.col("mix_size").alias("size"),
+        "source_size",
+        "target",
+        (F.col("mix_size") * F.size("draws")).alias("taken"),
+    )
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 

@@ -16,10 +16,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textlens.llm.common import store
 from textlens.llm.vector_neardup import finite_vector
 
 QUERY_BLOCK = 1024
-CANDIDATE_BLOCK = 16384
+CANDIDATE_BLOCK = 8192
+MAX_TASKS = 100_000
 _STEP = 1024
 _BEST = "query_id long, vec_id long, score long"
 
@@ -72,8 +74,12 @@ def _block_best(k: int, levels: tuple[int, ...]):
                         alive &= (bq @ bx[part].T) + slack >= floor[:, None]
                 i, j = np.nonzero(alive)
                 j += s
-                score = np.empty(len(i), np.int64)
-                for c in range(0, len(i), 1 << 17):
+                if len(i) > alive.size // 32:  # dense survivors: one product is cheaper than pairs
+                    score = (q @ x[part].T)[i, j - s].astype(np.int64)
+                    i_left = 0
+                else:
+                    score, i_left = np.empty(len(i), np.int64), len(i)
+                for c in range(0, i_left, 1 << 17):
                     at = slice(c, c + (1 << 17))
                     score[at] = np.einsum("ij,ij->i", q[i[at]], x[j[at]]).astype(np.int64)
                 good = score >= floor[i]
@@ -135,13 +141,16 @@ def top_k_products(
         F.size("raw").alias("width"),
     ).dropDuplicates(["vec_id", "vector"])
     queries = rows.where(is_query)
-    blocks = rows.groupBy("width").agg(
+    blocks = store(rows.groupBy("width").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(float(candidate_block))).cast("int").alias("cbs"),
         F.greatest(
             F.lit(1), F.ceil(F.count(F.when(is_query, 1)) / F.lit(float(query_block))).cast("int")
         ).alias("qbs"),
-    )
+    ), "search-blocks")
+    pairs = blocks.agg(F.sum(F.col("qbs") * F.col("cbs"))).first()[0] or 1
     dealt = _dealt(queries, blocks, "qb", "cb").union(_dealt(rows, blocks, "cb", "qb"))
+    # One task a pair of blocks: the bytes are few, the products many.
+    dealt = dealt.repartition(min(pairs, MAX_TASKS), "width", "qb", "cb")
     best = dealt.groupBy("width", "qb", "cb").applyInArrow(_block_best(k, levels), _BEST)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (

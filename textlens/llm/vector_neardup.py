@@ -20,6 +20,7 @@ from textlens.llm.common import fingerprint, store
 from textlens.llm.components import connected_components
 
 TILE_ROWS = 2048
+MAX_TASKS = 100_000
 _LINKS = "node long, links long, root long"
 
 
@@ -149,9 +150,13 @@ def near_duplicate_vectors(
         .withColumn("width", F.size("vector")),
         "vector-classes",
     )
-    tiles = classes.groupBy("label", "width").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(float(tile_rows))).cast("int").alias("tiles")
+    tiles = store(
+        classes.groupBy("label", "width").agg(
+            F.ceil(F.count(F.lit(1)) / F.lit(float(tile_rows))).cast("int").alias("tiles")
+        ),
+        "vector-tiles",
     )
+    pairs = tiles.agg(F.sum(F.col("tiles") * (F.col("tiles") + 1) / 2).cast("long")).first()[0] or 1
     dealt = (
         classes.join(tiles, ["label", "width"])
         .withColumn("tile", F.pmod(F.xxhash64("one", "two"), F.col("tiles")).cast("int"))
@@ -167,6 +172,8 @@ def near_duplicate_vectors(
             "vector",
         )
     )
+    # One task a pair of tiles: the bytes are few, the products many.
+    dealt = dealt.repartition(min(pairs, MAX_TASKS), "label", "width", "i", "j")
     found = store(
         dealt.groupBy("label", "width", "i", "j").applyInArrow(_tile_links(threshold), _LINKS),
         "vector-links",
