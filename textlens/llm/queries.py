@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textlens.llm.common import store
 from textlens.llm.mixing import mix_sources, with_size
 from textlens.llm.packing import pack_documents
+from textlens.llm.quality_mil import quality_scores
 from textlens.llm.topk_search import top_k_products
 from textlens.llm.vector_neardup import near_duplicate_vectors
 from textlens.llm.url_rules import judge_urls
@@ -58,6 +59,11 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op3_quality_mil")
+def op3_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
