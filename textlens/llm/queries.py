@@ -12,6 +12,7 @@ from textlens.llm.mixing import mix_sources, with_size
 from textlens.llm.packing import pack_documents
 from textlens.llm.quality_mil import quality_scores
 from textlens.llm.topk_search import top_k_products
+from textlens.llm.toxicity_ssk import toxicity_scores
 from textlens.llm.vector_neardup import near_duplicate_vectors
 from textlens.llm.url_rules import judge_urls
 
@@ -64,6 +65,11 @@ def op3_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op6_toxicity_ssk")
+def op6_toxicity_ssk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
