@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textlens.llm.archives import archive_round_trip
 from textlens.llm.common import store
 from textlens.llm.mixing import mix_sources, with_size
 from textlens.llm.packing import pack_documents
@@ -106,6 +107,23 @@ def op7_vector_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
+@query(
+    "op8_archives",
+    """
+    WITH p AS (
+      SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+      FROM pages),
+    m AS (SELECT payload_digest, max(page_id) AS keep FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+    SELECT p.page_id, p.payload_bytes, p.payload_digest,
+      CASE WHEN m.keep <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+      CASE WHEN m.keep <> p.page_id THEN m.keep END AS refers_to
+    FROM p LEFT JOIN m ON p.payload_digest = m.payload_digest AND p.payload_bytes >= 1000
+    """,
+)
+def op8_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 @query(
     "op10_topk_search",
     """
