@@ -11,6 +11,7 @@ from textlens.llm.archives import archive_round_trip
 from textlens.llm.common import store
 from textlens.llm.mixing import mix_sources, with_size
 from textlens.llm.packing import pack_documents
+from textlens.llm.pii_spans import KINDS, find_personal_data, spans_text
 from textlens.llm.quality_mil import quality_scores
 from textlens.llm.topk_search import top_k_products
 from textlens.llm.toxicity_ssk import toxicity_scores
@@ -124,6 +125,16 @@ def op8_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+@query("op9_pii_spans")
+def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(table(spark, sf_dir, "documents"))
+    kinds = F.transform("spans", lambda s: s["kind"])
+    counts = [(F.size("spans") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    return found.select(
+        "doc_id", *counts, F.sha2(spans_text(F.col("base_spans")), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans")
+    )
+
+
 @query(
     "op10_topk_search",
     """
