@@ -22,12 +22,12 @@ from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlens.llm.common import store, uniform
 from textlens.llm.components import connected_components
-from textlens.llm.shingles import fingerprints, mix, shingle_sets
+from textlens.llm.shingles import fingerprints, mix, parities, shingle_sets
 
 #: Sets from which the frequent shingles are learned, and how many of these are kept.
 SAMPLE_SETS, FREQUENT = 20_000, 1_000_000
@@ -59,18 +59,21 @@ def boundary(list_cost: float = LIST_COST, most: int = 64) -> int:
     return n
 
 
-def list_keys(shingles: np.ndarray, rare_first: np.ndarray, small: int) -> np.ndarray:
-    """Keys of one set. `rare_first`: the same shingles in the order of the lists."""
+def list_keys(shingles: np.ndarray, rare_first: np.ndarray, small: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of one set, and how many of its shingles come before each in the order of the
+    lists, `rare_first`; none before a subset."""
     n = len(shingles)
-    parts = []
+    parts, places = [shingles[:0]], [np.zeros(0, np.int32)]
     if n <= small:
         for c in subset_sizes(n):
             if c <= n:
                 rows = shingles[np.array(list(combinations(range(n), c)), np.int64).reshape(-1, c)]
                 parts.append(mix(mix(rows).sum(axis=1, dtype=np.uint64) + np.uint64(c)))
+                places.append(np.zeros(len(rows), np.int32))
     if n > small or 5 * n >= 4 * (small + 1):
         parts.append(mix(rare_first[: listed(n)] ^ np.uint64(0xD6E8FEB86659FD93)))
-    return np.concatenate(parts) if parts else shingles[:0]
+        places.append(np.arange(listed(n), dtype=np.int32))
+    return np.concatenate(parts), np.concatenate(places)
 
 
 def _sets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -83,13 +86,15 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.
             yield batch.slice(s, rows)
 
 
+_BITS = ("p0", "p1", "p2", "p3")
+
+
 def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _slices(batches):
         sets = list(_sets(batch))
-        marks = [fingerprints(x) for x in sets]
+        marks = np.array([(len(x), *fingerprints(x), *parities(x)) for x in sets], np.int64).reshape(-1, 7)
         yield pa.RecordBatch.from_arrays(
-            [batch["doc_id"], pa.array([len(x) for x in sets], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64())],
-            ["doc_id", "n", "one", "two"],
+            [batch["doc_id"], *[pa.array(marks[:, i].copy()) for i in range(7)]], ["doc_id", "n", "one", "two", *_BITS]
         )
 
 
@@ -104,7 +109,7 @@ def _entries(frequent, small: int):
         known, order = frequent.value
         seen: set[tuple[int, int]] = set()  # copies in one task are listed once
         for batch in _slices(batches):
-            keys, ones, sizes = [], [], []
+            keys, places, ones, sizes = [], [], [], []
             for x in _sets(batch):
                 mark = fingerprints(x)
                 if not len(x) or mark in seen:
@@ -114,13 +119,15 @@ def _entries(frequent, small: int):
                 if len(known):
                     at = np.minimum(np.searchsorted(known, x), len(known) - 1)
                     rank = np.where(known[at] == x, order[at], 0)
-                mine = list_keys(x, x[np.lexsort((x, rank))], small)
+                mine, before = list_keys(x, x[np.lexsort((x, rank))], small)
                 keys.append(mine.view(np.int64))
+                places.append(before)
                 ones.append(np.full(len(mine), mark[0]))
                 sizes.append(np.full(len(mine), len(x)))
             if keys:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys)), pa.array(np.concatenate(ones)), pa.array(np.concatenate(sizes).astype(np.int32))], ["key", "one", "n"]
+                    [pa.array(np.concatenate(keys)), pa.array(np.concatenate(places)), pa.array(np.concatenate(ones)), pa.array(np.concatenate(sizes).astype(np.int32))],
+                    ["key", "place", "one", "n"],
                 )
 
     return run
@@ -169,8 +176,14 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFram
     return store(joined.select("pivot", "member", "left", "right").mapInArrow(_linked, "a long, b long"), "links")
 
 
-def _fits(a: str, b: str):
-    return (5 * F.col(a) >= 4 * F.col(b)) & (5 * F.col(b) >= 4 * F.col(a))
+def _fits() -> Column:
+    """Whether two members of a list can link if the list is the first they share: what either
+    has before it the other lacks, and together they may lack n + m - 2 c(n, m). Nor may
+    their parities differ in more bits."""
+    n, m = F.col("n"), F.col("pivot_n")
+    room = n + m - 2 * F.ceil(4 * (n + m) / 9 - 1e-9)
+    bits = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"pivot_{p}"))) for p in _BITS), F.lit(0))
+    return (5 * n >= 4 * m) & (5 * m >= 4 * n) & (F.col("place") + F.col("pivot_place") <= room) & (bits <= room)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", star_rounds: int = 2, list_cost: float = LIST_COST) -> DataFrame:
@@ -187,9 +200,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    shapes = store(texts.mapInArrow(_shapes, "doc_id long, n long, one long, two long"), "shapes")
+    shapes = store(texts.mapInArrow(_shapes, "doc_id long, n long, one long, two long, p0 long, p1 long, p2 long, p3 long"), "shapes")
     classes = store(
-        shapes.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "one", "two").agg(F.min("doc_id").alias("node")), "classes"
+        shapes.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "one", "two").agg(F.min("doc_id").alias("node"), *[F.first(p).alias(p) for p in _BITS]), "classes"
     )
     sample = classes.select("node").where(uniform(F.lit("order"), "node") < SAMPLE_SETS / max(1, classes.count()))
     common = (
@@ -201,13 +214,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     order = np.argsort(known)
     frequent = spark.sparkContext.broadcast((known[order], np.array([r["count"] for r in common], np.int64)[order]))
 
-    entries = texts.where("doc_id IS NOT NULL").select("text").mapInArrow(_entries(frequent, boundary(list_cost)), "key long, one long, n int")
+    entries = texts.where("doc_id IS NOT NULL").select("text").mapInArrow(_entries(frequent, boundary(list_cost)), "key long, place int, one long, n int")
     by_key = Window.partitionBy("key")
     lists = store(
         entries.withColumns({"low": F.min("one").over(by_key), "high": F.max("one").over(by_key)})
-        .where("low < high").select("key", "one", "n").distinct()
-        .join(classes.select("one", "node", F.col("n").alias("size")), "one").where("n = size")
-        .select("key", "node", "n"),
+        .where("low < high").groupBy("key", "one", "n").agg(F.min("place").alias("place"))
+        .join(classes.select("one", "node", F.col("n").alias("size"), *_BITS), "one").where("n = size")
+        .select("key", "node", "n", "place", *_BITS),
         "lists",
     )
     links = None
@@ -222,13 +235,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         else:
             rows = rows.withColumn("c", F.col("node"))
         if step < star_rounds:
-            best = F.struct(F.xxhash64(F.lit(step), "node").alias("h") if step else F.lit(0).alias("h"), F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("c").alias("pivot_c"))
+            # first the member with the fewest shingles of its own, then any
+            first = F.xxhash64(F.lit(step), "node") if step else F.col("place").cast("long")
+            best = F.struct(first.alias("first"), F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("place").alias("pivot_place"), *[F.col(p).alias(f"pivot_{p}") for p in _BITS], F.col("c").alias("pivot_c"))
             pivots = rows.groupBy("key").agg(F.min(best).alias("best")).select("key", "best.*")
-            pairs = rows.join(pivots, "key").where(F.col("c") != F.col("pivot_c"))
+            pairs = rows.join(pivots, "key").where((F.col("c") != F.col("pivot_c")) & _fits())
         else:
-            others = rows.select("key", F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("c").alias("pivot_c"))
-            pairs = rows.join(others, "key").where((F.col("c") != F.col("pivot_c")) & (F.col("pivot") < F.col("node")))
-        pairs = pairs.where(_fits("n", "pivot_n")).select(
+            others = rows.select("key", F.col("node").alias("pivot"), F.col("n").alias("pivot_n"), F.col("place").alias("pivot_place"), *[F.col(p).alias(f"pivot_{p}") for p in _BITS], F.col("c").alias("pivot_c"))
+            pairs = rows.join(others, "key").where((F.col("c") != F.col("pivot_c")) & (F.col("pivot") < F.col("node")) & _fits())
+        pairs = pairs.select(
             F.least("pivot", "node").alias("pivot"), F.greatest("pivot", "node").alias("member")
         ).distinct()
         if tried is not None:

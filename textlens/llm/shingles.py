@@ -88,3 +88,13 @@ def fingerprints(shingles: np.ndarray) -> tuple[int, int]:
     one = mix(shingles ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
     two = mix(shingles ^ np.uint64(0x14057B7EF767814F)).sum(dtype=np.uint64)
     return int(one.astype(np.int64)), int(two.astype(np.int64))
+
+
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """256 bits in four numbers: in each, whether an odd number of shingles falls on the bit.
+
+    Sets that differ in d shingles differ in at most d bits.
+    """
+    bit = (mix(shingles ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(56)).astype(np.int64)
+    odd = (np.bincount(bit, minlength=256) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
