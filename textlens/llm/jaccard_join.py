@@ -27,10 +27,10 @@ from pyspark.sql import functions as F
 
 from textlens.llm.common import store, uniform
 from textlens.llm.components import connected_components
-from textlens.llm.shingles import fingerprints, mix, parities, shingle_sets
+from textlens.llm.shingles import fingerprints, fold, mix, parities, shingle_sets
 
 #: Sets from which the frequent shingles are learned, and how many of these are kept.
-SAMPLE_SETS, FREQUENT = 20_000, 1_000_000
+SAMPLE_SETS, FREQUENT = 100_000, 1_000_000
 #: What one entry of an inverted list costs, in subsets.
 LIST_COST = 16
 #: Pairs up to this number are sent to the texts, 24 bytes each; beyond, Spark joins as it sees fit.
@@ -92,9 +92,12 @@ _BITS = ("p0", "p1", "p2", "p3")
 def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _slices(batches):
         sets = list(_sets(batch))
-        marks = np.array([(len(x), *fingerprints(x), *parities(x)) for x in sets], np.int64).reshape(-1, 7)
+        odd = [parities(x) for x in sets]
+        marks = [(len(x), *fingerprints(x), *fold(o, 32).view(np.int64)) for x, o in zip(sets, odd)]
+        marks = np.array(marks, np.int64).reshape(-1, 7)
         yield pa.RecordBatch.from_arrays(
-            [batch["doc_id"], *[pa.array(marks[:, i].copy()) for i in range(7)]], ["doc_id", "n", "one", "two", *_BITS]
+            [batch["doc_id"], *[pa.array(marks[:, i].copy()) for i in range(7)], pa.array([o.tobytes() for o in odd], pa.binary())],
+            ["doc_id", "n", "one", "two", *_BITS, "odd"],
         )
 
 
@@ -154,7 +157,29 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.minimum(np.searchsorted(b, a), len(b) - 1)
             both = int((b[at] == a).sum())
             keep.append(100 * both >= 80 * (len(a) + len(b) - both))
-        yield pa.RecordBatch.from_arrays([batch["pivot"].filter(pa.array(keep)), batch["member"].filter(pa.array(keep))], ["a", "b"])
+        kept = pa.array(keep, pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch["pivot"].filter(kept), batch["member"].filter(kept)], ["a", "b"])
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose parities differ in no more bits than their sets may in shingles."""
+    for batch in batches:
+        keep = []
+        sides = (batch["n"].to_pylist(), batch["m"].to_pylist(), batch["left"], batch["right"])
+        for n, m, left, right in zip(*sides):
+            a, b = np.frombuffer(left.as_buffer(), np.uint8), np.frombuffer(right.as_buffer(), np.uint8)
+            size = min(len(a), len(b))
+            bits = int(np.bitwise_count(fold(a, size) ^ fold(b, size)).sum())
+            keep.append(bits <= n + m - 2 * overlap_needed(n, m))
+        kept = pa.array(keep, pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch["pivot"].filter(kept), batch["member"].filter(kept)], ["pivot", "member"])
+
+
+def _possible(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs that full-size parities do not rule out; they are some 60 times smaller than sets."""
+    left = classes.select(F.col("node").alias("pivot"), "n", F.col("odd").alias("left"))
+    right = classes.select(F.col("node").alias("member"), F.col("n").alias("m"), F.col("odd").alias("right"))
+    return pairs.join(left, "pivot").join(right, "member").mapInArrow(_near, "pivot long, member long")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -200,9 +225,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    shapes = store(texts.mapInArrow(_shapes, "doc_id long, n long, one long, two long, p0 long, p1 long, p2 long, p3 long"), "shapes")
+    shapes = store(texts.mapInArrow(_shapes, "doc_id long, n long, one long, two long, p0 long, p1 long, p2 long, p3 long, odd binary"), "shapes")
     classes = store(
-        shapes.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "one", "two").agg(F.min("doc_id").alias("node"), *[F.first(p).alias(p) for p in _BITS]), "classes"
+        shapes.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "one", "two").agg(F.min("doc_id").alias("node"), *[F.first(p).alias(p) for p in (*_BITS, "odd")]), "classes"
     )
     sample = classes.select("node").where(uniform(F.lit("order"), "node") < SAMPLE_SETS / max(1, classes.count()))
     common = (
@@ -248,7 +273,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         ).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["pivot", "member"], "left_anti")
-        pairs = store(pairs, "pairs")
+        pairs = store(_possible(pairs, classes), "pairs")
         if pairs.isEmpty() and step:
             break
         found = _verified(texts, pairs, classes)

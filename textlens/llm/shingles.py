@@ -91,10 +91,19 @@ def fingerprints(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def parities(shingles: np.ndarray) -> np.ndarray:
-    """256 bits in four numbers: in each, whether an odd number of shingles falls on the bit.
+    """Bits, packed in bytes: in each, whether an odd number of shingles falls on it.
 
-    Sets that differ in d shingles differ in at most d bits.
+    There are about as many bits as shingles, a power of two from 256 up. Sets that differ
+    in d shingles differ in at most d bits, also after `fold`.
     """
-    bit = (mix(shingles ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(56)).astype(np.int64)
-    odd = (np.bincount(bit, minlength=256) & 1).astype(np.uint8)
-    return np.packbits(odd).view(np.int64)
+    bits = max(256, 1 << max(0, len(shingles) - 1).bit_length())
+    at = (mix(shingles ^ np.uint64(0x2545F4914F6CDD1D)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8))
+
+
+def fold(packed: np.ndarray, size: int) -> np.ndarray:
+    """Parities in `size` bytes, fewer by a power of two."""
+    while len(packed) > size:
+        half = len(packed) // 2
+        packed = packed[:half] ^ packed[half:]
+    return packed
