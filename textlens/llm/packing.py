@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,9 @@ from pyspark.sql import functions as F
 SEQUENCE = 4096
 END_ID = 2
 #: Distinct words whose ids a Python worker remembers; beyond it the memory starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 1_500_000
+#: ASCII signs that no letter joins with; an apostrophe does.
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _CODES: dict[str, WordCodes] = {}
 
 
@@ -29,7 +32,7 @@ class WordCodes(dict):
     """Ids of whole texts, with the ids of each blank-separated word worked out once.
 
     The tokenizer drops white space and never joins across it, so the ids of a text are
-    those of its words. A letter never joins with a full stop or comma behind it either.
+    those of its words. Letters never join with the signs behind them either.
     """
 
     def __init__(self, path: str):
@@ -38,7 +41,7 @@ class WordCodes(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.tails = {c: self._one(c) for c in ".,"}
+        self.tails: dict[str, list[int]] = {"": []}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
@@ -46,60 +49,84 @@ class WordCodes(dict):
 
     def _forget(self) -> None:
         self.clear()
-        self.flat: list[int] = []
-        self.starts: list[int] = []
-        self.lengths: list[int] = []
+        self.new: list[str] = []
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.used = 0
+
+    def __missing__(self, word: str) -> int:
+        self[word] = at = len(self)
+        self.new.append(word)
+        return at
 
     def _one(self, word: str) -> list[int]:
         return self.tokenizer.encode(word, add_special_tokens=False).ids
 
     def _letters(self, words: list[str]) -> list[list[int]]:
         """Ids of words that are one run of letters each."""
-        ids = np.array(self._one(" ".join(words)), np.int64)
-        stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) != len(words) or (len(stops) and stops[-1] != len(ids)):
+        ids = self._one(" ".join(words))
+        stops = (np.flatnonzero(self.ends[ids]) + 1).tolist() if ids else []
+        if len(stops) != len(words) or (stops and stops[-1] != len(ids)):
             return [self._one(w) for w in words]  # lower case took a letter apart
-        return [x.tolist() for x in np.split(ids, stops[:-1])]
-
-    def _learn(self, words: Iterable[str]) -> None:
-        plain: dict[str, list[str]] = {}
-        for word in words:
-            stem = word[:-1] if word[-1:] in self.tails else word
-            if stem.isalpha():
-                plain.setdefault(stem, []).append(word)
+        return [ids[a:b] for a, b in zip([0, *stops], stops)]
+
+    def _tail(self, tail: str) -> list[int]:
+        if tail not in self.tails:
+            if len(self.tails) > 10_000:
+                self.tails = {"": []}
+            self.tails[tail] = self._one(tail)
+        return self.tails[tail]
+
+    def _learn(self) -> None:
+        """Ids of the words that were met for the first time."""
+        stems = [w.rstrip(_SIGNS) for w in self.new]
+        plain = list(dict.fromkeys(s for s in stems if s.isalpha()))
+        known: dict[str, list[int]] = {}
+        for s in range(0, len(plain), 1000):
+            known.update(zip(plain[s : s + 1000], self._letters(plain[s : s + 1000])))
+        ids = []
+        for word, stem in zip(self.new, stems):
+            found = known.get(stem)
+            if found is None:
+                ids.append(self._one(word))
             else:
-                self._put(word, self._one(word))
-        stems = list(plain)
-        for s in range(0, len(stems), 1000):
-            part = stems[s : s + 1000]
-            for stem, ids in zip(part, self._letters(part)):
-                for word in plain[stem]:
-                    self._put(word, ids if word == stem else ids + self.tails[word[-1]])
-
-    def _put(self, word: str, ids: list[int]) -> None:
-        self[word] = len(self.starts)
-        self.starts.append(len(self.flat))
-        self.lengths.append(len(ids))
-        self.flat.extend(ids)
+                ids.append(found if word == stem else found + self._tail(word[len(stem) :]))
+        first, last = len(self) - len(self.new), len(self)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        total = int(sizes.sum())
+        self.starts, self.lengths = _room(self.starts, last), _room(self.lengths, last)
+        self.flat = _room(self.flat, self.used + total)
+        self.lengths[first:last] = sizes
+        self.starts[first:last] = self.used + np.cumsum(sizes) - sizes
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
+        self.used += total
+        self.new = []
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = {w for words in split for w in words if w not in self}
-        if len(self) + len(new) > REMEMBERED and len(self):
+        if len(self) > REMEMBERED:
             self._forget()
-            new = {w for words in split for w in words}
-        self._learn(new)
-        flat, starts = np.array(self.flat, np.uint32), np.array(self.starts, np.int64)
-        lengths = np.array(self.lengths, np.int64)
+        places = []
+        for text in texts:
+            words = text.replace("\n", " ").split(" ")
+            places.append(np.fromiter(map(self.__getitem__, words), np.int64, len(words)))
+        if self.new:
+            self._learn()
         out = []
-        for words in split:
-            at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-            n = lengths[at]
-            shift = np.repeat(starts[at] - (np.cumsum(n) - n), n)
-            out.append(flat[shift + np.arange(len(shift))])
+        for at in places:
+            n = self.lengths[at]
+            shift = np.repeat(self.starts[at] - (np.cumsum(n) - n), n)
+            shift += np.arange(len(shift))
+            out.append(self.flat[shift])
         return out
 
 
+def _room(values: np.ndarray, size: int) -> np.ndarray:
+    """The array, made longer if it holds fewer than `size` values."""
+    if size <= len(values):
+        return values
+    return np.concatenate([values, np.zeros(max(size, 2 * len(values)) - len(values), values.dtype)])
+
+
 def word_codes(path: str) -> WordCodes:
     if path not in _CODES:
         _CODES[path] = WordCodes(path)
