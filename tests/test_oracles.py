@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from textlens.plans import ORACLES, QUERIES
 from tests.oracle import connect, differences
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, SQL = queries(), oracle_sql()
+SQL = ORACLES
 
 
 @pytest.fixture(scope="module")

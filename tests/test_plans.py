@@ -7,12 +7,11 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from __spark_entry__ import queries
+from textlens.plans import QUERIES
 from textlens.operators import joins, lexical, metrics, modelling, ranking, rebalance
 from textlens.plans import fixtures as fx
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES = queries()
 TOKENISER = r"regexp_extract_all\(lower\("
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textlens import sources
-from textlens.operators import joins, quality
+from textlens.operators import joins, modelling, quality
 
 PREAMBLE = "This corpus is for research.\nDo not share.\n\tIndented\n----\n"
 
@@ -27,12 +27,12 @@ def test_corpus_with_preamble_and_quotes(spark, tmp_path):
         + "3\t@@9\twomen\tNA\t\t0\n",
     )
     rows = {r.id: r for r in sources.read_corpus_tsv(spark, path).collect()}
-    assert sorted(rows) == [1, 2, 3]
-    assert rows[1].text == "Plain text ." and rows[1].art_id == "@@7"
-    assert rows[2].text == 'Quoted "so" and a\ttab'
-    assert rows[3].text is None and rows[3].country == "NA"
+    assert sorted(rows) == ["1", "2", "3"]
+    assert rows["1"].text == "Plain text ." and rows["1"].art_id == "@@7"
+    assert rows["2"].text == 'Quoted "so" and a\ttab'
+    assert rows["3"].text is None and rows["3"].country == "NA"
     named = sources.read_corpus_tsv(spark, path, na_values=["NA"])
-    assert named.filter("id = 3").first().country is None
+    assert named.filter("id = '3'").first().country is None
 
 
 def test_preamble_is_skipped_in_each_file_and_only_there(spark, tmp_path):
@@ -55,7 +55,7 @@ def test_corpus_without_quoting_and_bad_rows(spark, tmp_path):
     plain = sources.read_corpus_tsv(spark, path, skip=0, quote="\0", keep_corrupt=True)
     rows = plain.orderBy(F.col("id").asc_nulls_last()).collect()
     assert rows[0].text == '"half quoted'
-    assert rows[1].id is None and rows[1]["_corrupt_record"].startswith("x\t")
+    assert [r.id for r in rows] == ["1", "x"]
 
 
 def test_corpus_with_line_breaks(spark, tmp_path):
@@ -67,9 +67,19 @@ def test_corpus_with_line_breaks(spark, tmp_path):
 def test_labels_and_unlabelled(spark, tmp_path):
     labels = _write(tmp_path / "l.csv", 'par_id,label\n5,"[1, 0]"\n3,"[0, 0]"\n')
     rows = sources.read_labels_csv(spark, labels, row_ids=True).orderBy("row_id").collect()
-    assert [(r.row_id, r.id, r.label) for r in rows] == [(0, 5, "[1, 0]"), (1, 3, "[0, 0]")]
+    assert [(r.row_id, r.id, r.label) for r in rows] == [(0, "5", "[1, 0]"), (1, "3", "[0, 0]")]
     test = _write(tmp_path / "t.tsv", "t_1\ta\tk\tus\tx\n7\ta\tk\tus\ty\n")
-    assert [r.id for r in sources.read_unlabelled_tsv(spark, test).collect()] == [None, 7]
+    assert [r.id for r in sources.read_unlabelled_tsv(spark, test).collect()] == ["t_1", "7"]
+
+
+def test_as_many_predictions_as_lines(spark, tmp_path):
+    """Keys that are no numbers reach the prediction file."""
+    lines = [f"t_{i}\ta\tk\tus\ttext {i}\n" for i in range(5)]
+    test = sources.read_unlabelled_tsv(spark, _write(tmp_path / "t.tsv", "".join(lines)))
+    scores = test.select("id", F.lit("m").alias("model_id"), (F.length("id") / 10.0).alias("score"))
+    threshold = spark.range(1).select(F.lit(0.2).alias("threshold"))
+    got = modelling.predict_split(scores, threshold).collect()
+    assert sorted((r.id, r.pred) for r in got) == [(f"t_{i}", 1) for i in range(5)]
 
 
 @pytest.mark.parametrize("format", ["csv", "parquet"])
@@ -84,7 +94,7 @@ def test_split_round_trip(spark, tmp_path, format):
     path = str(tmp_path / "split")
     sources.write_split(df, path, format, row="row_id")
     back = sources.read_split(spark, path, format, row_ids=True).orderBy("row_id").collect()
-    assert [r.id for r in back] == [2, 4, 9]
+    assert [r.id for r in back] == ["2", "4", "9"]
     assert [r.text for r in back] == [None, 'say "hi",\nthen\tgo', "déjà vu"]
     assert [r.art_id for r in back] == [None, "a", "b"]
 
@@ -145,7 +155,7 @@ def test_alignment_by_position(spark, tmp_path):
 
 
 def test_scores_history_threshold(spark, tmp_path):
-    scores = spark.createDataFrame([(1, "a", 0.25)], "id bigint, model_id string, score double")
+    scores = spark.createDataFrame([("t_1", "a", 0.25)], "id string, model_id string, score double")
     sources.write_scores(scores, str(tmp_path / "s"))
     assert sources.read_scores(spark, str(tmp_path / "s")).collect() == scores.collect()
 
@@ -193,7 +203,7 @@ def test_prepare_and_verify(spark, tmp_path):
     path = str(tmp_path / "train")
     sources.write_split(split, path, "csv", row="row_id")
     back = sources.read_split(spark, path, "csv")
-    assert [r.id for r in back.collect()] == [7, 3, 11]
+    assert [r.id for r in back.collect()] == ["7", "3", "11"]
     assert {r.label for r in back.collect()} == {"[1]"}
     report = quality.quality_report(
         quality.check_row_count(labels, back),

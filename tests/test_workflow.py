@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import pytest
+
 from textlens import sources
 from textlens.operators import metrics
 from textlens.plans import workflow
@@ -43,7 +45,7 @@ def test_whole_work_flow(spark, tmp_path):
     assert [r for r in report if not r.ok] == []
 
     read = {n: sources.read_split(spark, f"{raw['out_dir']}/{n}") for n in ("train", "dev")}
-    order = [int(line.split(",")[0]) for line in labels["train"][1:]]
+    order = [line.split(",")[0] for line in labels["train"][1:]]
     assert [r.id for r in read["train"].collect()] == order
 
     splits = {n: workflow.labelled(df, 3) for n, df in read.items()}
@@ -69,4 +71,12 @@ def test_whole_work_flow(spark, tmp_path):
 
     test = sources.read_split(spark, f"{raw['out_dir']}/test", labelled=False)
     scored = {r.id: r.score for r in workflow.predict([training.model] * 2, test, training.threshold).collect()}
-    assert scored[900] > scored[901]
+    assert scored["900"] > scored["901"]
+    numbered = sources.read_split(spark, f"{raw['out_dir']}/test", labelled=False, row_ids=True)
+    predictions = workflow.predict([training.model], test, training.threshold)
+    workflow.write_prediction_file(predictions, numbered, str(tmp_path / "test.txt"))
+    lines = sources.read_predictions(spark, str(tmp_path / "test.txt")).orderBy("row_id").collect()
+    decided = {r.id: r.pred for r in predictions.collect()}
+    assert [r.pred for r in lines] == [decided["900"], decided["901"]]
+    with pytest.raises(Exception, match="no prediction"):
+        workflow.write_prediction_file(predictions.limit(1), numbered, str(tmp_path / "short.txt"))

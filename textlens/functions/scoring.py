@@ -32,9 +32,18 @@ def sigmoid(logit) -> Column:
 
 
 def decide(score, threshold) -> Column:
-    """1 when the score reaches the threshold (inclusive)."""
+    """1 when the score reaches the threshold (inclusive); null without a score.
+
+    NaN is no score, here and in every figure made from scores.
+    """
     threshold = threshold if isinstance(threshold, Column) else F.lit(threshold)
-    return (_column(score) >= threshold).cast("int")
+    return F.when(has_score(score), (_column(score) >= threshold).cast("int"))
+
+
+def has_score(score) -> Column:
+    """False for null and NaN."""
+    score = _column(score)
+    return score.isNotNull() & ~F.isnan(score)
 
 
 def quadrant(y, pred) -> Column:

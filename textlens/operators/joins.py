@@ -57,7 +57,10 @@ def spread(df: DataFrame, scan: DataFrame, key: str = "id") -> DataFrame:
 
 
 def align_by_position(first: DataFrame, *others: DataFrame, row: str = "row_id") -> DataFrame:
-    """Zip tables by their dense row number; a table of another length is an error."""
+    """Zip tables by their dense row number; a table of another length is an error.
+
+    The check is a condition on the rows, so it holds whatever columns are read.
+    """
     tagged = first.withColumn("_in_0", F.lit(True))
     for i, other in enumerate(others, start=1):
         tagged = tagged.join(other.withColumn(f"_in_{i}", F.lit(True)), row, "full_outer")
@@ -68,8 +71,8 @@ def align_by_position(first: DataFrame, *others: DataFrame, row: str = "row_id")
     message = F.concat(
         F.lit("tables differ in length at row "), F.col(row).cast("string")
     )
-    checked = F.when(absent, F.raise_error(message).cast("bigint")).otherwise(F.col(row))
-    return tagged.withColumn(row, checked).drop(*flags)
+    checked = F.when(absent, F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+    return tagged.filter(checked).drop(*flags)
 
 
 def lookup_by_key(rows: DataFrame, table: DataFrame, key: str = "id") -> DataFrame:
@@ -104,6 +107,12 @@ def fingerprints(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     return df.select(key, *[_fingerprint(F.col(c)).alias(c) for c in columns])
 
 
+def _whole_row(columns: Sequence[str]) -> Column:
+    """One fingerprint of all cells of a row together."""
+    cells = [F.concat_ws("/", F.col(c)["a"].cast("string"), F.col(c)["b"].cast("string")) for c in columns]
+    return _fingerprint(F.concat_ws("|", *cells))
+
+
 def compare_fingerprints(
     left: DataFrame, right: DataFrame, key: str, columns: Sequence[str]
 ) -> DataFrame:
@@ -115,8 +124,9 @@ def compare_fingerprints(
         )
         for side, name in ((left, "L"), (right, "R"))
     ]
+    sides = [side.withColumn("_row", _whole_row(columns)) for side in sides]
     sums = []
-    for c in columns:
+    for c in [*columns, "_row"]:
         for part in ("a", "b"):
             signed = F.when(F.col("_side") == "L", F.col(c)[part]).otherwise(-F.col(c)[part])
             sums.append(F.sum(signed).alias(f"_{c}_{part}"))
@@ -144,6 +154,10 @@ def compare_fingerprints(
         F.when(F.col("_n_right") == 0, F.array(finding(None, "left_only")))
         .when(F.col("_n_left") == 0, F.array(finding(None, "right_only")))
         .when(F.col("_n_left") != F.col("_n_right"), F.array(finding(None, "row_count")))
+        .when(
+            F.coalesce(*[c["problem"] for c in cells]).isNull() & ((F.col("__row_a") != 0) | (F.col("__row_b") != 0)),
+            F.array(finding(None, "row")),
+        )
         .otherwise(F.filter(F.array(*cells), lambda f: f.isNotNull()))
     )
     return grouped.select(key, F.inline(findings))
@@ -157,7 +171,8 @@ def compare_tables(
     Compared as strings. Both sides go through one grouping by key of fixed-size
     hashes, so long texts are never shuffled and a key repeated on both sides is
     summed, not multiplied. Rows of a repeated key are compared as a bag. A key found
-    on one side only is reported once, with a null column name.
+    on one side only is reported once, with a null column name; so are rows of a repeated
+    key whose cells are the same but belong together differently (problem "row").
     """
     return compare_fingerprints(
         fingerprints(left, key, columns), fingerprints(right, key, columns), key, columns

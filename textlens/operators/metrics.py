@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from textlens.functions.scoring import (
     f1_from_counts,
+    has_score,
     percent_of,
     quadrant,
     safe_ratio,
@@ -114,7 +116,7 @@ def classification_report(scored: DataFrame) -> DataFrame:
 def score_totals(scored: DataFrame) -> DataFrame:
     """Rows and positives per distinct score: ties share one point of every curve."""
     return (
-        scored.filter(F.col("score").isNotNull())
+        scored.filter(has_score("score"))
         .groupBy("score")
         .agg(F.count("*").alias("n"), F.sum(F.col("y").cast("bigint")).alias("pos"))
     )
@@ -205,13 +207,13 @@ def length_by_quadrant(scored: DataFrame, length: str = "n_ws_tokens") -> DataFr
 
 
 def errors_by_group(scored: DataFrame, column: str = "keyword") -> DataFrame:
-    """Counts, recall and precision per group; rows without a group are dropped."""
+    """Counts, recall and precision per group; rows without a group or a decision are dropped."""
     groups = (
         scored.filter(F.col(column).isNotNull())
         .groupBy(column)
         .agg(
-            F.count("*").alias("n_total"),
-            F.count_if(F.col("y") == 1).alias("n_pos"),
+            F.count("pred").alias("n_total"),
+            F.count_if((F.col("y") == 1) & F.col("pred").isNotNull()).alias("n_pos"),
             *_counts(),
         )
     )
@@ -299,9 +301,10 @@ def ensemble_mean(scores: DataFrame) -> DataFrame:
 
 
 def predicted_positives(scored: DataFrame) -> DataFrame:
+    """Accepted rows, and rows with a decision."""
     return scored.agg(
         F.coalesce(F.sum(F.col("pred").cast("bigint")), F.lit(0)).alias("n_predicted"),
-        F.count("*").alias("n_total"),
+        F.count("pred").alias("n_total"),
     )
 
 
@@ -311,30 +314,28 @@ def threshold_grid(
     """Precision, recall and F1 at every grid threshold, in one pass over the scores.
 
     Each score is mapped to the last grid point it reaches; the counts at a threshold
-    are then sums over the grid points from there up. Grid points are i * step with
-    integer i, divided exactly, so a score equal to a grid point counts as reached.
+    are then sums over the grid points from there up. Grid points are lo + i * step in
+    decimals, up to hi, so a score equal to a grid point counts as reached.
     """
-    per_unit = round(1 / step)
-    first, last = round(lo * per_unit), round(hi * per_unit)
-
-    def point(i: Column) -> Column:
-        return i.cast("double") / F.lit(float(per_unit))
-
-    guess = F.floor(F.col("score") * F.lit(float(per_unit)))
+    start, end, width = (Decimal(str(x)) for x in (lo, hi, step))
+    points = [float(start + i * width) for i in range(int((end - start) // width) + 1)]
+    last = len(points) - 1
+    at = F.array(*[F.lit(p) for p in points])
+    guess = F.least(
+        F.greatest(F.floor((F.col("score") - F.lit(points[0])) / F.lit(float(width))), F.lit(-1).cast("bigint")),
+        F.lit(last).cast("bigint"),
+    ).cast("int")
     reached = (
-        F.when(F.col("score") >= point(guess + 1), guess + 1)
-        .when(F.col("score") < point(guess), guess - 1)
+        F.when((guess < last) & (F.col("score") >= F.get(at, guess + 1)), guess + 1)
+        .when((guess >= 0) & (F.col("score") < F.get(at, guess)), guess - 1)
         .otherwise(guess)
     )
-    clipped = F.greatest(
-        F.least(reached, F.lit(last).cast("bigint")), F.lit(first - 1).cast("bigint")
-    )
     totals = (
-        scored.filter(F.col("score").isNotNull())
-        .groupBy(clipped.alias("i"))
+        scored.filter(has_score("score"))
+        .groupBy(reached.cast("bigint").alias("i"))
         .agg(F.count("*").alias("n"), F.sum(F.col("y").cast("bigint")).alias("pos"))
     )
-    grid = scored.sparkSession.range(first - 1, last + 1).withColumnRenamed("id", "i")
+    grid = scored.sparkSession.range(-1, last + 1).withColumnRenamed("id", "i")
     filled = grid.join(totals, "i", "left").fillna(0, ["n", "pos"])
     # As many rows as grid points, so one task is enough.
     above = Window.orderBy(F.col("i").desc()).rowsBetween(Window.unboundedPreceding, 0)
@@ -345,8 +346,8 @@ def threshold_grid(
         (F.sum("n").over(above) - F.sum("pos").over(above)).alias("fp"),
         (F.sum("pos").over(all_points) - F.sum("pos").over(above)).alias("fn"),
     )
-    return counts.filter(F.col("i") >= first).select(
-        point(F.col("i")).alias("threshold"),
+    return counts.filter(F.col("i") >= 0).select(
+        F.get(at, F.col("i").cast("int")).alias("threshold"),
         _precision().alias("precision"),
         _recall().alias("recall"),
         _f1().alias("f1"),

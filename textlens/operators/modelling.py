@@ -157,7 +157,7 @@ def score_batches(
         for batch in batches:
             yield pd.DataFrame({key: batch[key], "score": scorer(batch)})
 
-    return df.mapInPandas(run, f"{key} bigint, score double")
+    return df.mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, score double")
 
 
 # A term with at least 1/HOT_TERMS of all occurrences is hot: there are at most
@@ -175,9 +175,15 @@ class NaiveBayes:
 
 
 def train_naive_bayes(
-    tokens: DataFrame, alpha: float = 1.0, examples: DataFrame | None = None
+    tokens: DataFrame,
+    alpha: float = 1.0,
+    examples: DataFrame | None = None,
+    hot_terms: int = HOT_TERMS,
 ) -> NaiveBayes:
-    """Multinomial naive Bayes: smoothed log-odds per term from one pass over the texts."""
+    """Multinomial naive Bayes: smoothed log-odds per term from one pass over the texts.
+
+    ``hot_terms`` bounds how many terms are broadcast when documents are scored.
+    """
     counts = settle(class_term_counts(tokens))
     totals = counts.agg(
         F.struct(
@@ -186,7 +192,7 @@ def train_naive_bayes(
     ).scalar()
     pos = (F.col("n_pos") + alpha) / (totals["pos"] + totals["terms"] * F.lit(alpha))
     neg = (F.col("n_neg") + alpha) / (totals["neg"] + totals["terms"] * F.lit(alpha))
-    share = (F.col("n_pos") + F.col("n_neg")) * F.lit(HOT_TERMS)
+    share = (F.col("n_pos") + F.col("n_neg")) * F.lit(hot_terms)
     weights = counts.select(
         "term",
         (F.log(pos) - F.log(neg)).alias("log_odds"),

@@ -18,8 +18,8 @@ from textlens.session import settle
 _BUCKET = "_bucket"
 _SORT_VALUE = "_bucket_value"
 
-# The bounds of this many buckets fit any driver and any plan.
-_MAX_BUCKETS = 1024
+# Rows that one task of a prefix sum sorts, about.
+_BUCKET_ROWS = 1_000_000
 
 
 def top_k(
@@ -92,10 +92,10 @@ def prefix_sums(
 
     ``df`` holds one row per (by, key), with a numeric key that is never null. ``by``
     must be a flag with few values: the bucket totals, at most ``buckets`` rows per
-    group, are broadcast. ``df`` is read three times, so give a stored or settled one.
+    group, are broadcast; there is one for each million rows. ``df`` is read four times, so give a stored or settled one.
     """
     # A few buckets per task even out the hashing of buckets to tasks.
-    buckets = buckets or min(_MAX_BUCKETS, 4 * _slots(df))
+    buckets = buckets or max(4 * _slots(df), -(-df.count() // _BUCKET_ROWS))
     by = list(by)
     bucketed = _bucketed(df, key, buckets)
 

@@ -10,6 +10,7 @@ from textlens.functions.scoring import safe_ratio
 from textlens.functions.text import ws_tokens
 from textlens.operators.lexical import class_sizes
 from textlens.operators.ranking import dense_ordinals, first_rows
+from textlens.session import settle
 
 
 def _sizes(examples: DataFrame):
@@ -44,6 +45,7 @@ def draw_balanced(
     ``id`` must be unique. ``n_draws`` can serve as a row weight in training;
     ``expand_draws`` repeats the rows.
     """
+    examples = settle(examples.select("id", "y"))  # read for sizes, ordinals and bounds
     members = dense_ordinals(examples.select("id", "y"), "id", ["y"])
     n = examples.count() if n is None else n
     draws = examples.sparkSession.range(n).withColumnRenamed("id", "draw")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from textlens.operators import modelling, rebalance
@@ -10,9 +11,6 @@ from textlens.operators.metrics import threshold_sweep
 from textlens.plans import fixtures as fx
 from textlens.plans.registry import query
 
-# Hashed features of the registered runs; the operator's default is larger.
-_FEATURES = 1 << 14
-
 _NB = r""", f AS (SELECT y, unnest(toks) AS term FROM tok),
     c AS (SELECT term, count(*) FILTER (y = 1) AS n_pos, count(*) FILTER (y = 0) AS n_neg
       FROM f GROUP BY term),
@@ -41,6 +39,18 @@ def _(spark, sf):
     return scores.withColumn("log_odds", F.round("log_odds", 3))
 
 
+@query(
+    "naive_bayes_rare_terms",
+    _NB
+    + "SELECT id, 'nb' AS model_id, round(score, 6) AS score, round(log_odds, 3) AS log_odds FROM nb",
+)
+def _(spark, sf):
+    # Few hot terms: most terms take the way of a large vocabulary.
+    model = modelling.train_naive_bayes(fx.tokens(spark, sf), examples=fx.labels(spark, sf), hot_terms=100)
+    documents = fx.with_tokens(fx.all_documents(spark, sf).select("id", "text"))
+    return modelling.naive_bayes_scores(model, documents).withColumn("log_odds", F.round("log_odds", 3))
+
+
 def _model(spark, sf):
     return modelling.train_naive_bayes(fx.tokens(spark, sf), examples=fx.labels(spark, sf))
 
@@ -71,14 +81,14 @@ def _(spark, sf):
 @query("train_text_classifier")
 def _(spark, sf):
     rows = fx.examples(spark, sf)
-    model = modelling.train_text_classifier(rebalance.class_weights(rows), _FEATURES, max_iter=10)
+    model = modelling.train_text_classifier(rebalance.class_weights(rows))
     return modelling.score_text(model, rows)
 
 
 @query("train_label_heads")
 def _(spark, sf):
     rows = fx.examples(spark, sf)
-    features, heads = modelling.train_label_heads(rows, fx.WIDTH, num_features=_FEATURES, max_iter=5)
+    features, heads = modelling.train_label_heads(rows, fx.WIDTH)
     scores = modelling.score_label_heads(features, heads, rows)
     return scores.select(
         "id", *[F.col("label_scores")[i].alias(n) for i, n in enumerate(fx.LABEL_NAMES)]
@@ -88,12 +98,14 @@ def _(spark, sf):
 @query("train_embedding_head")
 def _(spark, sf):
     model = modelling.train_embedding_head(fx.table(spark, sf, "embeddings"))
-    # One row per class: its intercept and the norm of its weights.
-    rows = [
-        (i, float(b), float(np.linalg.norm(w)))
-        for i, (w, b) in enumerate(zip(model.coefficientMatrix.toArray(), model.interceptVector))
-    ]
-    return spark.createDataFrame(rows, "label int, intercept double, weight_norm double")
+    vectors = fx.table(spark, sf, "embeddings")
+    features = vectors.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
+    scored = model.transform(features)
+    return scored.select(
+        F.col("vec_id").alias("id"),
+        F.col("prediction").cast("int").alias("label"),
+        F.array_max(vector_to_array("probability")).alias("score"),
+    )
 
 
 @query("score_batches")

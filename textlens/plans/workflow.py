@@ -1,6 +1,6 @@
 """The work flow from raw files to error tables, composed of the operators.
 
-prepare -> verify -> profile -> train -> predict -> evaluate. Each step reads tables and
+prepare -> verify -> profile -> train -> predict -> evaluate, write_prediction_file. Each step reads tables and
 returns or writes tables; splits should be stored once and read back between steps.
 """
 
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from textlens.functions import (
     binarise,
+    inject_keyword,
     n_tokens,
     n_ws_tokens,
     parse_label,
@@ -29,8 +30,10 @@ from textlens.sources import (
     read_labels_csv,
     read_split,
     read_unlabelled_tsv,
+    write_predictions,
     write_split,
 )
+from textlens.session import settle
 
 
 def prepare(
@@ -49,8 +52,9 @@ def prepare(
         split = attach_text(labels, corpus).select("row_id", *CANONICAL)
         write_split(split, f"{out_dir}/{name}", format, row="row_id")
     if unlabelled_path is not None:
-        test = select_columns(read_unlabelled_tsv(spark, unlabelled_path))
-        write_split(test, f"{out_dir}/test", format)
+        test = read_unlabelled_tsv(spark, unlabelled_path, row_ids=True)
+        test = test.select("row_id", *select_columns(test).columns)
+        write_split(test, f"{out_dir}/test", format, row="row_id")
 
 
 def verify(
@@ -123,6 +127,11 @@ def profile_tables(
     }
 
 
+def model_input(split: DataFrame) -> DataFrame:
+    """The split with "[keyword] text" as its text, which models train on and score."""
+    return split.withColumn("text", inject_keyword("keyword", "text"))
+
+
 @dataclass(frozen=True)
 class Training:
     """The chosen model, the metrics of every run, and the threshold for the dev split."""
@@ -149,7 +158,7 @@ def train(
     Positives are augmented and weighted, then the threshold is swept on the dev scores.
     Features are fitted once. Only the winner's name comes to the driver.
     """
-    rows = train_split.select("id", "y", "text")
+    rows = model_input(train_split).select("id", "y", "text")
     if n_aug > 0:
         copies = rebalance.augment_word_deletion(rows, n_aug, drop_prob, seed)
         rows = rebalance.append_augmented(rows, copies)
@@ -159,10 +168,10 @@ def train(
 
     truth = dev_split.select("id", "y")
     scored = [
-        modelling.score_text(model, dev_split, name).join(truth, "id")
+        modelling.score_text(model, model_input(dev_split), name).join(truth, "id")
         for name, model in runs.items()
     ]
-    dev_scores = reduce(lambda a, b: a.unionByName(b), scored)
+    dev_scores = settle(reduce(lambda a, b: a.unionByName(b), scored))
     per_run = dev_scores.select(F.col("model_id").alias("run_id"), F.lit(1).alias("epoch"), "y", "score")
     history = selection.history_from_scores(per_run)
     best = selection.search_runs(history).first()["run_id"]
@@ -173,9 +182,24 @@ def train(
 def predict(
     models: Sequence[PipelineModel], split: DataFrame, threshold: DataFrame
 ) -> DataFrame:
-    """(id, score, pred): mean score of the models, cut at the threshold."""
-    scores = [modelling.score_text(m, split, f"model-{i}") for i, m in enumerate(models)]
-    return modelling.predict_split(reduce(lambda a, b: a.unionByName(b), scores), threshold)
+    """(id, score, pred): mean score of the models, cut at the threshold.
+
+    Settled, so that the tables made from it do not score the split again.
+    """
+    rows = model_input(split)
+    scores = [modelling.score_text(m, rows, f"model-{i}") for i, m in enumerate(models)]
+    return settle(modelling.predict_split(reduce(lambda a, b: a.unionByName(b), scores), threshold))
+
+
+def write_prediction_file(predictions: DataFrame, split: DataFrame, path: str) -> None:
+    """One 0/1 per line, in the row order of a split read with ``row_ids``.
+
+    There are as many lines as rows of the split; a row without a prediction is an error.
+    """
+    joined = split.select("row_id", "id").join(predictions.select("id", "pred"), "id", "left")
+    message = F.concat(F.lit("no prediction for row "), F.col("row_id").cast("string"))
+    pred = F.when(F.col("pred").isNull(), F.raise_error(message).cast("int")).otherwise(F.col("pred"))
+    write_predictions(joined.select("row_id", pred.alias("pred")), path)
 
 
 def evaluate(

@@ -11,8 +11,9 @@ def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(name, dtype) for name, dtype in fields])
 
 
+# Keys are kept as they are written: a key such as "t_0" must not be lost.
 CORPUS = _struct(
-    ("id", T.LongType()),
+    ("id", T.StringType()),
     ("art_id", T.StringType()),
     ("keyword", T.StringType()),
     ("country", T.StringType()),
@@ -22,13 +23,13 @@ CORPUS = _struct(
 
 UNLABELLED = T.StructType(CORPUS.fields[:5])
 
-LABELS = _struct(("id", T.LongType()), ("label", T.StringType()))
+LABELS = _struct(("id", T.StringType()), ("label", T.StringType()))
 
 # A processed split has the corpus columns, with the label of the label file.
 SPLIT = CORPUS
 
 SCORES = _struct(
-    ("id", T.LongType()), ("model_id", T.StringType()), ("score", T.DoubleType())
+    ("id", T.StringType()), ("model_id", T.StringType()), ("score", T.DoubleType())
 )
 
 HISTORY = _struct(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,13 +11,13 @@ CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the cluster names; a local session may make its own."""
+    """Use the folder that the cluster names; only a session in one process may make its own."""
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     configured = spark.conf.get(CHECKPOINT_SETTING, None)
     if configured is None:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError(f"set {CHECKPOINT_SETTING} to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="textlens-checkpoints-")
     context.setCheckpointDir(configured)

@@ -105,14 +105,12 @@ def read_corpus_tsv(
     """The raw corpus: tab-separated, no header, ``skip`` preamble lines per file.
 
     With ``multi_line`` quoted fields may hold line breaks; the preamble is then told
-    by its key, which is not a number.
+    by its lack of further fields.
     """
     options = {"sep": "\t", "quote": quote, "nullValue": "", **_QUOTING}
     if multi_line:
-        loose = T.StructType([T.StructField("_key", T.StringType()), *schemas.CORPUS.fields[1:]])
-        rows = spark.read.schema(loose).options(multiLine="true", **options).csv(path)
-        key = F.expr("try_cast(_key AS BIGINT)")
-        rows = rows.filter(key.isNotNull()).select(key.alias("id"), *schemas.CORPUS.names[1:])
+        rows = spark.read.schema(schemas.CORPUS).options(multiLine="true", **options).csv(path)
+        rows = rows.filter(F.coalesce(*schemas.CORPUS.names[2:]).isNotNull())
         return _null_spellings(rows, na_values)
     lines = spark.read.text(path)
     if skip:
@@ -137,14 +135,23 @@ def _skip_lines(lines: DataFrame, skip: int) -> DataFrame:
 
 
 def read_unlabelled_tsv(
-    spark: SparkSession, path: str, quote: str = '"', na_values: Sequence[str] = ()
+    spark: SparkSession,
+    path: str,
+    quote: str = '"',
+    na_values: Sequence[str] = (),
+    row_ids: bool = False,
 ) -> DataFrame:
-    """The unlabelled split: same layout, no preamble, five columns."""
+    """The unlabelled split: same layout, no preamble, five columns.
+
+    ``row_ids`` adds the position that prediction files restore.
+    """
     rows = (
         spark.read.schema(schemas.UNLABELLED)
         .options(sep="\t", quote=quote, nullValue="", **_QUOTING)
         .csv(path)
     )
+    if row_ids:
+        rows = number_rows(rows)
     return _null_spellings(rows, na_values)
 
 
@@ -190,7 +197,9 @@ def read_threshold(spark: SparkSession, path: str, default: float = 0.5) -> Data
     """The stored threshold as one row, or the default when there is no such file."""
     try:
         stored = spark.read.text(path)
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.range(1).select(F.lit(float(default)).alias("threshold"))
     value = F.max(F.trim("value").cast("double"))
     return stored.agg(F.coalesce(value, F.lit(float(default))).alias("threshold"))

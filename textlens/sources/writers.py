@@ -12,6 +12,8 @@ def write_split(df: DataFrame, path: str, format: str = "parquet", row: str | No
     """A processed split. ``row`` restores the order of the label file and is not kept."""
     if row is not None:
         df = df.orderBy(row).drop(row)
+    if "id" in df.columns:
+        df = df.withColumn("id", F.col("id").cast("string"))  # the type that readers give
     if format == "parquet":
         df.write.parquet(path)
     else:
@@ -24,7 +26,7 @@ def write_predictions(df: DataFrame, path: str, row: str = "row_id") -> None:
 
 
 def write_scores(df: DataFrame, path: str) -> None:
-    df.select("id", "model_id", "score").write.parquet(path)
+    df.select(F.col("id").cast("string"), "model_id", "score").write.parquet(path)
 
 
 def write_history(history: DataFrame, path: str) -> None:
