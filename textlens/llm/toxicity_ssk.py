@@ -309,11 +309,15 @@ def fit_machine(texts: list[str], y: np.ndarray, rounds: int = 3) -> SentenceMac
     bags = [np.array(sorted(number[w] for w in d)) for d in toxic]
     margin = in_toxic / len(toxic) - 2 * in_clean / len(clean)
     sure = np.zeros(len(x), bool)
-    for _ in range(rounds):
-        # the worst word of every toxic document, and all others that are as bad as a threat
+    for k in range(rounds):
+        # the worst word of every toxic document, and all others that are as bad as a threat;
+        # at first, those that are nearly as telling as its worst
         blamed = np.where(sure, in_toxic, 0.0).astype(float)
         for bag in bags:
-            blamed[bag[np.argmax(margin[bag])]] += 1
+            worst = np.argmax(margin[bag])
+            blamed[bag[worst]] += 1
+            if k == 0:
+                blamed[bag[(margin[bag] >= 0.5 * margin[bag[worst]]) & (in_toxic[bag] > 1)]] += 1
         blamed[in_clean > 0] = 0
         harmless = np.where(blamed > 0, 0, in_clean + 0.1 * in_toxic)
         rows = np.flatnonzero((blamed > 0) | (harmless > 0))
