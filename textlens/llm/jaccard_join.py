@@ -233,11 +233,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     common = (
         texts.join(F.broadcast(store(sample.limit(2 * SAMPLE_SETS), "sample")), F.col("doc_id") == F.col("node"))
         .select("text").mapInArrow(_all_shingles, "shingle long")
-        .groupBy("shingle").count().where("count > 2").orderBy(F.desc("count"), "shingle").limit(FREQUENT).collect()
+        .groupBy("shingle").count().where("count > 2").orderBy(F.desc("count"), "shingle").limit(FREQUENT).toArrow()
     )
-    known = np.array([r["shingle"] for r in common], np.int64).view(np.uint64)
+    known, seen = common["shingle"].to_numpy().view(np.uint64), common["count"].to_numpy()
     order = np.argsort(known)
-    frequent = spark.sparkContext.broadcast((known[order], np.array([r["count"] for r in common], np.int64)[order]))
+    frequent = spark.sparkContext.broadcast((known[order], seen[order]))
 
     entries = texts.where("doc_id IS NOT NULL").select("text").mapInArrow(_entries(frequent, boundary(list_cost)), "key long, place int, one long, n int")
     by_key = Window.partitionBy("key")
