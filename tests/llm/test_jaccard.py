@@ -78,6 +78,13 @@ def test_group_of_near_copies_without_a_common_neighbour(docs):
     assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in got], key=str) == brute(rows)
 
 
+def test_round_of_pivots_without_a_pair_is_not_the_end(docs):
+    """8 and 9 link with 10 alone, all in one list; the second pivot is 8 again."""
+    rows = [(8, "a b c d e f g h p"), (9, "a b c d e f g h q"), (10, "a b c d e f g h")]
+    got = jaccard_components(docs([t for _, t in rows], [i for i, _ in rows])).collect()
+    assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in got], key=str) == brute(rows)
+
+
 def test_empty_table(docs):
     assert jaccard_components(docs([])).count() == 0
 

@@ -251,12 +251,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = None
     tried = None
     component = None
-    for step in range(star_rounds + 1):
+    step = 0
+    while step <= star_rounds:
         rows = lists
         if component is not None:
             rows = rows.join(component, "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
             several = rows.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
             rows = store(rows.join(several, "key"), "open-lists")
+            if rows.isEmpty():
+                break
         else:
             rows = rows.withColumn("c", F.col("node"))
         if step < star_rounds:
@@ -274,12 +277,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if tried is not None:
             pairs = pairs.join(tried, ["pivot", "member"], "left_anti")
         pairs = store(_possible(pairs, classes), "pairs")
-        if pairs.isEmpty() and step:
-            break
+        if component is not None and pairs.isEmpty():
+            # a round of pivots says nothing of the other members: only the last round may end it
+            step = star_rounds if step < star_rounds else star_rounds + 1
+            continue
         found = _verified(texts, pairs, classes)
         links = found if links is None else links.union(found)
         tried = pairs if tried is None else tried.union(pairs)
         component = connected_components(links)
+        step += 1
     resolved = classes.join(component, "node", "left").select("n", "one", "two", F.coalesce("component", "node").alias("c"))
     labelled = store(
         shapes.join(resolved, ["n", "one", "two"], "left")
