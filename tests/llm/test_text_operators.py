@@ -96,6 +96,12 @@ def test_word_codes_after_forgetting(monkeypatch):
             assert codes.encode([text])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_letters_that_join_with_the_signs_behind_them():
+    codes, tokenizer = WordCodes(PATH), Tokenizer.from_file(PATH)
+    text = "ALİ, ALİ. ŞİRKETİ! \u0958, \u0958 " + " ".join(f"A{chr(c)}," for c in range(0x110000) if chr(c).isalpha())
+    assert codes.encode([text])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
 # --- mixing --------------------------------------------------------------------------
 
 

@@ -32,7 +32,8 @@ class WordCodes(dict):
     """Ids of whole texts, with the ids of each blank-separated word worked out once.
 
     The tokenizer drops white space and never joins across it, so the ids of a text are
-    those of its words. Letters never join with the signs behind them either.
+    those of its words. Letters never join with the signs behind them either, if they are
+    letters still when normalised (`_all_letters`).
     """
 
     def __init__(self, path: str):
@@ -42,6 +43,7 @@ class WordCodes(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.tails: dict[str, list[int]] = {"": []}
+        self.letters: dict[str, bool] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
@@ -62,6 +64,19 @@ class WordCodes(dict):
     def _one(self, word: str) -> list[int]:
         return self.tokenizer.encode(word, add_special_tokens=False).ids
 
+    def _letter(self, sign: str) -> bool:
+        if sign not in self.letters:
+            pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str(sign + "!")
+            self.letters[sign] = len(pieces) == 2 and pieces[1][0] == "!"
+        return self.letters[sign]
+
+    def _all_letters(self, word: str) -> bool:
+        """Whether the tokenizer too sees nothing but letters: lower case and NFC make of some
+        letters a letter and a mark, and marks join with the signs behind them."""
+        if not word.isalpha() or word.isascii():
+            return word.isalpha()
+        return all(map(self._letter, self.tokenizer.normalizer.normalize_str(word)))
+
     def _letters(self, words: list[str]) -> list[list[int]]:
         """Ids of words that are one run of letters each."""
         ids = self._one(" ".join(words))
@@ -80,7 +95,7 @@ class WordCodes(dict):
     def _learn(self) -> None:
         """Ids of the words that were met for the first time."""
         stems = [w.rstrip(_SIGNS) for w in self.new]
-        plain = list(dict.fromkeys(s for s in stems if s.isalpha()))
+        plain = list(dict.fromkeys(s for s in stems if self._all_letters(s)))
         known: dict[str, list[int]] = {}
         for s in range(0, len(plain), 1000):
             known.update(zip(plain[s : s + 1000], self._letters(plain[s : s + 1000])))
