@@ -271,6 +271,18 @@ def test_machine_tolerates_gaps():
     assert (clean < 0.5).mean() > 0.9 and (bad > 0.5).all()
 
 
+def test_words_parted_by_other_signs_than_blanks_are_looked_at_singly():
+    rng = np.random.default_rng(6)
+    words = ["".join(rng.choice(list("aeioulnrst"), 6)) for _ in range(300)]
+    texts = [" ".join(rng.choice(words, 40)) for _ in range(300)]
+    y = np.array([i % 2 for i in range(300)])
+    machine = fit_machine([t + " you wretched fool. " + t if l else t for t, l in zip(texts, y)], y)
+    alone = machine.margins(["wretched"])[0]
+    for sign in "\t", "\r", "\r\n", "\u00a0", "\u2028", "-", "\u2013", "/", ";", ",", "_", "7":
+        text = sign.join([words[0], words[1], "wretched", words[2], words[3]])
+        assert machine.margins([text])[0] >= alone - 1e-6, repr(sign)
+
+
 def test_machines_with_one_label():
     for y in ([], [0, 0], [1, 1]):
         scores = fit_machine(["a b"] * len(y), np.array(y, int)).scores(["", "x"])

@@ -149,12 +149,13 @@ def stem(word: str) -> str:
 
 
 def windows(word: str) -> list[str]:
-    """A word and, with signs or digits in it, its letters alone; a long word comes in
-    overlapping pieces, so that all of it is compared."""
-    if not word.isalpha():
-        letters = _SIGNS.sub("", word)
-        return _pieces(word) + (_pieces(letters) if len(letters) >= 3 else [])
-    return _pieces(word)
+    """A word and, with signs or digits in it, its letters alone and each run of them, which may
+    be a word of its own; a long word comes in overlapping pieces, so that all of it is compared."""
+    if word.isalpha():
+        return _pieces(word)
+    runs = _SIGNS.split(word)
+    parts = [word, *(w for w in ("".join(runs), *runs) if len(w) >= 3)]
+    return list(dict.fromkeys(p for w in parts for p in _pieces(w)))
 
 
 def _pieces(word: str) -> list[str]:
@@ -171,7 +172,7 @@ def split_words(text: str) -> list[str]:
     t = text.lower().replace("\n", " ")
     for mark in ", ", ". ", "! ", "? ":
         t = t.replace(mark, " ")
-    words = [w for w in t.split(" ") if w]
+    words = t.split()
     singles = {i for i, w in enumerate(words) if len(w) == 1 and w.isalnum()}
     if len(singles) < 3:
         return words
