@@ -102,6 +102,11 @@ def test_letters_that_join_with_the_signs_behind_them():
     assert codes.encode([text])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_control_tokens_in_a_text_are_plain_text():
+    got = WordCodes(PATH).encode(["see <|endoftext|> here"])[0].tolist()
+    assert got == [862, 27, 347, 40786, 4160, 91, 285, 763]
+
+
 # --- mixing --------------------------------------------------------------------------
 
 
