@@ -15,5 +15,5 @@ def test_equals_sql(spark, name):
     assert not [p for p in found if "within rounding" not in p]
 
 
-def test_ten_operators():
-    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 11))
+def test_every_operator():
+    assert sorted(int(n.split("_")[0][2:]) for n in QUERIES) == list(range(1, 14))

@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from textlens.llm.archives import archive_round_trip
 from textlens.llm.common import store
+from textlens.llm.histogram_packing import pack_best_fit
 from textlens.llm.jaccard_join import jaccard_components
+from textlens.llm.middle_filling import fill_in_middle, original
 from textlens.llm.mixing import mix_sources, with_size
 from textlens.llm.packing import pack_documents
+from textlens.llm.periodic_runs import longest_run, periodic_runs, runs_text, with_repeats
 from textlens.llm.pii_spans import KINDS, find_personal_data, spans_text
 from textlens.llm.quality_mil import quality_scores
 from textlens.llm.topk_search import top_k_products
@@ -96,10 +99,10 @@ def op6_toxicity_ssk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 @query("op4_packing")
@@ -177,3 +180,61 @@ def op9_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op11_best_fit")
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_best_fit(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+@query(
+    "op12_fill_in_middle",
+    """
+    WITH d AS (
+      SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, 'null')) AS h,
+        regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS u
+      FROM documents),
+    r AS (
+      SELECT *, len(u)::BIGINT AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS c1, ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS c2,
+        ('0x' || h[17:24])::BIGINT % 100 AS chance, ('0x' || h[25:32])::BIGINT % 100 AS part FROM d),
+    f AS (
+      SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR chance >= 50
+        THEN 'plain' WHEN part < 80 THEN 'spm' ELSE 'psm' END AS form,
+        array_to_string(list_slice(u, 1, least(c1, c2)), '') AS p,
+        array_to_string(list_slice(u, least(c1, c2) + 1, greatest(c1, c2)), '') AS m,
+        array_to_string(list_slice(u, greatest(c1, c2) + 1, len(u)), '') AS s FROM r)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+      CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+      sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+      sha256(text) AS restored_sha256
+    FROM f
+    """,
+)
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    output, form = F.col("output"), F.col("form")
+    return fill_in_middle(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2(output, 256).alias("output_sha256"),
+        F.sha2(original(output, form), 256).alias("restored_sha256"),
+    )
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", with_repeats(F.col("text"), F.col("doc_id")).alias("text"))
+    best = longest_run(F.col("runs"))
+    return periodic_runs(docs).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        best["start"].alias("start"),
+        best["length"].alias("length"),
+        best["period"].alias("period"),
+        F.floor(F.lit(1000) * best["length"] / best["period"]).alias("exponent_milli"),
+        F.sha2(runs_text(F.col("runs")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
