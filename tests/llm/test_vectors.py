@@ -80,6 +80,24 @@ def test_top_k_equals_brute_force(vectors):
     assert {q: sorted(v) for q, v in got.items()} == want
 
 
+def test_top_k_of_repeated_rows(spark):
+    """Each row is a candidate of every other, also of one with its own id."""
+    rng = np.random.default_rng(4)
+    base = [[float(np.float32(a)) for a in rng.normal(size=4)] for _ in range(4)]
+    rows = [(i % 21, base[i % 4 if i % 21 else i % 2], 1, "x") for i in range(60)] + [(0, base[0], 1, "x")] * 3
+    df = spark.createDataFrame(rows, SCHEMA).withColumn("row", F.lit(7)).withColumn("query_row", F.lit(7))
+    got = top_k_products(df, F.col("vec_id") % 20 == 0, k=6, candidate_block=10, query_block=2).collect()
+    want = []
+    for n, (q, v, _, _) in enumerate(rows):
+        if q % 20 == 0:
+            x = np.floor(64 * np.array(v))
+            scored = sorted((-int(x @ np.floor(64 * np.array(w))), c) for m, (c, w, _, _) in enumerate(rows) if m != n)
+            want += [(q, k, c, -s) for k, (s, c) in enumerate(scored[:6], 1)]
+    assert sorted(map(tuple, got)) == sorted(want)
+    three = spark.createDataFrame([(0, base[0], 1, "x"), (1, base[1], 1, "x"), (1, base[1], 1, "x"), (2, base[2], 1, "x")], SCHEMA)
+    assert [r.vec_id for r in top_k_products(three, F.col("vec_id") % 20 == 0).orderBy("rank").collect()].count(1) == 2
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert near_duplicate_vectors(none).count() == 0

@@ -23,7 +23,7 @@ QUERY_BLOCK = 1024
 CANDIDATE_BLOCK = 8192
 MAX_TASKS = 100_000
 _STEP = 1024
-_BEST = "query_id long, vec_id long, score long"
+_BEST = "query_row long, query_id long, vec_id long, score long"
 
 
 def segment_bounds(vectors: np.ndarray, segments: int) -> np.ndarray:
@@ -55,11 +55,12 @@ def _matrix(table: pa.Table) -> np.ndarray:
 def _block_best(k: int, levels: tuple[int, ...]):
     def run(block: pa.Table) -> pa.Table:
         queries, candidates = block.filter(block["asks"]), block.filter(pc.invert(block["asks"]))
-        empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        best = empty
+        best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        asked = best[:2]
         if queries.num_rows and candidates.num_rows:
             q, x = _matrix(queries), _matrix(candidates)
             qid, xid = queries["vec_id"].to_numpy(), candidates["vec_id"].to_numpy()
+            own, rows = queries["row"].to_numpy(), candidates["row"].to_numpy()
             limit = float(np.abs(q).max()) * float(np.abs(x).max()) * q.shape[1]
             if limit < 2**53:  # sums are exact in doubles
                 q, x = q.astype(np.float64), x.astype(np.float64)
@@ -68,7 +69,7 @@ def _block_best(k: int, levels: tuple[int, ...]):
             floor = np.full(len(qid), -np.inf)
             for s in range(0, len(xid), _STEP):
                 part = slice(s, s + _STEP)
-                alive = qid[:, None] != xid[None, part]
+                alive = own[:, None] != rows[None, part]
                 if s:
                     for bq, bx in bounds:
                         alive &= (bq @ bx[part].T) + slack >= floor[:, None]
@@ -88,10 +89,11 @@ def _block_best(k: int, levels: tuple[int, ...]):
                 last = np.cumsum(counts) - 1
                 full = counts >= k
                 floor[rows[full]] = best[1][last[full]]
-            best = (qid[best[0]], best[1], best[2])
+            asked = (own[best[0]], qid[best[0]])
         return pa.table(
             {
-                "query_id": pa.array(best[0], pa.int64()),
+                "query_row": pa.array(asked[0], pa.int64()),
+                "query_id": pa.array(asked[1], pa.int64()),
                 "vec_id": pa.array(best[2], pa.int64()),
                 "score": pa.array(best[1], pa.int64()),
             }
@@ -103,9 +105,9 @@ def _block_best(k: int, levels: tuple[int, ...]):
 def _dealt(rows: DataFrame, blocks: DataFrame, own: str, other: str) -> DataFrame:
     return (
         rows.join(blocks, "width")
-        .withColumn(own, F.pmod(F.xxhash64("vec_id"), F.col(f"{own}s")).cast("int"))
+        .withColumn(own, F.pmod(F.xxhash64("row"), F.col(f"{own}s")).cast("int"))
         .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1)))
-        .select("width", "qb", "cb", "vec_id", "vector", F.lit(own == "qb").alias("asks"))
+        .select("width", "qb", "cb", "row", "vec_id", "vector", F.lit(own == "qb").alias("asks"))
     )
 
 
@@ -123,11 +125,12 @@ def top_k_products(
     """`query_id, rank, vec_id, score`: the k largest integer inner products of each query.
 
     Components become floor(scale * x). `is_query` is a condition on the id column.
-    Candidates are all vectors of the query's length except those with its own id; ties go
-    to the smaller id. A query with fewer than k candidates gets them all, one with none
+    Candidates are all rows with a vector of the query's length but the query's own row; ties
+    go to the smaller id. A query with fewer than k candidates gets them all, one with none
     has no row. Null or empty vectors, vectors with a null or non-finite member and rows
-    with a null id take no part. Repeated rows (same id and vector) count once. Scores
-    beyond 64 bits are undefined. Other columns are not read.
+    with a null id take no part. Rows that repeat an id, or a whole row, are rows of their own:
+    each is a candidate of the other, and each query row gets its own k results. Scores
+    beyond 64 bits are undefined. Other columns are not read; an empty table gives no rows.
 
     Queries and candidates meet in blocks, so no task holds more than a block of either and
     returns at most k rows a query; a final per-query limit joins the blocks.
@@ -135,11 +138,13 @@ def top_k_products(
     usable = vectors.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("raw")).where(
         F.col("vec_id").isNotNull() & finite_vector(F.col("raw"))
     )
-    rows = usable.select(
+    # Stored, so that a row has the same number as a query and as a candidate.
+    rows = store(usable.withColumn("row", F.monotonically_increasing_id()), "search-rows").select(
+        "row",
         "vec_id",
         F.transform("raw", lambda x: F.floor(F.lit(scale) * x.cast("double"))).alias("vector"),
         F.size("raw").alias("width"),
-    ).dropDuplicates(["vec_id", "vector"])
+    )
     queries = rows.where(is_query)
     blocks = store(rows.groupBy("width").agg(
         F.ceil(F.count(F.lit(1)) / F.lit(float(candidate_block))).cast("int").alias("cbs"),
@@ -152,7 +157,7 @@ def top_k_products(
     # One task a pair of blocks: the bytes are few, the products many.
     dealt = dealt.repartition(min(pairs, MAX_TASKS), "width", "qb", "cb")
     best = dealt.groupBy("width", "qb", "cb").applyInArrow(_block_best(k, levels), _BEST)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return (
         best.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
