@@ -178,12 +178,14 @@ def train_naive_bayes(
     tokens: DataFrame,
     alpha: float = 1.0,
     examples: DataFrame | None = None,
-    hot_terms: int = HOT_TERMS,
+    hot_terms: int | None = None,
 ) -> NaiveBayes:
     """Multinomial naive Bayes: smoothed log-odds per term from one pass over the texts.
 
-    ``hot_terms`` bounds how many terms are broadcast when documents are scored.
+    ``hot_terms`` bounds how many terms are broadcast when documents are scored; without it,
+    ``HOT_TERMS``.
     """
+    hot_terms = HOT_TERMS if hot_terms is None else hot_terms
     counts = settle(class_term_counts(tokens))
     totals = counts.agg(
         F.struct(
