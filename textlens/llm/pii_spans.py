@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textlens.llm.common import store
+from textlens.llm.span_arrays import chunks, clear_of, let, match_starts, piece, running
 
 KINDS = ("email", "ip", "card", "phone")
 # Possessive runs and the guards before a run find the same matches as the plain patterns,
@@ -56,17 +57,16 @@ LABELERS = ("form", "check", "gazetteer", "context", "around", "variety")
 _SPAN = "struct<kind:int,start:int,end:int,m:string,base:boolean>"
 
 
-def _positions(kind: int, base: bool, matches: str, gaps: str) -> Column:
-    """Spans of the matches: gap lengths and match lengths, summed up; code points."""
-    at = f"a.pos + length({gaps}[i])"
-    return F.expr(
-        f"CASE WHEN size({matches}) = 0 THEN CAST(array() AS array<{_SPAN}>) ELSE "
-        f"aggregate(sequence(0, size({matches}) - 1), "
-        f"named_struct('pos', 0, 'out', CAST(array() AS array<{_SPAN}>)), "
-        f"(a, i) -> named_struct('pos', {at} + length({matches}[i]), 'out', array_append(a.out, "
-        f"named_struct('kind', {kind}, 'start', {at}, 'end', {at} + length({matches}[i]), 'm', {matches}[i], 'base', {str(base).lower()}))), "
-        f"a -> a.out) END"
+def _positions(kind: int, base: bool, matches: Column, gaps: Column) -> Column:
+    """Spans of the matches, in code points."""
+    spans = F.zip_with(
+        match_starts(gaps, matches),
+        matches,
+        lambda at, m: F.struct(
+            F.lit(kind).alias("kind"), at.alias("start"), (at + F.length(m)).alias("end"), m.alias("m"), F.lit(base).alias("base")
+        ),
     )
+    return F.when(F.size(matches) > 0, spans).otherwise(F.array()).cast(f"array<{_SPAN}>")
 
 
 def digits(value: Column) -> Column:
@@ -103,12 +103,13 @@ def _by_kind(span: Column, of) -> Column:
     return out
 
 
-def _votes(text: Column, span: Column) -> list[Column]:
-    """One column for each labeler: 1 for personal data, 2 against, 0 for no opinion."""
+def _votes(cut: Column, span: Column) -> list[Column]:
+    """One column for each labeler: 1 for personal data, 2 against, 0 for no opinion. `cut` is
+    the text in chunks."""
     m = span["m"]
-    before = F.lower(F.substring(text, F.greatest(span["start"] - 29, F.lit(1)), F.least(span["start"], F.lit(30))))
+    before = F.lower(piece(cut, F.greatest(span["start"] - 30, F.lit(0)), span["start"]))
     left = F.substring(before, -1, 1)
-    right = F.substring(text, span["end"] + 1, F.lit(1))
+    right = piece(cut, span["end"], span["end"] + 1)
     yes_no = lambda c: F.when(c, 1).otherwise(2)
     letters = r"[\p{L}\p{N}]"
     known = _by_kind(span, lambda k: m.rlike(rf"\A(?:{GAZETTEER[KINDS[k]]})\z"))
@@ -143,7 +144,7 @@ def with_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
                 found = F.when(F.col("pii_text").rlike(_HINTS[kind]), found).otherwise(F.array().cast("array<string>"))
             df = df.withColumn(f"{name}_m", found)
             df = df.withColumn(f"{name}_g", F.when(F.size(f"{name}_m") > 0, F.split("pii_text", pattern, -1)))
-            df = df.withColumn(name, _positions(k, base, f"{name}_m", f"{name}_g")).drop(f"{name}_m", f"{name}_g")
+            df = df.withColumn(name, _positions(k, base, F.col(f"{name}_m"), F.col(f"{name}_g"))).drop(f"{name}_m", f"{name}_g")
             names.append((k, base, name))
 
     def passes(k: int):
@@ -158,13 +159,16 @@ def with_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     df = df.withColumn("pii_passed", passed).withColumn("pii_others", F.concat(*others)).drop(*[n for _, _, n in names])
 
     def voted(spans: str) -> Column:
-        return F.transform(
-            spans,
-            lambda s: F.struct(
-                s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
-                *[v.cast("int").alias(n) for n, v in zip(LABELERS, _votes(F.col("pii_text"), s))],
-            ),
-        )
+        def of(cut: Column) -> Column:
+            return F.transform(
+                spans,
+                lambda s: F.struct(
+                    s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
+                    *[v.cast("int").alias(n) for n, v in zip(LABELERS, _votes(cut, s))],
+                ),
+            )
+
+        return let(F.when(F.size(spans) > 0, chunks(F.col("pii_text"))), of)
 
     return df.withColumns({"pii_base": voted("pii_passed"), "pii_more": voted("pii_others")}).drop("pii_text", "pii_passed", "pii_others")
 
@@ -241,13 +245,8 @@ def with_spans(candidates: DataFrame, weights: Sequence[float]) -> DataFrame:
 
     plain = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
     base = F.array_sort(F.transform("pii_base", plain))
-    more = F.filter(
-        "pii_more",
-        lambda s: (odds(s) >= 0) & ~F.exists("pii_base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])),
-    )
-    return candidates.withColumns(
-        {"base_spans": base, "spans": F.array_sort(F.concat(base, F.transform(more, plain)))}
-    ).drop("pii_base", "pii_more")
+    more = clear_of(F.filter("pii_more", lambda s: odds(s) >= 0), F.col("pii_base"))
+    return candidates.withColumns({"base_spans": base, "spans": F.array_sort(F.concat(base, more))}).drop("pii_base", "pii_more")
 
 
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -255,7 +254,8 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     `kind` is a place in `KINDS`, `end` is exclusive. A null or empty text has no spans. Null
     ids and repeated rows are kept; equal spans of two kinds are both listed; other columns
-    are not read; an empty table gives an empty result. Whole texts are searched once; what
+    are not read; an empty table gives an empty result. Time grows with the length of a text and
+    the number of its spans (a little more than that beyond some 100,000 in one text). Whole texts are searched once; what
     was found is stored in the shared folder and decided on from there.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -275,18 +275,16 @@ def redact(text: Column, spans: Column) -> Column:
     marks = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
-    def add(a: Column, s: Column) -> Column:
-        fresh = s["start"] >= a["pos"]
-        gap = F.substring(text, a["pos"] + 1, F.greatest(s["start"] - a["pos"], F.lit(0)))
-        return F.struct(
-            F.greatest(a["pos"], s["end"]).alias("pos"),
-            F.when(fresh, F.concat(a["out"], gap, marks[s["kind"]])).otherwise(a["out"]).alias("out"),
-        )
-
-    whole = F.aggregate(
-        by_start,
-        F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")),
-        add,
-        lambda a: F.concat(a["out"], F.substring(text, a["pos"] + 1, F.length(text))),
-    )
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    def marked(sorted_spans: Column) -> Column:
+        reached = running(F.transform(sorted_spans, lambda s: s["end"]), F.greatest, 0)
+        both = F.zip_with(sorted_spans, reached, lambda s, r: F.struct(s.alias("s"), r.alias("r")))
+        fresh = F.filter(both, lambda x: x["s"]["start"] >= x["r"])
+        rest = F.array_max(F.transform(sorted_spans, lambda s: s["end"]))
+
+        def joined(cut: Column) -> Column:
+            parts = F.transform(fresh, lambda x: F.concat(piece(cut, x["r"], x["s"]["start"]), marks[x["s"]["kind"]]))
+            return F.array_join(F.concat(parts, F.array(piece(cut, rest, F.length(text)))), "")
+
+        return let(chunks(text), joined)
+
+    return F.when(F.size(spans) > 0, let(by_start, marked)).otherwise(text)
