@@ -11,6 +11,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from textlens.llm import histogram_packing as packing
+from textlens.llm import token_ids
 from textlens.llm.queries import op11_best_fit, tokenizer_path
 from tests.llm.conftest import SMALL
 
@@ -70,15 +71,15 @@ def test_plan_is_small_whatever_the_counts():
 def test_ids_are_the_tokenizers(tokenizer):
     rng = random.Random(2)
     texts = ["".join(rng.choice(PIECES) for _ in range(rng.randint(0, 12))) for _ in range(20_000)]
-    encoder = packing.TextIds(PATH)
+    encoder = token_ids.ByteLevelIds(PATH)
     for s in range(0, len(texts), 1000):
         part = texts[s : s + 1000]
         assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(part)] == [ids_of(tokenizer, t)[:-1] for t in part]
 
 
 def test_words_are_forgotten(tokenizer, monkeypatch):
-    monkeypatch.setattr(packing, "REMEMBERED", 3)
-    encoder = packing.TextIds(PATH)
+    monkeypatch.setattr(token_ids, "REMEMBERED", 3)
+    encoder = token_ids.ByteLevelIds(PATH)
     texts = ["one two three four", "two five " + "x" * 100, "one two"]
     for text in texts * 2:
         assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == ids_of(tokenizer, text)[:-1]

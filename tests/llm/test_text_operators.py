@@ -12,10 +12,11 @@ from tokenizers import Tokenizer
 
 from textlens.llm.common import held_out
 from textlens.llm.mixing import mix_sources, shard_quota, shuffled_shards, source_targets, with_size
-from textlens.llm.packing import SumOfSquares, WordCodes, pack_documents, padding
+from textlens.llm.packing import SumOfSquares, pack_documents, padding
 from textlens.llm.passages import WIDTH, encode_passages
 from textlens.llm.pii_spans import KINDS, find_personal_data, redact, spans_text
 from textlens.llm.quality_mil import fit_attention, quality_scores
+from textlens.llm.token_ids import WordEndIds
 from textlens.llm.toxicity_ssk import LandmarkKernel, fit_machine, self_kernel, subsequence_kernel, toxicity_scores, windows
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -27,7 +28,6 @@ ODD = [None, "", " ", "\n\n", "a", "É é é", "x" * 5000, "word, " * 9000, "sam
 
 def check_pieces(rows, texts, ids, size=4096):
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     want = sorted(tokenizer.encode(t or "", add_special_tokens=False).ids + [2] for t in texts)
     by_sequence = {}
     for r in rows:
@@ -88,23 +88,34 @@ def test_packing_nothing(docs):
 
 
 def test_word_codes_after_forgetting(monkeypatch):
-    monkeypatch.setattr("textlens.llm.packing.REMEMBERED", 3)
-    codes, tokenizer = WordCodes(PATH), Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
+    monkeypatch.setattr("textlens.llm.token_ids.REMEMBERED", 3)
+    codes, tokenizer = WordEndIds(PATH), Tokenizer.from_file(PATH)
     for _ in range(3):
         for text in ("one two, three", "four ###!! five's", "don't."):
-            assert codes.encode([text])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(codes.encode([text])[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_letters_that_join_with_the_signs_behind_them():
-    codes, tokenizer = WordCodes(PATH), Tokenizer.from_file(PATH)
+    codes, tokenizer = WordEndIds(PATH), Tokenizer.from_file(PATH)
     text = "ALİ, ALİ. ŞİRKETİ! \u0958, \u0958 " + " ".join(f"A{chr(c)}," for c in range(0x110000) if chr(c).isalpha())
-    assert codes.encode([text])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(codes.encode([text])[0], "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
-def test_control_tokens_in_a_text_are_plain_text():
-    got = WordCodes(PATH).encode(["see <|endoftext|> here"])[0].tolist()
-    assert got == [862, 27, 347, 40786, 4160, 91, 285, 763]
+def test_control_tokens_as_the_file_has_them():
+    got = WordEndIds(PATH).encode(["see <|endoftext|> here", "see<|ENDOFTEXT|>here <|startoftext|>x"])
+    tokenizer = Tokenizer.from_file(PATH)
+    assert np.frombuffer(got[0], "<u4").tolist() == [862, 49407, 763]
+    want = tokenizer.encode("see<|ENDOFTEXT|>here <|startoftext|>x", add_special_tokens=False).ids
+    assert np.frombuffer(got[1], "<u4").tolist() == want
+
+
+def test_ids_of_random_strings():
+    rng, tokenizer, codes = np.random.default_rng(8), Tokenizer.from_file(PATH), WordEndIds(PATH)
+    pieces = ["", " ", "\n", "\t", "a", "The", "\u00c0\u00c9", "\u0130", "\u0131", "\u017f", "\u023a", "\u023e", "\u0149", "\u01c5", "\u0301",
+              "\u201c", "\u2019s", "'s", "'RE", "'", "!", "...", "1", "23", "\u4e2d", "\u0958", "\x85", "\xa0", "\u3000", "<|endoftext|>", "\U0001f642"]
+    texts = ["".join(rng.choice(pieces, rng.integers(0, 12))) for _ in range(20_000)]
+    got = [np.frombuffer(b, "<u4").tolist() for s in range(0, 20_000, 500) for b in codes.encode(texts[s : s + 500])]
+    assert got == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
 # --- mixing --------------------------------------------------------------------------

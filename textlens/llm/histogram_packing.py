@@ -13,7 +13,6 @@ rank picks the slot. No piece is sorted, and no length is brought to one task.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -26,72 +25,10 @@ from pyspark.sql import functions as F
 
 from textlens.llm.batches import text_slices
 from textlens.llm.common import store
+from textlens.llm.token_ids import ByteLevelIds
 
 SEQUENCE = 1024
 END_ID = 2
-#: Words that a task remembers the ids of, and the longest of them: some 30 MB.
-REMEMBERED, LONGEST = 300_000, 48
-_TOKENIZERS: dict[str, object] = {}
-
-
-def _tokenizer(path: str):
-    if path not in _TOKENIZERS:
-        from tokenizers import Tokenizer
-
-        _TOKENIZERS[path] = Tokenizer.from_file(path)
-    return _TOKENIZERS[path]
-
-
-#: Letters and signs of Western European texts, for which the word pattern of the vocabulary
-#: leaves no doubt; a text with any other character goes through the tokenizer whole.
-_LETTERS, _SIGNS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "!-/:-@\\[-`{-~\u00a1\u00a7\u00ab\u00b0\u00bb\u00bf\u2013\u2014\u2018-\u201e\u2026\u20ac"
-_PLAIN = re.compile(f"[ \n0-9{_LETTERS}{_SIGNS}]*")
-#: The words that the vocabulary's encoding never joins (fixed pattern of byte-level vocabularies).
-_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[{_SIGNS}]+|[ \n]+(?![^ \n])|[ \n]+")
-
-
-class TextIds:
-    """Ids of whole texts as little-endian 32-bit integers; those of words are worked out once."""
-
-    def __init__(self, path: str):
-        self.tokenizer = _tokenizer(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        tokens = self.tokenizer.get_vocab()
-        self.blank = np.zeros(max(tokens.values()) + 1, bool)
-        self.blank[[i for token, i in tokens.items() if token.startswith("\u0120")]] = True
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(f.ids, "<u4") for f in found]
-
-    def _learn(self, words: list[str]) -> None:
-        """Ids of words met for the first time. Those that begin with a blank are encoded many
-        at once: an id that begins with a blank then begins a word."""
-        led = [w for w in words if w[0] == " " and w.strip(" \n")]
-        bare = [w for w in words if w[0] != " " or not w.strip(" \n")]
-        self.known.update((w, ids.tobytes()) for w, ids in zip(bare, self._ids(bare)))
-        for k in range(0, len(led), 500):
-            some = led[k : k + 500]
-            (found,) = self._ids(["".join(some)])
-            raw, starts = found.tobytes(), [*(4 * np.flatnonzero(self.blank[found])).tolist(), 4 * len(found)]
-            self.known.update((w, raw[a:b]) for w, a, b in zip(some, starts, starts[1:]))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Texts that quote a control token, or with doubtful characters, are encoded whole."""
-        plain = [bool(_PLAIN.fullmatch(t)) and not any(s in t for s in self.special) for t in texts]
-        whole = iter(self._ids([t for t, p in zip(texts, plain) if not p]))
-        words = [_WORDS.findall(t) if p else None for t, p in zip(texts, plain)]
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        known = self.known
-        new = list({w for ws in words if ws for w in ws if w not in known})
-        self._learn(new)
-        out = [next(whole).tobytes() if ws is None else b"".join([known[w] for w in ws]) for ws in words]
-        for word in new:
-            if len(word) > LONGEST:
-                del known[word]
-        return out
 
 
 def plan(histogram: dict[int, int], size: int = SEQUENCE) -> list[tuple[int, int, int, int, int, int]]:
@@ -137,7 +74,7 @@ _TYPES = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()
 
 def _pieces(path: str, size: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen, part = TextIds(path), Counter(), TaskContext.get().partitionId()
+        encoder, seen, part = ByteLevelIds.of_worker(path), Counter(), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         names = [n.split(" ")[0] for n in _PIECES.split(", ")] + ["ids"] * with_ids
         for batch in text_slices(batches):

@@ -10,8 +10,7 @@ pieces between them, cut where needed, so that a partition leaves at most one sh
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,133 +18,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textlens.llm.batches import text_slices
+from textlens.llm.token_ids import WordEndIds
+
 SEQUENCE = 4096
 END_ID = 2
-#: Distinct words whose ids a Python worker remembers; beyond it the memory starts anew.
-REMEMBERED = 1_500_000
-#: ASCII signs that no letter joins with; an apostrophe does.
-_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-_CODES: dict[str, WordCodes] = {}
-
-
-class WordCodes(dict):
-    """Ids of whole texts, with the ids of each blank-separated word worked out once.
-
-    The tokenizer drops white space and never joins across it, so the ids of a text are
-    those of its words. Letters never join with the signs behind them either, if they are
-    letters still when normalised (`_all_letters`).
-    """
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.tails: dict[str, list[int]] = {"": []}
-        self.letters: dict[str, bool] = {}
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
-        self._forget()
-
-    def _forget(self) -> None:
-        self.clear()
-        self.new: list[str] = []
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.starts, self.lengths = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        self.used = 0
-
-    def __missing__(self, word: str) -> int:
-        self[word] = at = len(self)
-        self.new.append(word)
-        return at
-
-    def _one(self, word: str) -> list[int]:
-        return self.tokenizer.encode(word, add_special_tokens=False).ids
-
-    def _letter(self, sign: str) -> bool:
-        if sign not in self.letters:
-            pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str(sign + "!")
-            self.letters[sign] = len(pieces) == 2 and pieces[1][0] == "!"
-        return self.letters[sign]
-
-    def _all_letters(self, word: str) -> bool:
-        """Whether the tokenizer too sees nothing but letters: lower case and NFC make of some
-        letters a letter and a mark, and marks join with the signs behind them."""
-        if not word.isalpha() or word.isascii():
-            return word.isalpha()
-        return all(map(self._letter, self.tokenizer.normalizer.normalize_str(word)))
-
-    def _letters(self, words: list[str]) -> list[list[int]]:
-        """Ids of words that are one run of letters each."""
-        ids = self._one(" ".join(words))
-        stops = (np.flatnonzero(self.ends[ids]) + 1).tolist() if ids else []
-        if len(stops) != len(words) or (stops and stops[-1] != len(ids)):
-            return [self._one(w) for w in words]  # lower case took a letter apart
-        return [ids[a:b] for a, b in zip([0, *stops], stops)]
-
-    def _tail(self, tail: str) -> list[int]:
-        if tail not in self.tails:
-            if len(self.tails) > 10_000:
-                self.tails = {"": []}
-            self.tails[tail] = self._one(tail)
-        return self.tails[tail]
-
-    def _learn(self) -> None:
-        """Ids of the words that were met for the first time."""
-        stems = [w.rstrip(_SIGNS) for w in self.new]
-        plain = list(dict.fromkeys(s for s in stems if self._all_letters(s)))
-        known: dict[str, list[int]] = {}
-        for s in range(0, len(plain), 1000):
-            known.update(zip(plain[s : s + 1000], self._letters(plain[s : s + 1000])))
-        ids = []
-        for word, stem in zip(self.new, stems):
-            found = known.get(stem)
-            if found is None:
-                ids.append(self._one(word))
-            else:
-                ids.append(found if word == stem else found + self._tail(word[len(stem) :]))
-        first, last = len(self) - len(self.new), len(self)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(sizes.sum())
-        self.starts, self.lengths = _room(self.starts, last), _room(self.lengths, last)
-        self.flat = _room(self.flat, self.used + total)
-        self.lengths[first:last] = sizes
-        self.starts[first:last] = self.used + np.cumsum(sizes) - sizes
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
-        self.used += total
-        self.new = []
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self) > REMEMBERED:
-            self._forget()
-        places = []
-        for text in texts:
-            words = text.replace("\n", " ").split(" ")
-            places.append(np.fromiter(map(self.__getitem__, words), np.int64, len(words)))
-        if self.new:
-            self._learn()
-        out = []
-        for at in places:
-            n = self.lengths[at]
-            shift = np.repeat(self.starts[at] - (np.cumsum(n) - n), n)
-            shift += np.arange(len(shift))
-            out.append(self.flat[shift])
-        return out
-
-
-def _room(values: np.ndarray, size: int) -> np.ndarray:
-    """The array, made longer if it holds fewer than `size` values."""
-    if size <= len(values):
-        return values
-    return np.concatenate([values, np.zeros(max(size, 2 * len(values)) - len(values), values.dtype)])
-
-
-def word_codes(path: str) -> WordCodes:
-    if path not in _CODES:
-        _CODES[path] = WordCodes(path)
-    return _CODES[path]
 
 
 class SumOfSquares:
@@ -206,9 +83,10 @@ def padding(length: int, size: int = SEQUENCE) -> int:
     return 0 if length & (length - 1) == 0 else size - length
 
 
-def _pack(encode: Callable[[], WordCodes], size: int, end_id: int, with_ids: bool):
+def _pack(path: str, size: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, packer = encode(), SumOfSquares(size)
+        codes, packer = WordEndIds.of_worker(path), SumOfSquares(size)
+        end = np.array([end_id], "<u4").tobytes()
         sequence = TaskContext.get().partitionId() << 32
         rows: list[tuple] = []
 
@@ -231,16 +109,14 @@ def _pack(encode: Callable[[], WordCodes], size: int, end_id: int, with_ids: boo
             rows.clear()
             return pa.RecordBatch.from_arrays(columns, names)
 
-        for batch in batches:
-            for s in range(0, batch.num_rows, 512):
-                part = batch.slice(s, 512).to_pydict()
-                texts = [t or "" for t in part["text"]]
-                for doc, ids in zip(part["doc_id"], codes.encode(texts)):
-                    ids = np.append(ids, np.uint32(end_id))
-                    for start in range(0, len(ids), size):
-                        emit(packer.place(((doc, len(ids)), start, ids[start : start + size])))
-                if len(rows) > 5000:
-                    yield flush()
+        for batch in text_slices(batches):
+            texts = [t or "" for t in batch["text"].to_pylist()]
+            for doc, raw in zip(batch["doc_id"].to_pylist(), codes.encode(texts)):
+                ids = np.frombuffer(raw + end, "<u4")
+                for start in range(0, len(ids), size):
+                    emit(packer.place(((doc, len(ids)), start, ids[start : start + size])))
+            if len(rows) > 500:
+                yield flush()
         emit(packer.close())
         yield flush()
 
@@ -267,12 +143,14 @@ def pack_documents(
     are not read; an empty table gives no pieces. A repeated run over the same partitions
     gives the same pieces, so a lost task can be repeated.
 
-    Memory: open sequences of one partition, at most `size` ids each, and the remembered
-    words of a worker.
+    Texts are encoded as the vocabulary file says, control tokens that they quote included.
+
+    Memory: open sequences of one partition, at most `size` ids each, some 256 KB of text or
+    one text, and the words that a worker remembers.
     """
     schema = (
         "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,"
         " sequence_id long, offset long"
     ) + (", ids binary" if with_ids else "")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_pack(lambda: word_codes(tokenizer), size, end_id, with_ids), schema)
+    return rows.mapInArrow(_pack(tokenizer, size, end_id, with_ids), schema)
