@@ -22,15 +22,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textlens.llm.batches import text_slices
 from textlens.llm.common import held_out
 from textlens.llm.labelled import training_sample
+from textlens.llm.phrase_kernel import PhraseMachine, fit_phrases
 
 SAMPLE_ROWS = 3000
 LANDMARKS = 64
 LONGEST = 24
 DECAY = 0.7
 #: Distinct words whose numbers a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 250_000
+#: Triples up to this number are looked up in an array with a place for each.
+_DIRECT = 1 << 20
 _SIGNS = re.compile(r"[\W\d_]+")
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -88,14 +92,49 @@ class LandmarkKernel:
             codes, weight = self._triples(_points([word]))
             for code, w in zip(codes[0], weight):
                 found.setdefault(int(code), np.zeros(len(landmarks), np.float32))[m] += w
-        self.row = np.zeros(self.base**3, np.int32)
+        codes = np.array(sorted(found), np.int64)
         self.weights = np.zeros((len(found) + 1, len(landmarks)), np.float32)
-        for i, (code, w) in enumerate(sorted(found.items()), 1):
-            self.row[code], self.weights[i] = i, w
+        for i, code in enumerate(codes.tolist(), 1):
+            self.weights[i] = found[code]
+        self._index(codes)
+
+    def _index(self, codes: np.ndarray) -> None:
+        """Rows by triple: one array while the alphabet is small, else a hash table with eight
+        places for each, where a triple that finds its place taken goes to the next."""
+        self.keys = None
+        if self.base**3 <= _DIRECT:
+            self.row = np.zeros(self.base**3, np.int32)
+            self.row[codes] = np.arange(1, len(codes) + 1)
+            return
+        bits = max(8, (8 * len(codes)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.keys, self.row = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        for i, (code, at) in enumerate(zip(codes.tolist(), self._place(codes).tolist()), 1):
+            while self.keys[at] >= 0:
+                at = (at + 1) % len(self.keys)
+            self.keys[at], self.row[at] = code, i
+
+    def _place(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def _rows(self, codes: np.ndarray) -> np.ndarray:
+        if self.keys is None:
+            return self.row[codes]
+        flat = codes.ravel()
+        at = self._place(flat)
+        held = self.keys[at]
+        out = np.where(held == flat, self.row[at], 0)
+        left = np.flatnonzero((held != flat) & (held >= 0))
+        while len(left):
+            at[left] = (at[left] + 1) % len(self.keys)
+            held = self.keys[at[left]]
+            out[left] = np.where(held == flat[left], self.row[at[left]], 0)
+            left = left[(held != flat[left]) & (held >= 0)]
+        return out.reshape(codes.shape)
 
     def _triples(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(self.letters, points), len(self.letters) - 1)
-        ids = np.where(self.letters[at] == points, at + 1, 0).astype(np.int32)
+        ids = np.where(self.letters[at] == points, at + 1, 0).astype(np.int32 if self.base**3 <= _DIRECT else np.int64)
         i, j, k = _places(points.shape[1])
         codes = (ids[:, i] * self.base + ids[:, j]) * self.base + ids[:, k]
         codes[(ids[:, i] == 0) | (ids[:, j] == 0) | (ids[:, k] == 0)] = 0
@@ -110,7 +149,7 @@ class LandmarkKernel:
             for s in range(0, len(at) if size >= 3 else 0, step):
                 part = at[s : s + step]
                 codes, weight = self._triples(_points([words[i] for i in part]))
-                rows = self.row[codes]
+                rows = self._rows(codes)
                 r, c = np.nonzero(rows)
                 if len(r):
                     starts = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
@@ -197,6 +236,8 @@ class SentenceMachine:
     bias: float
     slope: float = 1.0
     shift: float = 0.0
+    phrases: PhraseMachine | None = None
+    phrase_slope: float = 0.0
     numbers: dict[str, int] = field(default_factory=dict, repr=False)
     values: list[float] = field(default_factory=list, repr=False)
 
@@ -246,6 +287,8 @@ class SentenceMachine:
 
     def scores(self, texts: list[str]) -> np.ndarray:
         z = self.slope * self.margins(texts) + self.shift
+        if self.phrases is not None:
+            z = z + self.phrase_slope * self.phrases.margins(texts)
         return 0.5 * (1 + np.tanh(0.5 * z))
 
 
@@ -287,8 +330,9 @@ def _fit_svm(x: np.ndarray, y: np.ndarray, share: np.ndarray, cost: float = 100.
 
 
 def fit_machine(texts: list[str], y: np.ndarray, rounds: int = 3) -> SentenceMachine:
-    """Train on the words of sentences with the labels of their documents. One label only,
-    or no text, gives a machine that says that label's share for every text."""
+    """Train on the words of sentences, and for toxic texts that no word gives away on sentences
+    as rows of words, with the labels of their documents. One label only, or no text, gives a
+    machine that says that label's share for every text."""
     stems = [{p for s in map(stem, set(split_words(t))) for p in windows(s) if len(p) >= 3} for t in texts]
     toxic = [d for d, l in zip(stems, y) if l == 1 and d]
     clean = [d for d, l in zip(stems, y) if l == 0 and d]
@@ -329,23 +373,31 @@ def fit_machine(texts: list[str], y: np.ndarray, rounds: int = 3) -> SentenceMac
         margin = x @ w + b
         sure = (margin > 0.5) & (in_clean == 0) & (in_toxic > 1)
     machine.weights, machine.bias = to_space @ w, b
-    machine.slope, machine.shift = _platt(machine.margins(texts), y)
+    margin = machine.margins(texts)
+    machine.slope, machine.shift = _platt(margin[:, None], y)
+    # toxic texts whose worst word is no worse than that of some clean ones
+    missed = (y == 1) & (margin <= np.quantile(margin[y == 0], 0.98))
+    machine.phrases = fit_phrases(texts, y, missed, _fit_svm)
+    if machine.phrases is not None:
+        both = np.stack([margin, machine.phrases.margins(texts)], axis=1)
+        machine.slope, machine.phrase_slope, machine.shift = _platt(both, y)
     machine.numbers.clear()
     machine.values.clear()
     return machine
 
 
-def _platt(margin: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, float]:
-    """Logistic curve of the margin, by Newton steps, with softened targets."""
+def _platt(margins: np.ndarray, y: np.ndarray, steps: int = 100) -> list[float]:
+    """Logistic curve of the margins, by Newton steps, with softened targets: a slope for each
+    margin, none of them negative, and the shift."""
     n, p = (y == 0).sum(), (y == 1).sum()
     target = np.where(y == 1, (p + 1) / (p + 2), 1 / (n + 2))
-    z = np.stack([margin, np.ones(len(margin))], axis=1)
-    w = np.zeros(2)
+    z = np.hstack([margins, np.ones((len(margins), 1))])
+    w = np.zeros(z.shape[1])
     for _ in range(steps):
         q = 0.5 * (1 + np.tanh(0.5 * (z @ w)))
-        hessian = (z * (q * (1 - q) + 1e-9)[:, None]).T @ z + 1e-3 * np.eye(2)
+        hessian = (z * (q * (1 - q) + 1e-9)[:, None]).T @ z + 1e-3 * np.eye(len(w))
         w -= np.clip(np.linalg.solve(hessian, z.T @ (q - target) + 1e-3 * w), -1, 1)
-    return float(max(w[0], 0.0)), float(w[1])
+    return [*(max(float(x), 0.0) for x in w[:-1]), float(w[-1])]
 
 
 def train_toxicity(
@@ -370,11 +422,9 @@ def _scored(machine: SentenceMachine, name: str):
             _MACHINES.clear()
             _MACHINES[name] = machine
         mine = _MACHINES[name]
-        for batch in batches:
-            for s in range(0, batch.num_rows, 500):
-                part = batch.slice(s, 500)
-                scores = mine.scores([t or "" for t in part["text"].to_pylist()])
-                yield pa.RecordBatch.from_arrays([part["id"], pa.array(scores, pa.float64())], ["id", "score"])
+        for part in text_slices(batches, rows=500):
+            scores = mine.scores([t or "" for t in part["text"].to_pylist()])
+            yield pa.RecordBatch.from_arrays([part["id"], pa.array(scores, pa.float64())], ["id", "score"])
 
     return run
 
@@ -382,12 +432,13 @@ def _scored(machine: SentenceMachine, name: str):
 def score_toxicity(docs: DataFrame, machine: SentenceMachine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`id, score` for every row: the probability of label 1, from the whole text alone.
 
-    A null text is scored as an empty one.
+    A text is as toxic as its worst word and its worst sentence. A null text is scored as an
+    empty one; texts of any length are scored whole, a slice at a time.
     Null ids and repeated rows are kept; other columns are not read; an empty table gives
     no rows.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    name = f"{machine.landmarks}{machine.weights.tolist()}{machine.bias}{machine.slope}{machine.shift}"
+    name = f"{machine.landmarks}{machine.weights.tolist()}{machine.bias}{machine.slope}{machine.shift}{machine.phrase_slope}"
     return rows.mapInArrow(_scored(machine, name), f"id {dict(rows.dtypes)['id']}, score double")
 
 
