@@ -216,3 +216,14 @@ def test_prepare_and_verify(spark, tmp_path):
         ),
     )
     assert [r for r in report.collect() if not r.ok] == []
+
+
+def test_missing_value_spellings_and_runs(spark, tmp_path):
+    labels = sources.read_labels_csv(spark, _write(tmp_path / "l.csv", 'par_id,label\n1,"[1]"\n2,NA\n'), na_values=("NA",))
+    assert [r[1] for r in labels.collect()] == ["[1]", None]
+    runs = spark.createDataFrame(
+        [("a/b", 2, 0.1, 0.5, 0.6, 0.4), ("a/b", 1, 0.2, 0.4, 0.5, 0.3), ("c", 1, 0.3, 0.0, 0.0, 0.0)],
+        "run_id string, epoch bigint, loss double, dev_f1 double, dev_p double, dev_r double",
+    )
+    sources.write_history(runs, str(tmp_path / "runs"))
+    assert sorted(sources.read_history(spark, str(tmp_path / "runs")).collect()) == sorted(runs.collect())

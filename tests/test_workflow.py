@@ -5,9 +5,10 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from textlens import sources
-from textlens.operators import metrics
+from textlens.operators import metrics, selection, training
 from textlens.plans import workflow
 
 
@@ -80,3 +81,44 @@ def test_whole_work_flow(spark, tmp_path):
     assert [r.pred for r in lines] == [decided["900"], decided["901"]]
     with pytest.raises(Exception, match="no prediction"):
         workflow.write_prediction_file(predictions.limit(1), numbered, str(tmp_path / "short.txt"))
+
+
+def test_training_with_draws_epochs_and_label_heads(spark, tmp_path):
+    rng = random.Random(8)
+    rows = []
+    for i in range(200):
+        bad = i % 5 == 0
+        words = [rng.choice(["market", "city", "report", "road"]) for _ in range(8)] + ["pity"] * bad + ["poor"] * (bad and i % 2)
+        rows.append((str(i), "kw", " ".join(words), int(bad), [float(bad), float(bad and i % 2)]))
+    df = spark.createDataFrame(rows, "id string, keyword string, text string, y int, label_vec array<double>")
+    parts = df.where("int(id) % 3 > 0"), df.where("int(id) % 3 = 0")
+    options = dict(reg_params=(0.0001, 1.0), num_features=1 << 8, max_iter=4, epochs=5, patience=2, draws=True, width=2, label_reg=0.001, n_aug=1)
+    result = workflow.train(*parts, folder=str(tmp_path / "state"), **options)
+    again = workflow.train(*parts, folder=str(tmp_path / "state"), **options)  # goes on behind the last epoch
+    assert sorted(result.history.collect()) == sorted(again.history.collect())
+    epochs = {r.run_id: r.n for r in result.history.groupBy("run_id").agg(F.count("*").alias("n")).collect()}
+    assert set(epochs) == {"run-0", "run-1"} and max(epochs.values()) > 1
+
+    workflow.write_training(result, str(tmp_path / "out"))
+    read = workflow.read_training(spark, str(tmp_path / "out"))
+    assert sorted(read["history"].select(result.history.columns).collect()) == sorted(result.history.collect())
+    best = selection.search_runs(read["history"].withColumnRenamed("dev_f1", "f1"), 2).first()
+    assert best.run_id == result.model.names[0] and best.best_f1 == 1.0
+    assert read["threshold"].first().threshold == result.threshold.first().threshold
+    scores = read["dev_scores"].join(parts[1].select("id", "y"), "id")
+    assert metrics.threshold_sweep(scores).first().threshold == result.threshold.first().threshold
+    figures = {r.label: r.f1 for r in workflow.evaluate_labels(result.label_model, parts[1]).collect()}
+    assert figures["0"] == 1.0 and set(figures) == {"0", "1", "micro", "macro"}
+
+
+def test_prediction_file_has_a_line_for_every_row(spark, tmp_path):
+    df = spark.createDataFrame([("a", "k", "pity"), ("a", "k", "city"), (None, "k", "pity"), ("b", "k", None)], "id string, keyword string, text string")
+    split = df.coalesce(1).withColumn("row_id", F.monotonically_increasing_id())
+    train = spark.createDataFrame([(i, "pity" if i % 2 else "city", i % 2) for i in range(20)], "id long, text string, y int")
+    model, _ = training.train_focal(train.withColumn("label_vec", F.array(F.lit(0.0))), 1, num_features=64, steps=10)
+    threshold = spark.createDataFrame([(0.5,)], "threshold double")
+    predictions = workflow.predict([model], split, threshold)
+    check = workflow.write_prediction_file(predictions, split, str(tmp_path / "p.txt")).first()
+    assert (check.expected, check.actual, check.ok) == (4, 4, True)
+    assert [r.pred for r in sources.read_predictions(spark, str(tmp_path / "p.txt")).orderBy("row_id").collect()][:3] == [1, 0, 1]
+    assert not workflow.write_prediction_file(predictions, split, str(tmp_path / "q.txt"), expected_rows=5).first().ok

@@ -204,15 +204,13 @@ def stop_word_density(tokens: DataFrame, stop_words: Sequence[str]) -> DataFrame
     # the test would be pushed to the scan and compute the share a second time.
     counts = settle(counts).filter(F.col("density").isNotNull())
     n, share = F.col("n"), F.col("density")
-    sums = counts.groupBy("y").agg(
-        F.sum(n).alias("n_docs"),
-        F.sum(n * share).alias("_sum"),
-        F.sum(n * share * share).alias("_squares"),
-    )
-    mean = safe_ratio("_sum", "n_docs")
-    variance = F.greatest(safe_ratio("_squares", "n_docs") - mean * mean, F.lit(0.0))
-    moments = sums.select(
-        "y", "n_docs", mean.alias("mean_density"), F.sqrt(variance).alias("std_density")
+    means = counts.groupBy("y").agg(F.sum(n).alias("n_docs"), F.sum(n * share).alias("_sum"))
+    means = means.select("y", "n_docs", safe_ratio("_sum", "n_docs").alias("mean_density"))
+    # Around the mean of the class: squares of the shares themselves would cancel. Two rows.
+    apart = share - F.col("mean_density")
+    squares = counts.join(F.broadcast(means), "y").groupBy("y").agg(F.sum(n * apart * apart).alias("_squares"))
+    moments = means.join(squares, "y").select(
+        "y", "n_docs", "mean_density", F.sqrt(safe_ratio("_squares", "n_docs")).alias("std_density")
     )
 
     def of_class(y: int) -> Column:

@@ -376,20 +376,33 @@ def relative_improvement(metrics: DataFrame, baseline: float) -> DataFrame:
     return metrics.select("f1", F.lit(float(baseline)).alias("baseline"), gain.alias("improvement"))
 
 
-def _hardest(scored: DataFrame, y: int, pred: int, k: int, by_score) -> DataFrame:
+def _hardest(scored: DataFrame, y: int, pred: int, k: int, by_score, texts: DataFrame | None) -> DataFrame:
     wrong = scored.filter((F.col("y") == y) & (F.col("pred") == pred))
-    columns = wrong.select("id", "keyword", "score", "text")
-    return first_rows(columns, k, [by_score, F.col("id").asc()])
+    order = [by_score, F.col("id").asc()]
+    if texts is None:
+        return first_rows(wrong.select("id", "keyword", "score", "text"), k, order)
+    # k rows, so that neither texts nor scores are shuffled for them
+    top = F.broadcast(first_rows(wrong.select("id", "score"), k, order))
+    found = top.join(texts.select("id", "keyword", "text"), "id")
+    missing = top.join(found.select("id"), "id", "left_anti")
+    nothing = F.lit(None).cast("string")
+    return found.select("id", "keyword", "score", "text").unionByName(
+        missing.select("id", nothing.alias("keyword"), "score", nothing.alias("text"))
+    )
+
 
+def hardest_false_positives(scored: DataFrame, k: int = 10, texts: DataFrame | None = None) -> DataFrame:
+    """Wrongly accepted rows with the highest scores.
 
-def hardest_false_positives(scored: DataFrame, k: int = 10) -> DataFrame:
-    """Wrongly accepted rows with the highest scores."""
-    return _hardest(scored, 0, 1, k, F.col("score").desc())
+    With ``texts`` (id, keyword, text) ``scored`` needs neither: ids and scores are ranked, and
+    only the k rows meet their texts.
+    """
+    return _hardest(scored, 0, 1, k, F.col("score").desc(), texts)
 
 
-def hardest_false_negatives(scored: DataFrame, k: int = 10) -> DataFrame:
-    """Missed positives with the lowest scores."""
-    return _hardest(scored, 1, 0, k, F.col("score").asc())
+def hardest_false_negatives(scored: DataFrame, k: int = 10, texts: DataFrame | None = None) -> DataFrame:
+    """Missed positives with the lowest scores; ``texts`` as for false positives."""
+    return _hardest(scored, 1, 0, k, F.col("score").asc(), texts)
 
 
 def multilabel_metrics(
@@ -434,8 +447,10 @@ def _as_metrics(row: DataFrame, names: Sequence[str], prefix: str = "") -> DataF
 def evaluation_summary(scored: DataFrame) -> DataFrame:
     """Global figures as a long (metric, value) table.
 
-    Counts and everything derived from them come from one aggregation.
+    Counts and everything derived from them come from one aggregation. Scores and lengths
+    are settled first, so that the texts behind them are read once.
     """
+    scored = settle(scored.select("y", "pred", "score", "n_ws_tokens"))
     counts = scored.agg(
         *_counts(),
         *[

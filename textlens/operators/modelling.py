@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
@@ -17,7 +16,7 @@ from pyspark.storagelevel import StorageLevel
 
 from textlens.functions.scoring import decide, sigmoid
 from textlens.functions.text import WORD_PATTERN
-from textlens.operators.lexical import class_sizes, class_term_counts, explode_tokens
+from textlens.operators.lexical import class_sizes, class_term_counts
 from textlens.operators.metrics import ensemble_mean
 from textlens.session import settle
 
@@ -90,46 +89,6 @@ def score_text(model: PipelineModel, examples: DataFrame, model_id: str = "text"
     )
 
 
-def train_label_heads(
-    examples: DataFrame,
-    width: int,
-    vector: str = "label_vec",
-    num_features: int = 1 << 18,
-    max_iter: int = 10,
-) -> tuple[PipelineModel, list[LogisticRegressionModel]]:
-    """One head per label on shared features, fitted one after the other."""
-    rows = _without_null_texts(examples)
-    features = Pipeline(stages=text_features(num_features)).fit(rows)
-    shared = features.transform(rows).select(
-        "features", *[F.element_at(vector, i + 1).alias(f"_label_{i}") for i in range(width)]
-    )
-    shared = shared.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        heads = [
-            LogisticRegression(
-                labelCol=f"_label_{i}", maxIter=max_iter, regParam=0.01, aggregationDepth=3
-            ).fit(shared)
-            for i in range(width)
-        ]
-    finally:
-        shared.unpersist()
-    return features, heads
-
-
-def score_label_heads(
-    features: PipelineModel, heads: Sequence[LogisticRegressionModel], examples: DataFrame
-) -> DataFrame:
-    """(id, label_scores): the score of each head, in label order."""
-    rows = _without_null_texts(examples)
-    scored = features.transform(rows).select("id", "features")
-    for i, head in enumerate(heads):
-        one = head.copy()
-        one.setPredictionCol(f"_d{i}").setProbabilityCol(f"_p{i}").setRawPredictionCol(f"_r{i}")
-        scored = one.transform(scored)
-    scores = [_positive_probability(f"_p{i}") for i in range(len(heads))]
-    return scored.select("id", F.array(*scores).alias("label_scores"))
-
-
 def train_embedding_head(
     embeddings: DataFrame, vector: str = "embedding", label: str = "label", max_iter: int = 20
 ) -> LogisticRegressionModel:
@@ -208,27 +167,29 @@ def train_naive_bayes(
 def naive_bayes_scores(model: NaiveBayes, documents: DataFrame, model_id: str = "nb") -> DataFrame:
     """(id, model_id, score, log_odds) of tokenised documents.
 
-    Terms not seen in training are ignored. Hot terms, which are most occurrences, meet
-    their weight in a broadcast join and are summed per document before any shuffle;
-    only the rare rest is shuffled by term, where no key is hot. That join is told to
-    shuffle: size estimates ignore that the tokens of a text are many rows, and would
-    broadcast them.
+    Terms not seen in training are ignored. Texts are exploded once: hot terms, which are most
+    occurrences, meet their weight in a broadcast join and are summed per document, rare
+    ones are counted per document, in one aggregation. Only the rare rest is shuffled by
+    term, where no key is hot: a document's sum of hot terms is a row with a key of its own
+    there. That join is told to shuffle: size estimates ignore that the tokens of a text are
+    many rows, and would broadcast them.
     """
     weights = model.weights
-    hot = F.broadcast(weights.filter("hot").select("term", "log_odds"))
-    cold = weights.filter(~F.col("hot")).select("term", "log_odds")
-    occurrences = explode_tokens(documents, ["id"])
-    of_hot = occurrences.join(hot, "term").select("id", "log_odds")
-    of_cold = (
-        occurrences.join(hot.select("term"), "term", "left_anti")
-        .join(cold.hint("merge"), "term")
-        .select("id", "log_odds")
+    hot = F.broadcast(weights.filter("hot").select("term", F.col("log_odds").alias("_hot")))
+    cold = weights.filter(~F.col("hot")).select("term", F.col("log_odds").alias("_cold"))
+    # The outer form keeps documents without a term.
+    occurrences = documents.select("id", F.explode_outer("tokens").alias("term"))
+    rare = F.when(F.col("_hot").isNull(), F.col("term"))
+    counted = (
+        occurrences.join(hot, "term", "left")
+        .groupBy("id", rare.alias("_rare"))
+        .agg(F.sum("_hot").alias("_odds"), F.count("*").alias("_n"))
     )
-    # Every document takes part, also one without a known term.
-    base = documents.select("id", F.lit(0.0).alias("log_odds"))
-    parts = reduce(lambda a, b: a.unionByName(b), [of_hot, of_cold, base])
+    own_key = F.coalesce("_rare", F.concat(F.lit("\0"), F.xxhash64("id").cast("string")))
+    joined = counted.withColumn("term", own_key).join(cold.hint("merge"), "term", "left")
+    odds = F.coalesce("_odds", F.lit(0.0)) + F.col("_n") * F.coalesce("_cold", F.lit(0.0))
     prior = model.prior.scalar()
-    summed = parts.groupBy("id").agg((F.sum("log_odds") + prior).alias("log_odds"))
+    summed = joined.groupBy("id").agg((F.sum(odds) + prior).alias("log_odds"))
     return summed.select(
         "id", F.lit(model_id).alias("model_id"), sigmoid("log_odds").alias("score"), "log_odds"
     )

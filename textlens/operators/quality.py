@@ -37,8 +37,34 @@ def check_row_count(left: DataFrame, right: DataFrame, name: str = "row_count")
     return _result(counts, name, F.col("_left"), F.col("_right"))
 
 
-def check_expected_rows(df: DataFrame, n: int, name: str = "expected_rows") -> DataFrame:
-    return _result(df.agg(F.count("*").alias("_n")), name, F.lit(n), F.col("_n"))
+def check_expected_rows(df: DataFrame, n: int | DataFrame, name: str = "expected_rows") -> DataFrame:
+    """Rows of a table against a number, or against the one value of a one-row table."""
+    expected = F.lit(n) if isinstance(n, int) else n.scalar()
+    return _result(df.agg(F.count("*").alias("_n")), name, expected, F.col("_n"))
+
+
+def column_report(df: DataFrame, expected: Sequence[str]) -> DataFrame:
+    """(column, expected_at, found_at, n_values) for every column that is expected or found.
+
+    Places count from 0 and are null where a column is missing; ``n_values`` are the rows
+    with a value, counted for all columns in one pass.
+    """
+    names = [*expected, *[c for c in df.columns if c not in expected]]
+    counts = df.agg(*[F.count(c).alias(c) for c in df.columns])
+
+    def place(name: str, where: Sequence[str]):
+        return F.lit(list(where).index(name) if name in where else None).cast("bigint")
+
+    rows = [
+        F.struct(
+            F.lit(c).alias("column"),
+            place(c, expected).alias("expected_at"),
+            place(c, df.columns).alias("found_at"),
+            (F.col(c) if c in df.columns else F.lit(None).cast("bigint")).alias("n_values"),
+        )
+        for c in names
+    ]
+    return counts.select(F.inline(F.array(*rows)))
 
 
 def check_columns(df: DataFrame, expected: Sequence[str], name: str = "columns") -> DataFrame:

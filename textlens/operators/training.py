@@ -119,6 +119,24 @@ def train_focal(
     return LinearText(features, objective.weights([_point(s) for s in states]), names), losses
 
 
+def train_label_heads(
+    rows: DataFrame,
+    width: int,
+    num_features: int = 1 << 18,
+    steps: int = 20,
+    reg: float = 0.01,
+    weight: str | None = None,
+) -> LinearText:
+    """A logistic regression for each of `width` labels of (id, text, label_vec) rows, all in the
+    same scans: their number does not depend on the number of labels."""
+    features = fit_features(rows, num_features)
+    table = text_design(features, rows.withColumn("y", F.lit(0)), weight=weight)
+    names = tuple(f"label_{k}" for k in range(width))
+    objective = Heads(tuple(Head(n, 1 + k, 0.0, reg) for k, n in enumerate(names)), num_features)
+    states = fit(table, objective, steps)
+    return LinearText(features, objective.weights([_point(s) for s in states]), names)
+
+
 def _point(state: Lbfgs) -> np.ndarray:
     return state.best if len(state.best) else state.point
 

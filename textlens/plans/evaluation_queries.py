@@ -293,7 +293,7 @@ def _(spark, sf):
     ORDER BY score DESC, id LIMIT 10""",
 )
 def _(spark, sf):
-    return metrics.hardest_false_positives(fx.scored_examples(spark, sf))
+    return metrics.hardest_false_positives(fx.scored_labels(spark, sf), texts=fx.corpus(spark, sf))
 
 
 @query(
@@ -302,7 +302,7 @@ def _(spark, sf):
     ORDER BY score, id LIMIT 10""",
 )
 def _(spark, sf):
-    return metrics.hardest_false_negatives(fx.scored_examples(spark, sf))
+    return metrics.hardest_false_negatives(fx.scored_labels(spark, sf), texts=fx.corpus(spark, sf))
 
 
 def _label_score(ix: int) -> str:

@@ -6,10 +6,12 @@ import numpy as np
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from textlens.operators import modelling, rebalance
-from textlens.operators.metrics import threshold_sweep
+from textlens.operators import modelling, rebalance, training
+from textlens.operators.gradient_fit import Head, Heads, design, gradient_sums, hashed_fold
+from textlens.operators.metrics import multilabel_metrics, threshold_sweep
 from textlens.plans import fixtures as fx
-from textlens.plans.registry import query
+from textlens.plans.registry import query, u
+from textlens.session import settle
 
 _NB = r""", f AS (SELECT y, unnest(toks) AS term FROM tok),
     c AS (SELECT term, count(*) FILTER (y = 1) AS n_pos, count(*) FILTER (y = 0) AS n_neg
@@ -70,12 +72,13 @@ def _model(spark, sf):
     FROM rest""",
 )
 def _(spark, sf):
-    model = _model(spark, sf)
-    labelled = fx.tokens(spark, sf)
-    on_labelled = modelling.naive_bayes_scores(model, labelled).select("id", "score")
-    threshold = threshold_sweep(on_labelled.join(fx.labels(spark, sf).select("id", "y"), "id"))
-    rest = fx.with_tokens(fx.unlabelled(spark, sf).select("id", "text"))
-    return modelling.predict_split(modelling.naive_bayes_scores(model, rest), threshold)
+    # Every document is scored once; the labelled ones give the threshold.
+    documents = fx.with_tokens(fx.all_documents(spark, sf).select("id", "text"))
+    scores = settle(modelling.naive_bayes_scores(_model(spark, sf), documents))
+    labels = fx.labels(spark, sf).select("id", "y")
+    threshold = threshold_sweep(scores.select("id", "score").join(labels, "id"))
+    rest = scores.join(labels, "id", "left_anti")
+    return modelling.predict_split(rest, threshold)
 
 
 @query("train_text_classifier")
@@ -88,13 +91,100 @@ def _(spark, sf):
 @query("train_label_heads")
 def _(spark, sf):
     rows = fx.examples(spark, sf)
-    features, heads = modelling.train_label_heads(rows, fx.WIDTH)
-    scores = modelling.score_label_heads(features, heads, rows)
+    scores = training.train_label_heads(rows, fx.WIDTH).label_scores(rows)
     return scores.select(
         "id", *[F.col("label_scores")[i].alias(n) for i, n in enumerate(fx.LABEL_NAMES)]
     )
 
 
+@query("label_heads_metrics")
+def _(spark, sf):
+    rows = fx.examples(spark, sf)
+    scores = training.train_label_heads(rows, fx.WIDTH).label_scores(rows)
+    decided = F.transform("label_scores", lambda s: (s >= 0.5).cast("double"))
+    return multilabel_metrics(rows.select("id", "label_vec").join(scores.select("id", decided.alias("pred_vec")), "id"))
+
+
+@query("train_focal")
+def _(spark, sf):
+    rows = rebalance.class_weights(fx.examples(spark, sf))
+    return training.train_focal(rows, fx.WIDTH, weight="weight")[0].scores(rows, "focal")
+
+
+@query("train_focal_shared")
+def _(spark, sf):
+    rows = rebalance.class_weights(fx.examples(spark, sf))
+    model, _ = training.train_focal(rows, fx.WIDTH, rank=4, reg=0.001, num_features=1 << 16, weight="weight")
+    return model.scores(rows, "focal-shared")
+
+
+@query("cross_validated_scores")
+def _(spark, sf):
+    return training.cross_validated_text(fx.examples(spark, sf), folds=5)
+
+
+@query(
+    "cross_validation_folds",
+    f"""SELECT id, floor({u("'fold'", "42", "id")} * 5)::INTEGER AS fold FROM lab""",
+)
+def _(spark, sf):
+    return fx.labels(spark, sf).select("id", hashed_fold(5).alias("fold"))
+
+
+@query("training_history")
+def _(spark, sf):
+    """Three regularisations in epochs; the dev part is fold 0 of five."""
+    rows = fx.examples(spark, sf)
+    features = training.fit_features(rows)
+    runs = tuple(Head(f"run-{i}", 0, 2.0, reg) for i, reg in enumerate((0.0001, 0.001, 0.01)))
+    table, dev = (
+        training.text_design(features, rows.where(part))
+        for part in (hashed_fold(5) > 0, hashed_fold(5) == 0)
+    )
+    return training.train_epochs(table, dev, Heads(runs, 1 << 18), epochs=10, steps=3, patience=3).history
+
+
+_POINT = "list_transform(range(64), lambda j: 0.25 * cos(j * 1.0::DOUBLE + {k}))"
+
+
+@query(
+    "objective_gradient",
+    f""", e AS (SELECT vec_id, embedding::DOUBLE[] AS x, CASE WHEN label >= 5 THEN 1.0 ELSE 0.0 END::DOUBLE AS y,
+      floor({u("'fold'", "42", "vec_id")} * 4) AS fold FROM embeddings),
+    h AS (
+      SELECT 'focal' AS head, 2 AS gamma, x, y, list_inner_product(x, {_POINT.format(k=0)}) - 0.5 AS z FROM e
+      UNION ALL SELECT 'fold', 0, x, y, list_inner_product(x, {_POINT.format(k=1)}) + 0.25 FROM e WHERE fold <> 1),
+    p AS (SELECT *, 1 / (1 + exp(-z)) AS p FROM h),
+    m AS (SELECT *, y * (1 - p) + (1 - y) * p AS miss, -ln(y * p + (1 - y) * (1 - p)) AS ce FROM p),
+    s AS (SELECT *, miss ** gamma * ce AS loss,
+      miss ** gamma * (p - y) - gamma * miss ** (gamma - 1) * ce * (2 * y - 1) * p * (1 - p) AS slope FROM m)
+    SELECT head, 'loss' AS part, 0::BIGINT AS coordinate, sum(loss) / count(*) AS value FROM s GROUP BY head
+    UNION ALL SELECT head, 'gradient', 64, sum(slope) / count(*) FROM s GROUP BY head
+    UNION ALL SELECT head, 'gradient', j - 1, sum(slope * v) / count(*)
+      FROM (SELECT head, slope, unnest(x) AS v, unnest(range(1, 65)) AS j FROM s) GROUP BY head, j""",
+)
+def _(spark, sf):
+    """Loss and gradient of two heads at a fixed point: one scan of the distributed fit."""
+    vectors = fx.table(spark, sf, "embeddings").withColumn("id", F.col("vec_id"))
+    table = design(
+        vectors.withColumn("v", array_to_vector(F.col("embedding").cast("array<double>"))),
+        "v",
+        F.array((F.col("label") >= 5).cast("double")),
+        fold=hashed_fold(4),
+    )
+    j = np.arange(64)
+    points = np.stack([np.append(0.25 * np.cos(j), -0.5), np.append(0.25 * np.cos(j + 1), 0.25)])
+    heads = Heads((Head("focal", 0, 2.0), Head("fold", 0, 0.0, left_out=1)), 64)
+    loss, gradient = gradient_sums(table, heads, points)
+    rows = [
+        (head.name, part, at, float(value / loss[k, 1]))
+        for k, head in enumerate(heads.heads)
+        for part, values in (("loss", loss[k, :1]), ("gradient", gradient[k]))
+        for at, value in enumerate(values)
+    ]
+    return spark.createDataFrame(rows, "head string, part string, coordinate bigint, value double")
+
+
 @query("train_embedding_head")
 def _(spark, sf):
     model = modelling.train_embedding_head(fx.table(spark, sf, "embeddings"))
@@ -124,3 +214,15 @@ def _(spark, sf):
 
     rows = vectors.select(F.col("vec_id").alias("id"), "embedding")
     return modelling.score_batches(rows, load_scorer)
+
+
+@query(
+    "score_batches_norm",
+    """SELECT vec_id AS id, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS score FROM embeddings""",
+)
+def _(spark, sf):
+    def load_scorer():
+        return lambda batch: np.linalg.norm(np.stack(batch["embedding"].to_numpy()).astype(np.float64), axis=1)
+
+    rows = fx.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return modelling.score_batches(rows, load_scorer)

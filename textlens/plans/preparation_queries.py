@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from textlens.functions import seeded_uniform
 from textlens.operators import joins, quality
+from textlens.operators.compare_tree import compare_by_tree
 from textlens.plans import fixtures as fx
 from textlens.plans.registry import query, u
 from textlens.plans.scalar_queries import label_strings, shifted_labels
@@ -102,21 +103,27 @@ _EDITED = f"""(SELECT id, keyword,
     FROM {_DOCS} WHERE {u("'drop'", "id")} >= 0.05)"""
 
 
-@query(
-    "compare_tables",
-    f""", l AS (SELECT * FROM {_DOCS}), r AS (SELECT * FROM {_EDITED})
+_COMPARE_SQL = f""", l AS (SELECT * FROM {_DOCS}), r AS (SELECT * FROM {_EDITED})
     SELECT l.id, NULL::VARCHAR AS column_name, 'left_only' AS problem
     FROM l WHERE l.id NOT IN (SELECT id FROM r)
     UNION ALL SELECT l.id, 'country', 'differs' FROM l JOIN r ON l.id = r.id
       WHERE l.country IS DISTINCT FROM r.country
     UNION ALL SELECT l.id, 'text', 'differs' FROM l JOIN r ON l.id = r.id
-      WHERE l.text IS DISTINCT FROM r.text""",
-)
+      WHERE l.text IS DISTINCT FROM r.text"""
+
+
+@query("compare_tables", _COMPARE_SQL)
 def _(spark, sf):
     documents = fx.corpus(spark, sf)
     return joins.compare_tables(documents, _edited(documents), "id", ["keyword", "country", "text"])
 
 
+@query("compare_by_tree", _COMPARE_SQL)
+def _(spark, sf):
+    documents = fx.corpus(spark, sf)
+    return compare_by_tree(documents, _edited(documents), "id", ["keyword", "country", "text"])
+
+
 @query(
     "check_row_count",
     f"""SELECT 'row_count' AS "check", (SELECT count(*) FROM lab) AS expected,
@@ -238,3 +245,50 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return quality.check_expected_rows(fx.corpus(spark, sf), 1000)
+
+
+@query(
+    "column_report",
+    """SELECT * FROM (
+      SELECT 'doc_id' AS "column", 0::BIGINT AS expected_at, 0::BIGINT AS found_at, count(doc_id) AS n_values FROM documents
+      UNION ALL SELECT 'title', 1, NULL, NULL
+      UNION ALL SELECT 'text', 2, 1, count(text) FROM documents
+      UNION ALL SELECT column_name, NULL, (row_number() OVER (ORDER BY place)) + 1, n
+        FROM (SELECT 'lang' AS column_name, 1 AS place, count(lang) AS n FROM documents
+          UNION ALL SELECT 'source', 2, count(source) FROM documents
+          UNION ALL SELECT 'n_chars', 3, count(n_chars) FROM documents))""",
+)
+def _(spark, sf):
+    stored = spark.read.parquet(f"{sf}/documents.parquet")
+    return quality.column_report(stored, ["doc_id", "title", "text"])
+
+
+_CHANGED = """SELECT doc_id, CASE WHEN doc_id % 7 = 3 THEN text || '!' ELSE text END AS text,
+  CASE WHEN doc_id % 11 = 5 THEN NULL ELSE lang END AS lang FROM documents WHERE doc_id % 13 <> 4"""
+
+
+@query(
+    "check_tables_differ",
+    f"""SELECT 'tables_equal' AS "check", 0::BIGINT AS expected, count(*) AS actual, count(*) = 0 AS ok
+    FROM (SELECT d.doc_id FROM documents d LEFT JOIN ({_CHANGED}) e USING (doc_id) WHERE e.doc_id IS NULL
+      UNION ALL SELECT d.doc_id FROM documents d JOIN ({_CHANGED}) e USING (doc_id) WHERE d.text IS DISTINCT FROM e.text
+      UNION ALL SELECT d.doc_id FROM documents d JOIN ({_CHANGED}) e USING (doc_id) WHERE d.lang IS DISTINCT FROM e.lang)""",
+)
+def _(spark, sf):
+    documents = fx.corpus(spark, sf)
+    edited = documents.where("id % 13 <> 4").select(
+        "id",
+        F.when(F.col("id") % 7 == 3, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"),
+        F.when(F.col("id") % 11 == 5, F.lit(None)).otherwise(F.col("country")).alias("country"),
+    )
+    return quality.check_tables_equal(documents, edited, "id", ["country", "text"])
+
+
+@query(
+    "check_rows_against_table",
+    """SELECT 'expected_rows' AS "check", (SELECT max(doc_id) + 1 FROM documents) AS expected,
+      count(*) AS actual, count(*) = (SELECT max(doc_id) + 1 FROM documents) AS ok FROM labels""",
+)
+def _(spark, sf):
+    last = fx.corpus(spark, sf).agg((F.max("id") + 1).alias("n"))
+    return quality.check_expected_rows(fx.labels(spark, sf), last)

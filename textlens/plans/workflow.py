@@ -7,9 +7,10 @@ returns or writes tables; splits should be stored once and read back between ste
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,16 +23,25 @@ from textlens.functions import (
     parse_label,
     word_tokens,
 )
-from textlens.operators import lexical, metrics, modelling, profile, quality, rebalance, selection
+from textlens.operators import lexical, metrics, modelling, profile, quality, rebalance, selection, training
+from textlens.operators.gradient_fit import Head, Heads
 from textlens.operators.joins import CANONICAL, attach_text, select_columns
+from textlens.operators.training import LinearText
 from textlens.schemas import LABEL_NAMES
 from textlens.sources import (
     read_corpus_tsv,
+    read_history,
     read_labels_csv,
+    read_predictions,
+    read_scores,
     read_split,
+    read_threshold,
     read_unlabelled_tsv,
+    write_history,
     write_predictions,
+    write_scores,
     write_split,
+    write_threshold,
 )
 from textlens.session import settle
 
@@ -134,12 +144,15 @@ def model_input(split: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Training:
-    """The chosen model, the metrics of every run, and the threshold for the dev split."""
+    """The chosen model, the metrics of every epoch of every run, and the threshold for the dev
+    split; with label heads, also these and their epochs."""
 
-    model: PipelineModel
+    model: LinearText
     history: DataFrame
     dev_scores: DataFrame
     threshold: DataFrame
+    label_model: LinearText | None = None
+    label_history: DataFrame | None = None
 
 
 def train(
@@ -152,54 +165,135 @@ def train(
     seed: int = 42,
     num_features: int = 1 << 18,
     max_iter: int = 20,
+    gamma: float = 2.0,
+    epochs: int = 1,
+    patience: int = 5,
+    draws: bool = False,
+    width: int = 0,
+    label_reg: float = 0.01,
+    folder: str | None = None,
 ) -> Training:
-    """Fit one classifier per regularisation; keep the one with the best dev F1.
-
-    Positives are augmented and weighted, then the threshold is swept on the dev scores.
-    Features are fitted once. Only the winner's name comes to the driver.
+    """Fit one classifier per regularisation on focal loss; keep the one with the best dev F1.
+
+    Positives are augmented; classes are balanced by row weights, or with ``draws`` by as
+    many draws with replacement as there are rows (keys must then be unique). With a
+    ``width``, a head for each label is fitted too. All runs and heads share the features and
+    every scan. An epoch is ``max_iter`` steps; after each, dev is scored, a run keeps its best
+    epoch and ends by the early-stop rule. ``folder``, in shared storage, lets a killed
+    training go on behind its last epoch. The threshold is swept on the winner's dev scores.
     """
-    rows = model_input(train_split).select("id", "y", "text")
+    labels = ["label_vec"] if width else []
+    rows = model_input(train_split).select("id", "y", "text", *labels)
     if n_aug > 0:
         copies = rebalance.augment_word_deletion(rows, n_aug, drop_prob, seed)
         rows = rebalance.append_augmented(rows, copies)
-    weighted = rebalance.class_weights(rows, pos_ratio)
-    models = modelling.train_text_classifiers(weighted, reg_params, num_features, max_iter)
-    runs = {f"run-{i}": model for i, model in enumerate(models)}
-
-    truth = dev_split.select("id", "y")
-    scored = [
-        modelling.score_text(model, model_input(dev_split), name).join(truth, "id")
-        for name, model in runs.items()
-    ]
-    dev_scores = settle(reduce(lambda a, b: a.unionByName(b), scored))
-    per_run = dev_scores.select(F.col("model_id").alias("run_id"), F.lit(1).alias("epoch"), "y", "score")
-    history = selection.history_from_scores(per_run)
-    best = selection.search_runs(history).first()["run_id"]
-    chosen = dev_scores.filter(F.col("model_id") == best)
-    return Training(runs[best], history, chosen, metrics.threshold_sweep(chosen))
+    if draws:
+        copy = F.col("copy") if n_aug > 0 else F.lit(0)
+        rows = rows.withColumn("draw_key", F.xxhash64("id", copy))
+        keys = rows.select(F.col("draw_key").alias("id"), "y")
+        drawn = rebalance.draw_balanced(keys, pos_ratio=pos_ratio, seed=seed).withColumnRenamed("id", "draw_key")
+        weighted = rows.join(drawn.select("draw_key", F.col("n_draws").alias("weight")), "draw_key")
+    else:
+        weighted = rebalance.class_weights(rows, pos_ratio)
+    vector = "label_vec" if width else None
+    features = training.fit_features(rows, num_features)
+    runs = [Head(f"run-{i}", 0, gamma, reg) for i, reg in enumerate(reg_params)]
+    heads = [Head(f"label-{k}", 1 + k, 0.0, label_reg) for k in range(width)]
+    dev_rows = model_input(dev_split).select("id", "y", "text", *labels)
+    result = training.train_epochs(
+        training.text_design(features, weighted, vector, "weight"),
+        training.text_design(features, dev_rows, vector),
+        Heads(tuple(runs + heads), num_features),
+        epochs,
+        max_iter,
+        patience,
+        folder,
+    )
+    names = tuple(h.name for h in runs + heads)
+    fitted = LinearText(features, np.stack(result.points), names)
+    history = result.history.where(F.col("run_id").startswith("run-"))
+    best = selection.search_runs(history.withColumnRenamed("dev_f1", "f1"), patience).first()["run_id"]
+    model = fitted.head(best)
+    chosen = settle(model.scores(model_input(dev_split), best).join(dev_split.select("id", "y"), "id"))
+    return Training(
+        model,
+        history,
+        chosen,
+        metrics.threshold_sweep(chosen),
+        replace(fitted, weights=fitted.weights[len(runs) :], names=names[len(runs) :]) if width else None,
+        result.history.where(F.col("run_id").startswith("label-")) if width else None,
+    )
+
+
+def write_training(result: Training, out_dir: str) -> None:
+    """History, dev scores and threshold, where ``read_training`` and ``search_runs`` find them."""
+    out_dir = out_dir.rstrip("/")
+    write_history(result.history, f"{out_dir}/history")
+    write_scores(result.dev_scores, f"{out_dir}/dev_scores")
+    write_threshold(result.threshold.select("threshold"), f"{out_dir}/threshold")
+
+
+def read_training(spark: SparkSession, out_dir: str) -> dict[str, DataFrame]:
+    """What ``write_training`` wrote, as tables."""
+    out_dir = out_dir.rstrip("/")
+    return {
+        "history": read_history(spark, f"{out_dir}/history"),
+        "dev_scores": read_scores(spark, f"{out_dir}/dev_scores"),
+        "threshold": read_threshold(spark, f"{out_dir}/threshold"),
+    }
 
 
 def predict(
-    models: Sequence[PipelineModel], split: DataFrame, threshold: DataFrame
+    models: Sequence[LinearText | PipelineModel], split: DataFrame, threshold: DataFrame
 ) -> DataFrame:
     """(id, score, pred): mean score of the models, cut at the threshold.
 
-    Settled, so that the tables made from it do not score the split again.
+    A split read with ``row_ids`` gives (row_id, score, pred) instead, one row for each of its
+    rows, also where keys are repeated or null. Settled, so that the tables made from
+    it do not score the split again.
     """
     rows = model_input(split)
-    scores = [modelling.score_text(m, rows, f"model-{i}") for i, m in enumerate(models)]
-    return settle(modelling.predict_split(reduce(lambda a, b: a.unionByName(b), scores), threshold))
+    by_row = "row_id" in split.columns
+    if by_row:
+        rows = rows.select(F.col("row_id").alias("id"), "text")
+    scores = [
+        m.scores(rows, f"model-{i}") if isinstance(m, LinearText) else modelling.score_text(m, rows, f"model-{i}")
+        for i, m in enumerate(models)
+    ]
+    cut = modelling.predict_split(reduce(lambda a, b: a.unionByName(b), scores), threshold)
+    return settle(cut.withColumnRenamed("id", "row_id") if by_row else cut)
 
 
-def write_prediction_file(predictions: DataFrame, split: DataFrame, path: str) -> None:
+def write_prediction_file(
+    predictions: DataFrame, split: DataFrame, path: str, expected_rows: int | None = None
+) -> DataFrame:
     """One 0/1 per line, in the row order of a split read with ``row_ids``.
 
     There are as many lines as rows of the split; a row without a prediction is an error.
+    Predictions by ``row_id`` are joined by it, others by ``id``, which must then be unique.
+    Returns the check (check, expected, actual, ok) of the lines that were written against
+    the rows of the split, or against ``expected_rows``.
     """
-    joined = split.select("row_id", "id").join(predictions.select("id", "pred"), "id", "left")
+    key = "row_id" if "row_id" in predictions.columns else "id"
+    joined = split.select(*dict.fromkeys(("row_id", key))).join(predictions.select(key, "pred"), key, "left")
     message = F.concat(F.lit("no prediction for row "), F.col("row_id").cast("string"))
     pred = F.when(F.col("pred").isNull(), F.raise_error(message).cast("int")).otherwise(F.col("pred"))
     write_predictions(joined.select("row_id", pred.alias("pred")), path)
+    lines = read_predictions(split.sparkSession, path)
+    if expected_rows is not None:
+        return quality.check_expected_rows(lines, expected_rows, "prediction lines")
+    return quality.check_row_count(split, lines, "prediction lines")
+
+
+def evaluate_labels(
+    label_model: LinearText, examples: DataFrame, threshold: float = 0.5
+) -> DataFrame:
+    """Precision, recall and F1 of every label head, and their averages."""
+    scores = label_model.label_scores(model_input(examples))
+    decided = F.transform("label_scores", lambda s: (s >= threshold).cast("double"))
+    return metrics.multilabel_metrics(
+        examples.select("id", "label_vec").join(scores.select("id", decided.alias("pred_vec")), "id")
+    )
 
 
 def evaluate(

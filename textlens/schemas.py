@@ -40,6 +40,8 @@ HISTORY = _struct(
     ("dev_r", T.DoubleType()),
 )
 
+RUNS = T.StructType([*HISTORY.fields, T.StructField("run_id", T.StringType())])
+
 # Label names in vector order (fixed values).
 LABEL_NAMES = (
     "Unbalanced Power Relations",

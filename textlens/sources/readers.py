@@ -155,10 +155,12 @@ def read_unlabelled_tsv(
     return _null_spellings(rows, na_values)
 
 
-def read_labels_csv(spark: SparkSession, path: str, row_ids: bool = False) -> DataFrame:
+def read_labels_csv(
+    spark: SparkSession, path: str, row_ids: bool = False, na_values: Sequence[str] = ()
+) -> DataFrame:
     """A label file with header; ``row_ids`` adds the position that exports restore."""
     scan = spark.read.schema(schemas.LABELS).options(header="true", **_QUOTING).csv(path)
-    return number_rows(scan) if row_ids else scan
+    return _null_spellings(number_rows(scan) if row_ids else scan, na_values)
 
 
 def read_split(
@@ -167,6 +169,7 @@ def read_split(
     format: str = "parquet",
     labelled: bool = True,
     row_ids: bool = False,
+    na_values: Sequence[str] = (),
 ) -> DataFrame:
     """A processed split, from Parquet or from a header CSV with quoted line breaks."""
     schema = schemas.SPLIT if labelled else schemas.UNLABELLED
@@ -175,7 +178,7 @@ def read_split(
     else:
         options = {"header": "true", "multiLine": "true", "nullValue": "", **_QUOTING}
         scan = spark.read.schema(schema).options(**options).csv(path)
-    return number_rows(scan) if row_ids else scan
+    return _null_spellings(number_rows(scan) if row_ids else scan, na_values)
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
@@ -189,8 +192,12 @@ def read_scores(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """Per-epoch metrics from a JSON array."""
-    return spark.read.schema(schemas.HISTORY).option("multiLine", "true").json(path)
+    """Per-epoch metrics from JSON arrays; with ``run_id`` if ``write_history`` wrote runs."""
+    read = spark.read.option("multiLine", "true")
+    found = read.schema(schemas.RUNS).json(path)
+    if found.inputFiles() and all("/run_id=" in f for f in found.inputFiles()):
+        return found.select("run_id", *schemas.HISTORY.names)
+    return read.schema(schemas.HISTORY).json(path)
 
 
 def read_threshold(spark: SparkSession, path: str, default: float = 0.5) -> DataFrame:

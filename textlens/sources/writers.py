@@ -30,9 +30,17 @@ def write_scores(df: DataFrame, path: str) -> None:
 
 
 def write_history(history: DataFrame, path: str) -> None:
-    """Per-epoch metrics as one JSON array; a run has a handful of epochs."""
+    """Per-epoch metrics as JSON arrays, one a run, each in a folder ``run_id=...`` of its own.
+
+    A run has a handful of epochs; there may be any number of runs. A history without
+    ``run_id`` is one run and one array.
+    """
     epochs = F.array_sort(F.collect_list(F.struct("epoch", "loss", "dev_f1", "dev_p", "dev_r")))
-    history.agg(F.to_json(epochs).alias("value")).write.text(path)
+    if "run_id" not in history.columns:
+        history.agg(F.to_json(epochs).alias("value")).write.text(path)
+        return
+    runs = history.groupBy("run_id").agg(F.to_json(epochs).alias("value"))
+    runs.repartition("run_id").write.partitionBy("run_id").text(path)
 
 
 def write_threshold(threshold: DataFrame, path: str) -> None:
