@@ -8,7 +8,7 @@ import numpy as np
 
 WORDS = 5
 _GOLDEN = 0x9E3779B97F4A7C15
-_CHUNK = 4_000_000
+_CHUNK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
