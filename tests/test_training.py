@@ -111,6 +111,31 @@ def test_labels_shape_the_shared_head(table):
     assert np.abs(weights(0.0) - weights(3.0)).max() > 0.05
 
 
+def test_margin_heads_equal_a_plain_solver(table):
+    """Squared hinge is quadratic for a given set of rows inside the margin: solve until it stays."""
+    x, y, c = [], [], []
+    for r in table.collect():
+        row = np.zeros(SIZE + 1)
+        row[r.ix], row[-1] = r.val, 1.0
+        x.append(row)
+        y.append(2 * r.targets[0] - 1)
+        c.append(r.weight)
+    x, y, c = np.array(x), np.array(y), np.array(c) / np.sum(c)
+    regs = (0.01, 0.5)
+    heads = tuple(Head(f"svm-{r}", reg=r, margin=True, gap=1e-9) for r in regs)
+    for reg, state in zip(regs, fit(table, Heads(heads, SIZE), 200)):
+        w = np.zeros(SIZE + 1)
+        for _ in range(100):
+            inside = y * (x @ w) < 1
+            a = reg * np.eye(SIZE + 1) + 2 * (x[inside] * c[inside, None]).T @ x[inside]
+            w = np.linalg.solve(a, 2 * x[inside].T @ (c * y)[inside])
+        best = c @ np.maximum(0, 1 - y * (x @ w)) ** 2 + 0.5 * reg * w @ w
+        assert state.done and -1e-12 < state.gap <= 1e-9
+        assert state.loss == pytest.approx(best, abs=1e-8) and np.allclose(state.best, w, atol=1e-4)
+    (rough,) = fit(table, Heads((Head("svm", reg=0.01, margin=True),), SIZE), 200)
+    assert rough.done and rough.loss - fit(table, Heads(heads[:1], SIZE), 200)[0].loss <= rough.gap <= 1e-3
+
+
 def test_cross_fit_equals_separate_fits(table):
     scores, states = training.cross_fit(table, SIZE, 4, (0.01, 0.5), gamma=2.0, steps=60)
     rows = {(r.id, r.run_id): r for r in scores.collect()}

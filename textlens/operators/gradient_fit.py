@@ -110,15 +110,29 @@ def loss_and_slope(logit: np.ndarray, target: np.ndarray, gamma: float) -> tuple
     return factor * loss, factor * (p - target) - gamma * factor / miss * loss * falls
 
 
+def squared_hinge(logit: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Loss of each row, its derivative by the logit, and the row's part of the dual objective."""
+    sign = 2.0 * target - 1.0
+    slack = np.maximum(0.0, 1.0 - sign * logit)
+    return slack**2, -2.0 * sign * slack, 2.0 * slack - slack**2
+
+
 @dataclass(frozen=True)
 class Head:
-    """One linear model: which target, which loss, and the fold that takes no part."""
+    """One linear model: which target, which loss, and the fold that takes no part.
+
+    A `margin` head is a support vector machine with squared hinge loss. Its intercept counts
+    as a weight, so that the same sums also give a point of the dual problem: it ends when
+    the two objectives are `gap` apart or less, which bounds how far either is from the best.
+    """
 
     name: str
     target: int = 0
     gamma: float = 0.0
     reg: float = 0.01
     left_out: int | None = None
+    margin: bool = False
+    gap: float = 1e-3
 
 
 @dataclass(frozen=True)
@@ -146,15 +160,30 @@ class Heads:
         for k, head in enumerate(self.heads):
             w = rows.weight if head.left_out is None else np.where(rows.fold == head.left_out, 0.0, rows.weight)
             logit = rows.dots(points[k, :-1]) + points[k, -1]
-            value, slope = loss_and_slope(logit, rows.targets[:, head.target], head.gamma)
-            loss[k] += (w @ value, w.sum())
+            target, dual = rows.targets[:, head.target], 0.0
+            if head.margin:
+                value, slope, part = squared_hinge(logit, target)
+                dual = w @ part
+            else:
+                value, slope = loss_and_slope(logit, target, head.gamma)
+            loss[k] += (w @ value, w.sum(), dual)
             gradient[k, :-1] += rows.add_up(w * slope, self.size)
             gradient[k, -1] += w @ slope
 
     def penalty(self, k: int, point: np.ndarray) -> tuple[float, np.ndarray]:
-        shrunk = np.append(self.heads[k].reg * point[:-1], 0.0)
+        head = self.heads[k]
+        shrunk = head.reg * point
+        shrunk[-1] *= head.margin
         return 0.5 * float(shrunk @ point), shrunk
 
+    def settled(self, k: int, primal: float, dual: float, slope: np.ndarray) -> tuple[float, bool]:
+        """The duality gap of a margin head, from mean sums at a point, and whether it is small enough."""
+        head = self.heads[k]
+        if not head.margin:
+            return np.inf, False
+        gap = primal - (dual - float(slope @ slope) / (2.0 * head.reg))
+        return gap, gap <= head.gap
+
     def weights(self, points: Sequence[np.ndarray]) -> np.ndarray:
         """A row of weights and an intercept for each head."""
         return np.stack(list(points))
@@ -203,7 +232,7 @@ class Shared:
             value = value + share * cells.sum(axis=1)
             slopes = np.hstack([slopes, share * more])
         slopes = slopes * rows.weight[:, None]
-        loss[0] += (rows.weight @ value, rows.weight.sum())
+        loss[0] += (rows.weight @ value, rows.weight.sum(), 0.0)
         for_directions, for_heads, for_bias = self._parts(gradient[0])
         back = slopes @ heads.T
         for r in range(self.rank):
@@ -216,6 +245,9 @@ class Shared:
         shrunk[len(point) - 1 - self.labels :] = 0.0
         return 0.5 * float(shrunk @ point), shrunk
 
+    def settled(self, k: int, primal: float, dual: float, slope: np.ndarray) -> tuple[float, bool]:
+        return np.inf, False
+
     def weights(self, points: Sequence[np.ndarray]) -> np.ndarray:
         """The heads over the features themselves: directions times heads."""
         directions, heads, bias = self._parts(points[0])
@@ -228,7 +260,7 @@ class Shared:
 def _partial_sums(objective, points):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = points.value
-        loss, gradient = np.zeros((len(objective), 2)), np.zeros(at.shape)
+        loss, gradient = np.zeros((len(objective), 3)), np.zeros(at.shape)
         for batch in batches:
             if batch.num_rows:
                 objective.add(Rows(batch), at, loss, gradient)
@@ -263,7 +295,7 @@ _SUMS = "head int, block int, part int, sums binary"
 
 
 def gradient_sums(table: DataFrame, objective, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """`(loss, weight)` and the gradient of every head at its point: one scan of the table."""
+    """`(loss, weight, dual)` and the gradient of every head at its point: one scan of the table."""
     sent = table.sparkSession.sparkContext.broadcast(points)
     try:
         read = table.select("ix", "val", "targets", "weight", "fold")
@@ -275,7 +307,7 @@ def gradient_sums(table: DataFrame, objective, points: np.ndarray) -> tuple[np.n
         found = sums.collect()
     finally:
         sent.destroy()
-    loss, gradient = np.zeros((len(objective), 2)), np.zeros(points.shape)
+    loss, gradient = np.zeros((len(objective), 3)), np.zeros(points.shape)
     for row in found:
         into = loss[row["head"]] if row["block"] < 0 else gradient[row["head"], row["block"] * BLOCK :]
         values = np.frombuffer(row["sums"])
@@ -290,12 +322,12 @@ class Lbfgs:
     """Limited-memory BFGS that asks for loss and gradient at `point` and is told them."""
 
     _ARRAYS = ("point", "best", "gradient", "direction")
-    _NUMBERS = ("loss", "step", "tries", "done", "steps")
+    _NUMBERS = ("loss", "step", "tries", "done", "steps", "gap")
 
     def __init__(self, start: np.ndarray, memory: int = 6, tolerance: float = 1e-7):
         self.point, self.memory, self.tolerance = start, memory, tolerance
         self.best = self.gradient = self.direction = np.zeros(0)
-        self.loss, self.step, self.tries, self.done, self.steps = np.inf, 0.0, 0, False, 0
+        self.loss, self.step, self.tries, self.done, self.steps, self.gap = np.inf, 0.0, 0, False, 0, np.inf
         self.moves: list[np.ndarray] = []
         self.changes: list[np.ndarray] = []
         self.losses: list[float] = []
@@ -351,10 +383,11 @@ class Lbfgs:
     @classmethod
     def from_bytes(cls, raw: bytes) -> Lbfgs:
         with np.load(io.BytesIO(raw)) as held:
-            loss, step, tries, done, steps, memory, tolerance = held["numbers"].tolist()
+            loss, step, tries, done, steps, gap, memory, tolerance = held["numbers"].tolist()
             out = cls(held["point"], int(memory), tolerance)
             out.best, out.gradient, out.direction = held["best"], held["gradient"], held["direction"]
             out.loss, out.step, out.tries, out.done, out.steps = loss, step, int(tries), bool(done), int(steps)
+            out.gap = gap
             out.moves, out.changes = list(held["moves"]), list(held["changes"])
             out.losses = held["losses"].tolist()
         return out
@@ -372,8 +405,12 @@ def advance(table: DataFrame, objective, states: Sequence[Lbfgs], steps: int) ->
         loss, gradient = gradient_sums(table, objective.only(active), np.stack([states[k].point for k in active]))
         for at, k in enumerate(active):
             extra, slope = objective.penalty(k, states[k].point)
-            total = max(loss[at, 1], 1e-300)
-            states[k].tell(loss[at, 0] / total + extra, gradient[at] / total + slope)
+            total, state = max(loss[at, 1], 1e-300), states[k]
+            primal, raw, point = loss[at, 0] / total + extra, gradient[at] / total, state.point
+            state.tell(primal, raw + slope)
+            if state.best is point:
+                state.gap, enough = objective.settled(k, primal, loss[at, 2] / total, raw)
+                state.done = state.done or enough
     return steps
 
 

@@ -119,6 +119,24 @@ def train_focal(
     return LinearText(features, objective.weights([_point(s) for s in states]), names), losses
 
 
+def train_svm(
+    rows: DataFrame,
+    regs: Sequence[float] = (0.001,),
+    num_features: int = 1 << 18,
+    steps: int = 100,
+    gap: float = 1e-3,
+    weight: str | None = None,
+) -> tuple[LinearText, list[float]]:
+    """Linear support vector machines (squared hinge) of (id, text, y) rows, one for each
+    regularisation, in the same scans, and the duality gap that each ended with."""
+    features = fit_features(rows, num_features)
+    table = text_design(features, rows, None, weight)
+    names = tuple(f"svm-{i}" for i in range(len(regs)))
+    objective = Heads(tuple(Head(n, 0, reg=r, margin=True, gap=gap) for n, r in zip(names, regs)), num_features)
+    states = fit(table, objective, steps)
+    return LinearText(features, objective.weights([_point(s) for s in states]), names), [s.gap for s in states]
+
+
 def train_label_heads(
     rows: DataFrame,
     width: int,

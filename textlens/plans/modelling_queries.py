@@ -118,6 +118,13 @@ def _(spark, sf):
     return model.scores(rows, "focal-shared")
 
 
+@query("train_svm")
+def _(spark, sf):
+    rows = fx.examples(spark, sf)
+    model, _ = training.train_svm(rows, weight=None)
+    return model.logits(rows).select("id", F.col("margins")[0].alias("margin"))
+
+
 @query("cross_validated_scores")
 def _(spark, sf):
     return training.cross_validated_text(fx.examples(spark, sf), folds=5)
