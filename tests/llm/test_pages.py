@@ -1,10 +1,13 @@
 from __future__ import annotations
 
+import glob
+import gzip
 from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
 
+from textlens.llm import archives
 from textlens.llm.archives import arc_record, archive_round_trip, parse_arc, read_arc, version_block, write_arc
 from textlens.llm.common import scratch
 from textlens.llm.queries import URL_RULES
@@ -93,3 +96,17 @@ def test_round_trip(spark):
     assert sorted(bytes(r.payload).decode() for r in back.collect()) == sorted(h or "" for _, _, h in rows)
     assert {r.arc_version for r in back.collect()} == {1, 2}
     assert archive_round_trip(df.limit(0)).count() == 0
+
+
+def test_warc_files_of_pages_that_compress_well(spark, tmp_path, monkeypatch):
+    """Spark reads many small ARC files in one task; the WARC files still have a bound."""
+    monkeypatch.setattr(archives, "FILE_BYTES", 300_000)
+    rows = [(i, f"http://a.example/{i}", f"<p>{i}</p>" + "same words " * 2_000) for i in range(120)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(30)
+    archives.write_arc(pages, str(tmp_path / "arc"))
+    arc = archives.read_arc(spark, str(tmp_path / "arc")).coalesce(1)
+    archives.convert_to_warc(arc, str(tmp_path / "warc"))
+    sizes = [len(gzip.open(f).read()) for f in glob.glob(str(tmp_path / "warc/*.gz"))]
+    assert len(sizes) >= 8 and max(sizes) < 2 * 300_000 and sum(sizes) > 120 * 22_000
+    back = archives.read_warc(spark, str(tmp_path / "warc")).collect()
+    assert sorted(r.page_id for r in back) == list(range(120)) and {r.record_type for r in back} == {"response"}

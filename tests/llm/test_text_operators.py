@@ -14,7 +14,7 @@ from textlens.llm.common import held_out
 from textlens.llm.mixing import mix_sources, shard_quota, shuffled_shards, source_targets, with_size
 from textlens.llm.packing import SumOfSquares, pack_documents, padding
 from textlens.llm.passages import WIDTH, encode_passages
-from textlens.llm.pii_spans import KINDS, find_personal_data, redact, spans_text
+from textlens.llm.pii_spans import KINDS, find_personal_data, redact, spans_text, with_candidates
 from textlens.llm.quality_mil import fit_attention, quality_scores
 from textlens.llm.token_ids import WordEndIds
 from textlens.llm.toxicity_ssk import LandmarkKernel, fit_machine, self_kernel, subsequence_kernel, toxicity_scores, windows
@@ -320,3 +320,21 @@ def test_scores_of_awkward_rows(spark, docs, scores):
 def test_held_out_rule(spark):
     got = spark.range(50).select("id", held_out(F.col("id")).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in got)
+
+
+def test_columns_with_the_names_of_inner_ones(docs):
+    names = ("target", "block", "draws", "s", "blocks", "passes", "rest", "planned", "shard", "draw", "place", "pass", "pii_base", "pii_more", "pii_text")
+    table = docs([f"word {'x ' * (i % 7)}mail a{i}@b.example.org" for i in range(40)])
+    for n in names:
+        table = table.withColumn(n, F.lit("kept"))
+    mixed = mix_sources(with_size(table))
+    assert len(set(mixed.columns)) == len(mixed.columns)
+    rows = mixed.collect()
+    assert len(rows) == 40 and all(r.block == r.rest == r.planned == r.s == r.shard == "kept" and r.target > 0 for r in rows)
+    plain = {r.doc_id: r.draws for r in mix_sources(with_size(table.select("doc_id", "text", "source"))).collect()}
+    assert {r.doc_id: r.draws for r in rows} == plain
+    shards = shuffled_shards(mixed).collect()
+    assert len(shards) == sum(map(len, plain.values())) and all(r.place == r.draw == "kept" and r.shard >= 0 for r in shards)
+    found = with_candidates(table)
+    assert len(set(found.columns)) == len(found.columns)
+    assert all(r.block == "kept" and len(r.pii_base) == 1 for r in found.collect())

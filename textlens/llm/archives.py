@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from textlens.llm.common import scratch, store
@@ -99,11 +99,12 @@ def _arc_files(name: str):
     return run
 
 
-def _write_text(rows: DataFrame, path: str, separator: str) -> None:
-    """Byte strings, each followed by the separator; compressed, as such archives are."""
+def _write_text(rows: DataFrame, path: str, separator: str, per_file: int = 0) -> None:
+    """Byte strings, each followed by the separator; compressed, as such archives are. With
+    `per_file` a task begins another file after so many."""
     (
         rows.select(F.col("record").cast("string").alias("value"))
-        .write.option("lineSep", separator).option("compression", "gzip")
+        .write.option("lineSep", separator).option("compression", "gzip").option("maxRecordsPerFile", per_file)
         .option("zlib.compress.level", "BEST_SPEED").text(path)
     )
 
@@ -203,8 +204,13 @@ def convert_to_warc(arc: DataFrame, path: str, least_bytes: int = 1000) -> None:
 
     The table of repeated payloads is stored, so that its true size decides whether it is
     broadcast; if not, a payload that very many records share is split by adaptive execution.
+    A file holds as many records as make up `FILE_BYTES` on average over all records, however
+    well they compress: Spark gives a task many files that compress well.
     """
-    repeated = store(originals(arc, least_bytes), "warc-originals")
+    seen = Observation("warc")
+    sizes = (F.count(F.lit(1)).alias("n"), F.sum(F.length("http") + F.length("payload")).alias("bytes"))
+    repeated = store(originals(arc.observe(seen, *sizes), least_bytes), "warc-originals")
+    per_file = max(1, FILE_BYTES * (seen.get["n"] or 1) // max(1, seen.get["bytes"] or 1))
     rows = (
         warc_columns(arc).join(repeated, "digest", "left")
         .withColumn("revisit", F.coalesce((F.col("payload_bytes") >= least_bytes) & (F.col("original") != F.col("record_id")), F.lit(False)))
@@ -231,7 +237,7 @@ def convert_to_warc(arc: DataFrame, path: str, least_bytes: int = 1000) -> None:
         line("Content-Length", F.length(block).cast("string")),
         F.lit("\r\n"),
     )
-    _write_text(rows.select(F.concat(F.encode(head, "UTF-8"), block).alias("record")), path, "\r\n\r\n")
+    _write_text(rows.select(F.concat(F.encode(head, "UTF-8"), block).alias("record")), path, "\r\n\r\n", per_file)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:

@@ -145,10 +145,14 @@ def mix_sources(sized: DataFrame, weights: Sequence[float] = (1, 2, 3), most: fl
     are larger than that, which are taken or left together.
 
     Null ids and texts are rows like others (size 0); empty texts go with their block; a null
-    source is a source. An empty table gives an empty result. Other columns pass through;
-    the added names must be free.
+    source is a source. An empty table gives an empty result. Texts of any length are drawn
+    whole, by their size. Other columns pass through, whatever their names; columns named
+    like the added ones are replaced.
     """
-    rows = sized.withColumn("s_name", F.struct(F.col("mix_source").isNull().alias("none"), F.coalesce("mix_source", F.lit("")).alias("name")))
+    added = ("source_size", "target", "draws")
+    row = F.struct(*[F.col(f"`{c}`") for c in sized.columns if c not in added]).alias("mix_row")
+    rows = sized.select(row, "mix_size", "mix_source", "mix_key")
+    rows = rows.withColumn("s_name", F.struct(F.col("mix_source").isNull().alias("none"), F.coalesce("mix_source", F.lit("")).alias("name")))
     found = (
         rows.groupBy("s_name").agg(F.sum("mix_size").alias("size"), F.count(F.lit(1)).alias("docs"))
         .orderBy("s_name").limit(MAX_SOURCES + 1).collect()
@@ -214,18 +218,21 @@ def mix_sources(sized: DataFrame, weights: Sequence[float] = (1, 2, 3), most: fl
             F.expr("transform(filter(array_sort(planned), d -> d.chosen IS NULL OR array_contains(d.chosen, mix_key)), d -> struct(d.pass AS pass, d.shard AS shard))"),
             F.array().cast("array<struct<pass:int,shard:bigint>>"),
         ))
-        .drop("s_name", "s", "blocks", "passes", "rest", "block", "planned")
+        .select("mix_row.*", *added)
     )
 
 
 def shuffled_shards(mixed: DataFrame, shards: int | None = None, seed: int = 7) -> DataFrame:
     """One row per draw with `shard`, rows of a shard together and in a repeatable random order.
 
-    `shards` is the number of tasks; a shard is never split between two.
+    `shards` is the number of tasks; a shard is never split between two. The column `draws`
+    goes; a column `shard` is replaced, others pass through whatever their names. Rows without
+    draws, and an empty table, give no rows.
     """
-    drawn = mixed.withColumn("draw", F.explode("draws")).withColumns({
+    row = F.struct(*[F.col(f"`{c}`") for c in mixed.columns if c not in ("draws", "shard")]).alias("mix_row")
+    drawn = mixed.select(row, "mix_key", F.explode("draws").alias("draw")).withColumns({
         "shard": F.col("draw.shard"),
         "place": F.xxhash64(F.lit(seed), "draw.pass", "draw.shard", "mix_key"),
     })
     dealt = drawn.repartition(shards, "shard") if shards else drawn.repartition("shard")
-    return dealt.sortWithinPartitions("shard", "place").drop("draw", "place", "draws")
+    return dealt.sortWithinPartitions("shard", "place").select("mix_row.*", "shard")

@@ -131,7 +131,12 @@ def _votes(cut: Column, span: Column) -> list[Column]:
 
 
 def with_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds `pii_base`, the base spans, and `pii_more`, other candidates, with their votes."""
+    """Adds `pii_base`, the base spans, and `pii_more`, other candidates, with their votes.
+
+    Names that begin with `pii_` are its own: other columns so named are dropped. A null or
+    empty text has no candidates; repeated rows are searched each for itself.
+    """
+    docs = docs.drop(*[c for c in docs.columns if c.startswith("pii_") and c != text_col])
     df = docs.withColumn("pii_text", F.coalesce(F.col(text_col), F.lit("")))
     names = []
     for k, kind in enumerate(KINDS):
