@@ -2,6 +2,8 @@
 
 Each stage takes the documents that the one before it kept and returns documents; the last
 returns packed pieces. Between stages the documents are a Parquet table in the shared folder.
+Every stage keeps null ids and texts and repeated rows as rows of their own unless it says
+otherwise, gives an empty table for an empty one, and passes on the columns of `COLUMNS` alone.
 """
 
 from __future__ import annotations
