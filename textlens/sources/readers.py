@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from textlens import schemas
 from textlens.functions.text import is_missing
+from textlens.sources.quoted import numbered_records, quoted_records
 
 _QUOTING = {"escape": '"'}
 
@@ -93,6 +94,16 @@ def _parsed_lines(
     return rows if keep_corrupt else rows.drop(schemas.CORRUPT)
 
 
+def _parsed_records(
+    records: DataFrame, schema: T.StructType, options: dict[str, str], row_ids: bool
+) -> DataFrame:
+    """Records of ``quoted_records`` as rows; with ``row_ids`` their dense numbers in order of place."""
+    if not row_ids:
+        return _parsed_lines(records.select("value"), schema, options, False)
+    parsed = F.from_csv("value", schemas.ddl(schema), {"mode": "PERMISSIVE", **options})
+    return numbered_records(records).select("row_id", parsed.alias("_r")).select("row_id", "_r.*")
+
+
 def read_corpus_tsv(
     spark: SparkSession,
     path: str,
@@ -104,17 +115,17 @@ def read_corpus_tsv(
 ) -> DataFrame:
     """The raw corpus: tab-separated, no header, ``skip`` preamble lines per file.
 
-    With ``multi_line`` quoted fields may hold line breaks; the preamble is then told
-    by its lack of further fields.
+    With ``multi_line`` quoted fields may hold line breaks; files are still read by many tasks.
+    The preamble is told by its place in both cases, so rows with few fields are kept.
     """
     options = {"sep": "\t", "quote": quote, "nullValue": "", **_QUOTING}
     if multi_line:
-        rows = spark.read.schema(schemas.CORPUS).options(multiLine="true", **options).csv(path)
-        rows = rows.filter(F.coalesce(*schemas.CORPUS.names[2:]).isNotNull())
-        return _null_spellings(rows, na_values)
-    lines = spark.read.text(path)
-    if skip:
-        lines = _skip_lines(lines, skip)
+        lines = quoted_records(spark, path, "\t", quote, skip).select("value")
+        options["multiLine"] = "true"
+    else:
+        lines = spark.read.text(path)
+        if skip:
+            lines = _skip_lines(lines, skip)
     rows = _parsed_lines(lines, schemas.CORPUS, options, keep_corrupt)
     return _null_spellings(rows, na_values)
 
@@ -140,11 +151,17 @@ def read_unlabelled_tsv(
     quote: str = '"',
     na_values: Sequence[str] = (),
     row_ids: bool = False,
+    multi_line: bool = False,
 ) -> DataFrame:
     """The unlabelled split: same layout, no preamble, five columns.
 
-    ``row_ids`` adds the position that prediction files restore.
+    ``row_ids`` adds the position that prediction files restore; ``multi_line`` is for quoted
+    fields with line breaks.
     """
+    if multi_line:
+        options = {"sep": "\t", "quote": quote, "nullValue": "", "multiLine": "true", **_QUOTING}
+        rows = _parsed_records(quoted_records(spark, path, "\t", quote), schemas.UNLABELLED, options, row_ids)
+        return _null_spellings(rows, na_values)
     rows = (
         spark.read.schema(schemas.UNLABELLED)
         .options(sep="\t", quote=quote, nullValue="", **_QUOTING)
@@ -176,8 +193,9 @@ def read_split(
     if format == "parquet":
         scan = spark.read.schema(schema).parquet(path)
     else:
-        options = {"header": "true", "multiLine": "true", "nullValue": "", **_QUOTING}
-        scan = spark.read.schema(schema).options(**options).csv(path)
+        options = {"multiLine": "true", "nullValue": "", **_QUOTING}
+        records = quoted_records(spark, path, ",", skip=1)
+        return _null_spellings(_parsed_records(records, schema, options, row_ids), na_values)
     return _null_spellings(number_rows(scan) if row_ids else scan, na_values)
 
 
