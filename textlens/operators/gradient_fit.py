@@ -300,8 +300,10 @@ def gradient_sums(table: DataFrame, objective, points: np.ndarray) -> tuple[np.n
     try:
         read = table.select("ix", "val", "targets", "weight", "fold")
         sums = read.mapInArrow(_partial_sums(objective, sent), _SUMS)
-        fan = F.floor(F.col("part") / FAN_IN).cast("int")
-        for group in (fan, F.lit(0)):
+        levels = [F.lit(0)]
+        if table.rdd.getNumPartitions() > FAN_IN:
+            levels.insert(0, F.floor(F.col("part") / FAN_IN).cast("int"))
+        for group in levels:
             sums = sums.withColumn("part_group", group).groupBy("head", "block", "part_group")
             sums = sums.applyInArrow(lambda key, rows: _added(rows.select(["head", "block", "part", "sums"])), _SUMS)
         found = sums.collect()

@@ -127,7 +127,7 @@ def _(spark, sf):
 
 @query("cross_validated_scores")
 def _(spark, sf):
-    return training.cross_validated_text(fx.examples(spark, sf), folds=5)
+    return training.cross_validated_text(fx.examples(spark, sf), folds=5, num_features=1 << 16, steps=25)
 
 
 @query(
@@ -165,9 +165,9 @@ _POINT = "list_transform(range(64), lambda j: 0.25 * cos(j * 1.0::DOUBLE + {k}))
     m AS (SELECT *, y * (1 - p) + (1 - y) * p AS miss, -ln(y * p + (1 - y) * (1 - p)) AS ce FROM p),
     s AS (SELECT *, miss ** gamma * ce AS loss,
       miss ** gamma * (p - y) - gamma * miss ** (gamma - 1) * ce * (2 * y - 1) * p * (1 - p) AS slope FROM m)
-    SELECT head, 'loss' AS part, 0::BIGINT AS coordinate, sum(loss) / count(*) AS value FROM s GROUP BY head
-    UNION ALL SELECT head, 'gradient', 64, sum(slope) / count(*) FROM s GROUP BY head
-    UNION ALL SELECT head, 'gradient', j - 1, sum(slope * v) / count(*)
+    SELECT head, 'loss' AS part, 0::BIGINT AS coordinate, round(sum(loss) / count(*), 6) AS value FROM s GROUP BY head
+    UNION ALL SELECT head, 'gradient', 64, round(sum(slope) / count(*), 6) FROM s GROUP BY head
+    UNION ALL SELECT head, 'gradient', j - 1, round(sum(slope * v) / count(*), 6)
       FROM (SELECT head, slope, unnest(x) AS v, unnest(range(1, 65)) AS j FROM s) GROUP BY head, j""",
 )
 def _(spark, sf):
@@ -225,7 +225,7 @@ def _(spark, sf):
 
 @query(
     "score_batches_norm",
-    """SELECT vec_id AS id, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS score FROM embeddings""",
+    """SELECT vec_id AS id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS score FROM embeddings""",
 )
 def _(spark, sf):
     def load_scorer():
