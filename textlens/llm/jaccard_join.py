@@ -243,6 +243,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .select("key", "node", "n", "place", *_BITS),
         "lists",
     )
+    frequent.destroy()  # the lists are stored, nothing reads it again
     links = None
     tried = None
     component = None

@@ -103,31 +103,35 @@ def _by_kind(span: Column, of) -> Column:
     return out
 
 
-def _votes(cut: Column, span: Column) -> list[Column]:
-    """One column for each labeler: 1 for personal data, 2 against, 0 for no opinion. `cut` is
-    the text in chunks."""
-    m = span["m"]
-    before = F.lower(piece(cut, F.greatest(span["start"] - 30, F.lit(0)), span["start"]))
-    left = F.substring(before, -1, 1)
-    right = piece(cut, span["end"], span["end"] + 1)
+def _votes(cut: Column, span: Column) -> Column:
+    """A struct with a vote of each labeler: 1 for personal data, 2 against, 0 for no opinion.
+    `cut` is the text in chunks."""
     yes_no = lambda c: F.when(c, 1).otherwise(2)
     letters = r"[\p{L}\p{N}]"
-    known = _by_kind(span, lambda k: m.rlike(rf"\A(?:{GAZETTEER[KINDS[k]]})\z"))
-    announced = _by_kind(span, lambda k: before.rlike(rf"(?<![\p{{L}}])(?:{CONTEXT[KINDS[k]]})"))
-    d = digits(m)
-    return [
-        F.when(span["base"], 1).otherwise(0),
-        _by_kind(
-            span,
-            lambda k: F.when(span["base"], yes_no(valid(k, m))).otherwise(
-                yes_no(F.when(F.length(d).between(13, 19), luhn(d)).otherwise(False)) if KINDS[k] == "card" else F.lit(0)
-            ),
-        ),
-        yes_no(known),
-        F.when(announced, 1).otherwise(0),
-        F.when(left.rlike(letters) | right.rlike(letters), 2).otherwise(1),
-        F.when(F.length(d) < 7, 0).otherwise(yes_no(F.size(F.array_distinct(F.split(d, ""))) > 3)),
-    ]
+    around = F.struct(
+        F.lower(piece(cut, F.greatest(span["start"] - 30, F.lit(0)), span["start"])).alias("before"),
+        piece(cut, span["end"], span["end"] + 1).alias("right"),
+        digits(span["m"]).alias("d"),
+    )
+
+    def votes(x: Column) -> Column:
+        m, d = span["m"], x["d"]
+        known = _by_kind(span, lambda k: m.rlike(rf"\A(?:{GAZETTEER[KINDS[k]]})\z"))
+        announced = _by_kind(span, lambda k: x["before"].rlike(rf"(?<![\p{{L}}])(?:{CONTEXT[KINDS[k]]})"))
+        touched = F.substring(x["before"], -1, 1).rlike(letters) | x["right"].rlike(letters)
+        loose = F.when(span["kind"] == KINDS.index("card"), yes_no(F.when(F.length(d).between(13, 19), luhn(d)).otherwise(False))).otherwise(0)
+        found = [
+            F.when(span["base"], 1).otherwise(0),
+            F.when(span["base"], yes_no(_by_kind(span, lambda k: valid(k, m)))).otherwise(loose),
+            yes_no(known),
+            F.when(announced, 1).otherwise(0),
+            F.when(touched, 2).otherwise(1),
+            F.when(F.length(d) < 7, 0).otherwise(yes_no(F.size(F.array_distinct(F.split(d, ""))) > 3)),
+        ]
+        where = [span[n].alias(n) for n in ("kind", "start", "end")]
+        return F.struct(*where, *[v.cast("int").alias(n) for n, v in zip(LABELERS, found)])
+
+    return let(around, votes)
 
 
 def with_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -165,13 +169,7 @@ def with_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def voted(spans: str) -> Column:
         def of(cut: Column) -> Column:
-            return F.transform(
-                spans,
-                lambda s: F.struct(
-                    s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
-                    *[v.cast("int").alias(n) for n, v in zip(LABELERS, _votes(cut, s))],
-                ),
-            )
+            return F.transform(spans, lambda s: _votes(cut, s))
 
         return let(F.when(F.size(spans) > 0, chunks(F.col("pii_text"))), of)
 
