@@ -46,7 +46,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of personal data become marks; `n_chars` is the new length. No document goes."""
-    found = with_candidates(docs.select(*COLUMNS))
+    found = store(with_candidates(docs.select(*COLUMNS)), "candidates")
     weights = train_span_classifier(found)
     hidden = with_spans(found, weights).withColumn("text", redact(F.col("text"), F.col("spans")))
     return hidden.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
