@@ -32,7 +32,7 @@ LANDMARKS = 64
 LONGEST = 24
 DECAY = 0.7
 #: Distinct words whose numbers a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 250_000
+REMEMBERED = 600_000
 #: Triples up to this number are looked up in an array with a place for each.
 _DIRECT = 1 << 20
 _SIGNS = re.compile(r"[\W\d_]+")
@@ -422,7 +422,7 @@ def _scored(machine: SentenceMachine, name: str):
             _MACHINES.clear()
             _MACHINES[name] = machine
         mine = _MACHINES[name]
-        for part in text_slices(batches, rows=500):
+        for part in text_slices(batches, size=1 << 20, rows=500):
             scores = mine.scores([t or "" for t in part["text"].to_pylist()])
             yield pa.RecordBatch.from_arrays([part["id"], pa.array(scores, pa.float64())], ["id", "score"])
 
