@@ -16,6 +16,9 @@ import numpy as np
 
 SPAN, STEP, DECAY = 12, 4, 0.7
 LANDMARKS = 24
+#: A second machine needs as many missed toxic texts, and this share of all toxic ones: what few
+#: texts have in common is chance.
+LEAST_MISSED, MISSED_SHARE = 20, 0.1
 _TOKENS = re.compile(r"[^\W_]+|[.!?\n]")
 _ENDS = frozenset(".!?\n")
 
@@ -209,7 +212,10 @@ def choose_phrases(toxic: list[str], clean: list[str], n: int = LANDMARKS) -> li
 
 
 def fit_phrases(texts: list[str], y: np.ndarray, missed: np.ndarray, fit_svm, rounds: int = 3) -> PhraseMachine | None:
-    """A machine for the sentences of toxic texts that were missed; None if they share no phrase."""
+    """A machine for the sentences of toxic texts that were missed; None if these are few or share
+    no phrase."""
+    if missed.sum() < max(LEAST_MISSED, MISSED_SHARE * (y == 1).sum()):
+        return None
     toxic = [t for t, m in zip(texts, missed) if m]
     clean = [t for t, l in zip(texts, y) if l == 0]
     landmarks = choose_phrases(toxic, clean) if toxic and clean else []
