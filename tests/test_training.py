@@ -8,11 +8,12 @@ import numpy as np
 import pytest
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import Vectors
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from textlens.functions.scoring import sigmoid
-from textlens.operators import gradient_fit, metrics, selection, training
+from textlens.operators import gradient_fit, metrics, modelling, selection, training
 from textlens.operators.gradient_fit import Head, Heads, Lbfgs, Shared, design, fit, gradient_sums, hashed_fold, margins
 from textlens.operators.losses import combined_loss
 
@@ -231,6 +232,21 @@ def test_text_models(spark):
     assert oof.count() == 240
 
 
+def test_mllib_models_in_a_session_that_has_observed_metrics(spark):
+    session = spark.newSession()
+    session.range(3).observe(seen := Observation("seen"), F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 3
+    texts = session.createDataFrame(
+        [(i, "good plan" if i % 2 else "poor road", i % 2, 1.0) for i in range(20)], "id long, text string, y int, weight double"
+    )
+    model = modelling.train_text_classifier(texts, num_features=64, max_iter=5)
+    assert {r.id: r.score >= 0.5 for r in modelling.score_text(model, texts).collect()} == {i: i % 2 == 1 for i in range(20)}
+    vectors = session.createDataFrame([([float(i % 2), 1.0], i % 2) for i in range(20)], "embedding array<float>, label int")
+    head = modelling.train_embedding_head(vectors)
+    scored = head.transform(vectors.select("label", array_to_vector(F.col("embedding").cast("array<double>")).alias("features")))
+    assert all(r.prediction == r.label for r in scored.collect())
+
+
 def test_optimiser_state_survives_bytes():
     state = Lbfgs(np.ones(4))
     scale = np.array([1.0, 10.0, 100.0, 0.1])

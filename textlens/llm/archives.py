@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlens.llm.common import scratch, store
@@ -183,19 +183,21 @@ def page_id_of(http) -> F.Column:
     return F.regexp_extract(text, r"(?im)^x-page-id: *(-?\d+)\r?$", 1).try_cast("long")
 
 
-def originals(arc: DataFrame, least_bytes: int) -> DataFrame:
-    """`digest, original, original_page`: for payloads that occur again, the record that stays whole.
+def payload_groups(arc: DataFrame, least_bytes: int) -> DataFrame:
+    """`digest, original, original_page, n, bytes`: each payload of at least `least_bytes`, the record
+    that stays whole, how many records have it and their length; all others are one row without digest.
 
-    It is the one with the largest page id; a null id comes last, and equal ids go by the
+    The record is the one with the largest page id; a null id comes last, and equal ids go by the
     record's identifier. Digests are aggregated before they are shuffled.
     """
-    keys = warc_columns(arc).where(F.col("payload_bytes") >= least_bytes).select(
-        "digest", F.struct(page_id_of(F.col("http")).alias("page_id"), "record_id").alias("key")
-    )
-    return (
-        keys.groupBy("digest").agg(F.max("key").alias("key"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        .select("digest", F.col("key.record_id").alias("original"), F.col("key.page_id").alias("original_page"))
+    large = F.col("payload_bytes") >= least_bytes
+    keys = warc_columns(arc).select(
+        F.when(large, F.col("digest")).alias("digest"),
+        F.when(large, F.struct(page_id_of(F.col("http")).alias("page_id"), "record_id")).alias("key"),
+        (F.length("http") + F.length("payload")).alias("length"),
     )
+    found = keys.groupBy("digest").agg(F.max("key").alias("key"), F.count(F.lit(1)).alias("n"), F.sum("length").alias("bytes"))
+    return found.select("digest", F.col("key.record_id").alias("original"), F.col("key.page_id").alias("original_page"), "n", "bytes")
 
 
 def convert_to_warc(arc: DataFrame, path: str, least_bytes: int = 1000) -> None:
@@ -207,10 +209,11 @@ def convert_to_warc(arc: DataFrame, path: str, least_bytes: int = 1000) -> None:
     A file holds as many records as make up `FILE_BYTES` on average over all records, however
     well they compress: Spark gives a task many files that compress well.
     """
-    seen = Observation("warc")
-    sizes = (F.count(F.lit(1)).alias("n"), F.sum(F.length("http") + F.length("payload")).alias("bytes"))
-    repeated = store(originals(arc.observe(seen, *sizes), least_bytes), "warc-originals")
-    per_file = max(1, FILE_BYTES * (seen.get["n"] or 1) // max(1, seen.get["bytes"] or 1))
+    groups = store(payload_groups(arc, least_bytes), "warc-payloads")
+    again = groups.where(F.col("digest").isNotNull() & (F.col("n") > 1))
+    repeated = store(again.select("digest", "original", "original_page"), "warc-originals")
+    seen = groups.agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).first()
+    per_file = max(1, FILE_BYTES * (seen["n"] or 1) // max(1, seen["bytes"] or 1))
     rows = (
         warc_columns(arc).join(repeated, "digest", "left")
         .withColumn("revisit", F.coalesce((F.col("payload_bytes") >= least_bytes) & (F.col("original") != F.col("record_id")), F.lit(False)))

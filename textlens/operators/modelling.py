@@ -10,7 +10,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import IDF, HashingTF, NGram, RegexTokenizer, SQLTransformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
@@ -18,7 +18,7 @@ from textlens.functions.scoring import decide, sigmoid
 from textlens.functions.text import WORD_PATTERN
 from textlens.operators.lexical import class_sizes, class_term_counts
 from textlens.operators.metrics import ensemble_mean
-from textlens.session import settle
+from textlens.session import settle, shared_path
 
 
 def text_features(num_features: int = 1 << 18, text: str = "text") -> list:
@@ -36,6 +36,17 @@ def _without_null_texts(rows: DataFrame) -> DataFrame:
     return rows.withColumn("text", F.coalesce("text", F.lit("")))
 
 
+def _without_summary(model: LogisticRegressionModel, spark: SparkSession) -> LogisticRegressionModel:
+    """The model as it is read back from shared storage, without its training summary.
+
+    The summary of a binary fit holds the session, and a model is sent to the tasks whole: once
+    the session has observed metrics, it can no longer be sent.
+    """
+    path = shared_path(spark, "classifier")
+    model.save(path)
+    return LogisticRegressionModel.load(path)
+
+
 def train_text_classifiers(
     weighted: DataFrame,
     reg_params: Sequence[float],
@@ -64,7 +75,8 @@ def train_text_classifiers(
         ]
     finally:
         shared.unpersist()
-    return [PipelineModel(stages=[*features.stages, head]) for head in heads]
+    spark = weighted.sparkSession
+    return [PipelineModel(stages=[*features.stages, _without_summary(head, spark)]) for head in heads]
 
 
 def train_text_classifier(
@@ -97,7 +109,8 @@ def train_embedding_head(
         array_to_vector(F.col(vector).cast("array<double>")).alias("features"),
         F.col(label).cast("double").alias("label"),
     )
-    return LogisticRegression(maxIter=max_iter, regParam=0.01, aggregationDepth=3).fit(rows)
+    model = LogisticRegression(maxIter=max_iter, regParam=0.01, aggregationDepth=3).fit(rows)
+    return _without_summary(model, embeddings.sparkSession)
 
 
 def score_batches(
