@@ -1,9 +1,11 @@
 """Fitting linear models on an objective of one's own by distributed gradients.
 
 The design table holds a row's features as index and value arrays, its targets, its weight and
-its fold. A step is one scan of it: every task adds up loss and gradient of its rows at the
-points it was sent, and the sums are added in Spark, block by block, in a tree. The driver holds
-points and sums, whose size is that of the model, never rows.
+its fold. A fit packs its rows once into blocks of some 100 kB, whose arrays are bytes, so that a
+scan costs Spark and Arrow no work for each number. A step is one scan of the blocks: every task
+adds up loss and gradient of its rows at the points it was sent, and the sums are added in
+Spark, part by part of the gradient, in a tree. The driver holds points and sums, whose size is
+that of the model, never rows.
 
 Several models share a scan. Each is an optimiser of its own (limited-memory BFGS) that says where
 it wants loss and gradient next, and none of them sees what the others do, so a model fitted
@@ -32,6 +34,9 @@ from textlens.session import stored
 BLOCK = 1 << 14
 #: Partitions whose sums one task of the tree adds.
 FAN_IN = 64
+#: Features of the rows that are packed together, unless one row has more; and their number.
+PACK_VALUES = 1 << 16
+PACK_ROWS = 1 << 12
 
 
 # --- the table -----------------------------------------------------------------------
@@ -44,12 +49,15 @@ def hashed_fold(folds: int, seed: int = 42, key: str = "id") -> Column:
 
 def features_of(vector: str | Column) -> list[Column]:
     """`ix, val` of an MLlib vector column, without zeros if the vector is sparse."""
-    v = F.unwrap_udt(vector)
+    return _features(F.unwrap_udt(vector))
+
+
+def _features(v: Column) -> list[Column]:
     every = F.sequence(F.lit(0), F.size(v["values"]) - 1)
     return [F.coalesce(v["indices"], every).alias("ix"), v["values"].alias("val")]
 
 
-def design(
+def design_rows(
     rows: DataFrame,
     vector: str | Column,
     targets: Column,
@@ -57,23 +65,110 @@ def design(
     fold: Column | None = None,
     key: str = "id",
 ) -> DataFrame:
-    """The stored table that fits read: `id, ix, val, targets, weight, fold`.
+    """The rows that fits read: `id, ix, val, targets, weight, fold`.
 
     Rows without a key, a vector or a target (null, or null inside) take no part.
     """
-    table = rows.select(
+    # Generated, because a filter on a plain column would make each vector once more for each mention of it.
+    once = F.explode(F.array(F.unwrap_udt(vector))).alias("_vector")
+    given = rows.select(
         F.col(key).alias("id"),
-        *features_of(vector),
+        once,
         targets.cast("array<double>").alias("targets"),
         F.coalesce(F.lit(1.0) if weight is None else weight.cast("double"), F.lit(0.0)).alias("weight"),
         (F.lit(-1) if fold is None else fold.cast("int")).alias("fold"),
     )
+    table = given.select("id", *_features(F.col("_vector")), "targets", "weight", "fold")
     whole = F.col("id").isNotNull() & F.col("ix").isNotNull() & F.col("targets").isNotNull()
-    return stored(table.where(whole & ~F.exists("targets", lambda t: t.isNull() | F.isnan(t))), "design")
+    return table.where(whole & ~F.exists("targets", lambda t: t.isNull() | F.isnan(t)))
+
+
+def design(
+    rows: DataFrame,
+    vector: str | Column,
+    targets: Column,
+    weight: Column | None = None,
+    fold: Column | None = None,
+    key: str = "id",
+) -> DataFrame:
+    """The stored table of `design_rows`, for rows that are fitted and read by themselves."""
+    return stored(design_rows(rows, vector, targets, weight, fold, key), "design")
+
+
+_PACKED = "ends binary, cols binary, at binary, val binary, targets binary, weight binary, fold binary"
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [c.split(" ")[0] for c in _PACKED.split(", ")]
+    for batch in batches:
+        lists, n = batch["ix"], batch.num_rows
+        if not n:
+            continue
+        ends = np.append(0, np.cumsum(np.diff(lists.offsets.to_numpy())))
+        ix, val = lists.flatten().to_numpy(), batch["val"].flatten().to_numpy()
+        targets = batch["targets"].flatten().to_numpy().reshape(n, -1)
+        weight, fold = batch["weight"].to_numpy(), batch["fold"].to_numpy()
+        start = 0
+        while start < n:
+            stop = int(np.searchsorted(ends, ends[start] + PACK_VALUES, "right")) - 1
+            stop = max(start + 1, min(stop, start + PACK_ROWS, n))
+            part, values = slice(start, stop), slice(ends[start], ends[stop])
+            cols, at = np.unique(ix[values], return_inverse=True)
+            arrays = (
+                (ends[start + 1 : stop + 1] - ends[start]).astype(np.int32),
+                cols.astype(np.int32),
+                at.astype(np.uint16 if len(cols) <= 1 << 16 else np.int32),
+                val[values],
+                targets[part],
+                weight[part],
+                fold[part],
+            )
+            yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in arrays], names)
+            start = stop
+
+
+def _is_packed(table: DataFrame) -> bool:
+    return "cols" in table.columns
+
+
+def _blocks(table: DataFrame) -> DataFrame:
+    if _is_packed(table):
+        return table
+    return table.select("ix", "val", "targets", "weight", "fold").mapInArrow(_pack, _PACKED)
+
+
+def packed(table: DataFrame) -> DataFrame:
+    """The stored blocks of a table of `design_rows`; blocks stay as they are."""
+    return table if _is_packed(table) else stored(_blocks(table), "design-blocks")
+
+
+class Block:
+    """Packed rows as arrays. `cols` are the features that occur, `at` their places in it."""
+
+    def __init__(self, batch: pa.RecordBatch, i: int):
+        of = lambda name, kind: np.frombuffer(batch[name][i].as_buffer(), kind)
+        ends, self.cols, self.val = of("ends", np.int32), of("cols", np.int32).astype(np.intp), of("val", np.float64)
+        self.n = len(ends)
+        self.at = of("at", np.uint16 if len(self.cols) <= 1 << 16 else np.int32).astype(np.intp)
+        self.sizes = np.diff(ends, prepend=0)
+        self.filled = np.flatnonzero(self.sizes)
+        self.starts = (ends - self.sizes)[self.filled]
+        self.weight, self.fold = of("weight", np.float64), of("fold", np.int32)
+        self.targets = of("targets", np.float64).reshape(self.n, -1)
+
+    def dots(self, weights: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.n)
+        if len(self.filled):
+            out[self.filled] = np.add.reduceat(self.val * weights[self.cols][self.at], self.starts)
+        return out
+
+    def add_to(self, gradient: np.ndarray, per_row: np.ndarray) -> None:
+        """Adds the gradient of `dots` against a number for each row."""
+        gradient[self.cols] += np.bincount(self.at, self.val * np.repeat(per_row, self.sizes), len(self.cols))
 
 
 class Rows:
-    """A batch of the design table as arrays."""
+    """A batch of rows with features as arrays."""
 
     def __init__(self, batch: pa.RecordBatch):
         lists = batch["ix"]
@@ -81,18 +176,10 @@ class Rows:
         self.ix = lists.flatten().to_numpy()
         self.val = batch["val"].flatten().to_numpy()
         self.row = np.repeat(np.arange(self.n), np.diff(lists.offsets.to_numpy()))
-        if "weight" in batch.schema.names:
-            self.targets = batch["targets"].flatten().to_numpy().reshape(self.n, -1)
-            self.weight = batch["weight"].to_numpy()
-            self.fold = batch["fold"].to_numpy()
 
     def dots(self, weights: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.val * weights[self.ix], self.n)
 
-    def add_up(self, per_row: np.ndarray, size: int) -> np.ndarray:
-        """The gradient of `dots` against a number for each row."""
-        return np.bincount(self.ix, self.val * per_row[self.row], size)
-
 
 # --- objectives ----------------------------------------------------------------------
 
@@ -156,7 +243,7 @@ class Heads:
     def only(self, which: Sequence[int]) -> Heads:
         return Heads(tuple(self.heads[i] for i in which), self.size)
 
-    def add(self, rows: Rows, points: np.ndarray, loss: np.ndarray, gradient: np.ndarray) -> None:
+    def add(self, rows: Block, points: np.ndarray, loss: np.ndarray, gradient: np.ndarray) -> None:
         for k, head in enumerate(self.heads):
             w = rows.weight if head.left_out is None else np.where(rows.fold == head.left_out, 0.0, rows.weight)
             logit = rows.dots(points[k, :-1]) + points[k, -1]
@@ -167,7 +254,7 @@ class Heads:
             else:
                 value, slope = loss_and_slope(logit, target, head.gamma)
             loss[k] += (w @ value, w.sum(), dual)
-            gradient[k, :-1] += rows.add_up(w * slope, self.size)
+            rows.add_to(gradient[k, :-1], w * slope)
             gradient[k, -1] += w @ slope
 
     def penalty(self, k: int, point: np.ndarray) -> tuple[float, np.ndarray]:
@@ -220,7 +307,7 @@ class Shared:
     def only(self, which: Sequence[int]) -> Shared:
         return self
 
-    def add(self, rows: Rows, points: np.ndarray, loss: np.ndarray, gradient: np.ndarray) -> None:
+    def add(self, rows: Block, points: np.ndarray, loss: np.ndarray, gradient: np.ndarray) -> None:
         directions, heads, bias = self._parts(points[0])
         hidden = np.stack([rows.dots(directions[:, r]) for r in range(self.rank)], axis=1)
         logits = hidden @ heads + bias
@@ -236,7 +323,7 @@ class Shared:
         for_directions, for_heads, for_bias = self._parts(gradient[0])
         back = slopes @ heads.T
         for r in range(self.rank):
-            for_directions[:, r] += rows.add_up(back[:, r], self.size)
+            rows.add_to(for_directions[:, r], back[:, r])
         for_heads += hidden.T @ slopes
         for_bias += slopes.sum(axis=0)
 
@@ -262,8 +349,8 @@ def _partial_sums(objective, points):
         at = points.value
         loss, gradient = np.zeros((len(objective), 3)), np.zeros(at.shape)
         for batch in batches:
-            if batch.num_rows:
-                objective.add(Rows(batch), at, loss, gradient)
+            for i in range(batch.num_rows):
+                objective.add(Block(batch, i), at, loss, gradient)
         part = TaskContext.get().partitionId()
         for k in range(len(objective)):
             blocks = [(-1, loss[k])]
@@ -298,8 +385,7 @@ def gradient_sums(table: DataFrame, objective, points: np.ndarray) -> tuple[np.n
     """`(loss, weight, dual)` and the gradient of every head at its point: one scan of the table."""
     sent = table.sparkSession.sparkContext.broadcast(points)
     try:
-        read = table.select("ix", "val", "targets", "weight", "fold")
-        sums = read.mapInArrow(_partial_sums(objective, sent), _SUMS)
+        sums = _blocks(table).mapInArrow(_partial_sums(objective, sent), _SUMS)
         levels = [F.lit(0)]
         if table.rdd.getNumPartitions() > FAN_IN:
             levels.insert(0, F.floor(F.col("part") / FAN_IN).cast("int"))
@@ -418,6 +504,7 @@ def advance(table: DataFrame, objective, states: Sequence[Lbfgs], steps: int) ->
 
 def fit(table: DataFrame, objective, steps: int = 50, tolerance: float = 1e-7) -> list[Lbfgs]:
     """The optimiser of every head after up to `steps` scans; `best` and `losses` are its result."""
+    table = packed(table)
     states = [Lbfgs(objective.start(), tolerance=tolerance) for _ in range(len(objective))]
     advance(table, objective, states, steps)
     return states
@@ -426,6 +513,26 @@ def fit(table: DataFrame, objective, steps: int = 50, tolerance: float = 1e-7) -
 # --- scoring -------------------------------------------------------------------------
 
 
+def _lists(values: np.ndarray) -> pa.ListArray:
+    """A list for each row of a matrix."""
+    ends = np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.ravel()))
+
+
+def target_margins(table: DataFrame, weights: np.ndarray) -> DataFrame:
+    """`targets, margins` (one logit a head) of every row of a design table or its blocks."""
+    sent = table.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block = Block(batch, i)
+                logits = np.stack([block.dots(w[:-1]) + w[-1] for w in sent.value], axis=1)
+                yield pa.RecordBatch.from_arrays([_lists(block.targets), _lists(logits)], ["targets", "margins"])
+
+    return _blocks(table).mapInArrow(run, "targets array<double>, margins array<double>")
+
+
 def margins(rows: DataFrame, weights: np.ndarray, *keep: str, key: str = "id") -> DataFrame:
     """`id`, the columns to keep and `margins` (one logit a head) of rows with `ix` and `val`.
 
@@ -445,9 +552,7 @@ def margins(rows: DataFrame, weights: np.ndarray, *keep: str, key: str = "id") -
             for k in range(len(w)):
                 padded[:-1] = w[k, :-1]
                 out[:, k] = part.dots(padded) + w[k, -1]
-            offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(w), pa.int32())
-            lists = pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))
-            yield pa.RecordBatch.from_arrays([*[batch[n] for n in names], lists], [*names, "margins"])
+            yield pa.RecordBatch.from_arrays([*[batch[n] for n in names], _lists(out)], [*names, "margins"])
 
     kinds = dict(rows.dtypes)
     schema = ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", margins array<double>"

@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 
 from textlens.functions.scoring import f1_from_counts, safe_ratio, sigmoid
 from textlens.operators import selection
-from textlens.operators.gradient_fit import Head, Heads, Lbfgs, Shared, advance, design, features_of, fit, hashed_fold, margins
+from textlens.operators.gradient_fit import (
+    Head, Heads, Lbfgs, Shared, advance, design, design_rows, features_of, fit, hashed_fold, margins, packed, target_margins,
+)
 from textlens.operators.modelling import text_features
 
 HISTORY = "run_id string, epoch bigint, loss double, dev_f1 double, dev_p double, dev_r double"
@@ -77,6 +79,17 @@ def text_design(
     )
 
 
+def text_blocks(
+    features: PipelineModel, rows: DataFrame, vector: str | None = "label_vec", weight: str | None = None, fold=None
+) -> DataFrame:
+    """The same rows packed for fits, without a stored table of rows."""
+    return packed(
+        design_rows(
+            features.transform(_texts(rows)), "features", targets_of(vector=vector), F.col(weight) if weight else None, fold
+        )
+    )
+
+
 # --- the focal and label objective ---------------------------------------------------
 
 
@@ -102,7 +115,7 @@ def train_focal(
     are left out; an empty table gives the starting model.
     """
     features = fit_features(rows, num_features)
-    table = text_design(features, rows, weight=weight)
+    table = text_blocks(features, rows, weight=weight)
     names = ("y", *[f"label_{k}" for k in range(width)])
     if rank:
         objective = Shared(num_features, width, rank, gamma, label_weight, reg, seed)
@@ -130,7 +143,7 @@ def train_svm(
     """Linear support vector machines (squared hinge) of (id, text, y) rows, one for each
     regularisation, in the same scans, and the duality gap that each ended with."""
     features = fit_features(rows, num_features)
-    table = text_design(features, rows, None, weight)
+    table = text_blocks(features, rows, None, weight)
     names = tuple(f"svm-{i}" for i in range(len(regs)))
     objective = Heads(tuple(Head(n, 0, reg=r, margin=True, gap=gap) for n, r in zip(names, regs)), num_features)
     states = fit(table, objective, steps)
@@ -148,7 +161,7 @@ def train_label_heads(
     """A logistic regression for each of `width` labels of (id, text, label_vec) rows, all in the
     same scans: their number does not depend on the number of labels."""
     features = fit_features(rows, num_features)
-    table = text_design(features, rows.withColumn("y", F.lit(0)), weight=weight)
+    table = text_blocks(features, rows.withColumn("y", F.lit(0)), weight=weight)
     names = tuple(f"label_{k}" for k in range(width))
     objective = Heads(tuple(Head(n, 1 + k, 0.0, reg) for k, n in enumerate(names)), num_features)
     states = fit(table, objective, steps)
@@ -168,7 +181,7 @@ def dev_figures(dev: DataFrame, weights: np.ndarray, names: Sequence[str], at: S
     `at` is the target of each head. All heads are scored in one pass and counted in one
     aggregation, which is a few numbers a head for each task.
     """
-    scored = margins(dev, weights, "targets")
+    scored = target_margins(dev, weights)
     cells = [
         F.struct(F.lit(n).alias("run_id"), (F.col("margins")[k] >= 0).alias("hit"), (F.col("targets")[t] > 0).alias("y"))
         for k, (n, t) in enumerate(zip(names, at))
@@ -249,6 +262,7 @@ def train_epochs(
     """
     spark, names = table.sparkSession, list(objective.names)
     first, runs = _load(spark, folder, names) if folder else (0, [])
+    table, dev = packed(table), packed(dev)
     runs = runs or [_Run(Lbfgs(objective.start(), tolerance=tolerance), objective.start(), []) for _ in names]
     for epoch in range(first + 1, epochs + 1):
         active = [k for k, run in enumerate(runs) if not run.ended]

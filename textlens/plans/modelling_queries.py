@@ -145,7 +145,7 @@ def _(spark, sf):
     features = training.fit_features(rows)
     runs = tuple(Head(f"run-{i}", 0, 2.0, reg) for i, reg in enumerate((0.0001, 0.001, 0.01)))
     table, dev = (
-        training.text_design(features, rows.where(part))
+        training.text_blocks(features, rows.where(part))
         for part in (hashed_fold(5) > 0, hashed_fold(5) == 0)
     )
     return training.train_epochs(table, dev, Heads(runs, 1 << 18), epochs=10, steps=3, patience=3).history
