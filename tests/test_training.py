@@ -208,6 +208,37 @@ def test_awkward_rows(spark):
     assert logits == {1: [8.5]}
 
 
+def test_blocks_hold_what_rows_hold(spark, table, monkeypatch):
+    """Rows without features, and one that is larger than a block; the sums are those of plain arrays."""
+    monkeypatch.setattr(gradient_fit, "PACK_VALUES", 4)
+    rows = table.collect()
+    assert any(not r.ix for r in rows) and any(len(r.ix) > 4 for r in rows)
+    blocks = gradient_fit.packed(table)
+    assert set(blocks.dtypes) == {(c, "binary") for c in blocks.columns} and gradient_fit.packed(blocks) is blocks
+    objective = Heads((Head("a", 0, 0.0), Head("b", 2, 0.0, left_out=1)), SIZE)
+    points = np.random.default_rng(5).normal(size=(2, SIZE + 1))
+    loss, gradient = gradient_sums(blocks, objective, points)
+    for k, head in enumerate(objective.heads):
+        total, sums = 0.0, np.zeros(SIZE + 1)
+        for r in rows:
+            w = 0.0 if r.fold == head.left_out else r.weight
+            z = points[k, r.ix] @ np.array(r.val) + points[k, -1] if r.ix else points[k, -1]
+            total += w * (np.logaddexp(0, z) - z * r.targets[head.target])
+            for i, v in [*zip(r.ix, r.val), (SIZE, 1.0)]:
+                sums[i] += w * (1 / (1 + np.exp(-z)) - r.targets[head.target]) * v
+        assert loss[k, 0] == pytest.approx(total) and np.allclose(gradient[k], sums)
+    margin = {tuple(r.targets): r.margins for r in gradient_fit.target_margins(blocks, points).collect()}
+    assert len(margin) > 1 and gradient_fit.target_margins(blocks, points).count() == len(rows)
+
+
+def test_a_vector_is_made_once(spark):
+    rows = spark.createDataFrame([(1, [0.0, 2.0], 1)], "id long, x array<double>, y int")
+    table = gradient_fit.design_rows(rows.withColumn("v", array_to_vector("x")), "v", training.targets_of(vector=None))
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("UDF(") == 1
+    assert [(r.ix, r.val) for r in table.collect()] == [([0, 1], [0.0, 2.0])]
+
+
 def test_text_models(spark):
     rng = random.Random(5)
     rows = []
