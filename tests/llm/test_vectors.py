@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from textlens.llm import topk_search
 from textlens.llm.topk_search import segment_bounds, top_k_products
 from textlens.llm.vector_neardup import near_duplicate_vectors, quantise, upper_bounds
 
@@ -102,3 +104,21 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert near_duplicate_vectors(none).count() == 0
     assert top_k_products(none, F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_block_with_more_candidates_than_a_step():
+    """A query's own row is left out in every step, also when a step finds queries of fewer rows."""
+    rng = np.random.default_rng(11)
+    n, k = 2 * topk_search._STEP + 300, 5
+    vectors = rng.integers(-64, 65, (n, 16))
+    asks = list(range(0, n, 70))
+    ids = [*asks, *range(n)]
+    block = pa.table({
+        "asks": [True] * len(asks) + [False] * n, "vec_id": pa.array(ids, pa.int64()), "row": pa.array(ids, pa.int64()),
+        "vector": pa.array(vectors[ids].tolist(), pa.list_(pa.int64())),
+    })
+    found = topk_search._block_best(k, (4, 8))(block).to_pylist()
+    scores = vectors @ vectors.T
+    for q in asks:
+        best = sorted(((-int(scores[q, j]), j) for j in range(n) if j != q))[:k]
+        assert sorted((-r["score"], r["vec_id"]) for r in found if r["query_row"] == q) == best

@@ -85,10 +85,10 @@ def _block_best(k: int, levels: tuple[int, ...]):
                     score[at] = np.einsum("ij,ij->i", q[i[at]], x[j[at]]).astype(np.int64)
                 good = score >= floor[i]
                 best = _keep_best(best, i[good], score[good], xid[j[good]], k)
-                rows, counts = np.unique(best[0], return_counts=True)
+                found, counts = np.unique(best[0], return_counts=True)
                 last = np.cumsum(counts) - 1
                 full = counts >= k
-                floor[rows[full]] = best[1][last[full]]
+                floor[found[full]] = best[1][last[full]]
             asked = (own[best[0]], qid[best[0]])
         return pa.table(
             {
