@@ -2,10 +2,13 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from textlens.llm import jaccard_join
 from textlens.llm.components import connected_components
 from textlens.llm.jaccard_join import boundary, jaccard_components, list_keys, overlap_needed
 from textlens.llm.shingles import fold, parities, shingle_sets
@@ -121,3 +124,17 @@ def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100)] + [(1000, 1000 + i) for i in range(200)] + [(7, 7), (None, 3)]
     got = dict(connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {**{i: 0 for i in range(1, 101)}, **{1000 + i: 1000 for i in range(1, 200)}}
+
+
+def test_counts_of_shingles_are_shuffled_a_part_at_a_time(docs, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "ADDED", 10)
+    texts = [None, "", "a b", "a b", *(f"x{i % 7} one two three four five six y{i}" for i in range(40))]
+    table = docs(texts).select(F.col("text").cast("binary").alias("text"))
+    counts = jaccard_join.shingle_counts(table, 45)
+    want = Counter(np.concatenate(list(shingle_sets([(t or "").encode() for t in texts]))).view(np.int64).tolist())
+    assert {r["shingle"]: r["count"] for r in counts.collect()} == want
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "hashpartitioning" in plan and ", 5)" in plan
+    # a task holds no table of all its shingles: none is aggregated below the shuffle
+    assert "Aggregate" not in plan[plan.rindex("Exchange"):]
+    assert "Aggregate" in plan

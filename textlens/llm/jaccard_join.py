@@ -32,6 +32,8 @@ from textlens.llm.shingles import fingerprints, fold, mix, parities, shingle_set
 
 #: Sets from which the frequent shingles are learned, and how many of these are kept.
 SAMPLE_SETS, FREQUENT = 100_000, 1_000_000
+#: Shingles that a task counts at a time before they are shuffled, and shuffled counts that a task adds up.
+COUNTED, ADDED = 1 << 18, 250_000
 #: What one entry of an inverted list costs, in subsets.
 LIST_COST = 16
 #: Pairs up to this number are sent to the texts, 24 bytes each; beyond, Spark joins as it sees fit.
@@ -96,10 +98,31 @@ def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _all_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows() -> pa.RecordBatch:
+        shingles, times = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(shingles.view(np.int64)), pa.array(times.astype(np.int64))], ["shingle", "times"])
+
+    held, size = [], 0
     for batch in text_slices(batches):
         sets = list(_sets(batch))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["shingle"])
+        held += sets
+        size += sum(map(len, sets))
+        if size >= COUNTED:
+            yield rows()
+            held, size = [], 0
+    if held:
+        yield rows()
+
+
+def shingle_counts(texts: DataFrame, expected: int) -> DataFrame:
+    """`shingle, count` over the sets of `text`; `expected` is about the sum of their sizes.
+
+    Few shingles repeat, so a task that counted all of its own would hold nearly all: it counts
+    some at a time, and what is shuffled is added up in as many parts as keep each small.
+    """
+    counted = texts.select("text").mapInArrow(_counted, "shingle long, times long")
+    return counted.repartition(1 + expected // ADDED, "shingle").groupBy("shingle").agg(F.sum("times").alias("count"))
 
 
 def _entries(frequent, small: int):
@@ -224,11 +247,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = store(
         shapes.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "one", "two").agg(F.min("doc_id").alias("node"), *[F.first(p).alias(p) for p in (*_BITS, "odd")]), "classes"
     )
-    sample = classes.select("node").where(uniform(F.lit("order"), "node") < SAMPLE_SETS / max(1, classes.count()))
+    sets, shingles = classes.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    share = SAMPLE_SETS / max(1, sets)
+    sample = classes.select("node").where(uniform(F.lit("order"), "node") < share)
+    sampled = texts.join(F.broadcast(store(sample.limit(2 * SAMPLE_SETS), "sample")), F.col("doc_id") == F.col("node"))
     common = (
-        texts.join(F.broadcast(store(sample.limit(2 * SAMPLE_SETS), "sample")), F.col("doc_id") == F.col("node"))
-        .select("text").mapInArrow(_all_shingles, "shingle long")
-        .groupBy("shingle").count().where("count > 2").orderBy(F.desc("count"), "shingle").limit(FREQUENT).toArrow()
+        shingle_counts(sampled, int(shingles * min(1.0, share)))
+        .where("count > 2").orderBy(F.desc("count"), "shingle").limit(FREQUENT).toArrow()
     )
     known, seen = common["shingle"].to_numpy().view(np.uint64), common["count"].to_numpy()
     order = np.argsort(known)
