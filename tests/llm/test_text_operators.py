@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models, pre_tokenizers
 
 from textlens.llm.common import held_out
 from textlens.llm.mixing import mix_sources, shard_quota, shuffled_shards, source_targets, with_size
@@ -118,6 +118,28 @@ def test_ids_of_random_strings():
     assert got == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_plain_texts_do_not_go_through_the_tokenizer(monkeypatch):
+    codes, asked = WordEndIds(PATH), []
+    real = codes._ids
+    monkeypatch.setattr(codes, "_ids", lambda texts: asked.extend(texts) or real(texts))
+    texts = ["One, two: dr\u00f6lf!", "one\ttwo", "One <|endoftext|> two", "Qu\u00e9, 12\u20ac..."]
+    want = [e.ids for e in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(b, "<u4").tolist() for b in codes.encode(texts)] == want
+    assert asked == texts[1:3]
+
+
+def test_vocabulary_that_does_not_spell_bytes(tmp_path):
+    model = models.BPE({"d": 0, "r": 1, "\u00f6</w>": 2, "d</w>": 3, "?": 4}, [], unk_token="?", end_of_word_suffix="</w>")
+    for name, cutter in (("pattern", pre_tokenizers.Whitespace()), ("none", None)):
+        tokenizer = Tokenizer(model)
+        if cutter:
+            tokenizer.pre_tokenizer = cutter
+        tokenizer.save(path := str(tmp_path / name))
+        texts = ["dr\u00f6 rd", "d, d"]
+        want = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert [np.frombuffer(b, "<u4").tolist() for b in WordEndIds(path).encode(texts)] == want
+
+
 # --- mixing --------------------------------------------------------------------------
 
 

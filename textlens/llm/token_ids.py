@@ -1,12 +1,14 @@
 """Ids of whole texts by a vocabulary file of `tokenizers`, with the ids of a word worked out once.
 
 In a text of Western European letters, digits and signs there is no doubt where a vocabulary's
-word pattern cuts, so that it can be cut here and the tokenizer is only asked for words it has
-not seen yet, many at once. Any other text goes through the tokenizer whole.
+word pattern cuts, so that it can be cut here and the tokenizer's model is only asked for words
+it has not seen yet; its normalizer and pattern would leave them as they are. Any other text
+goes through the tokenizer whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -17,10 +19,28 @@ import numpy as np
 REMEMBERED, LONGEST = 200_000, 48
 _LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 _SIGNS = "!-/:-@\\[-`{-~¡§«°»¿–—‘-„…€"
+#: How byte-level vocabularies spell the bytes that cannot be seen (fixed value).
+_SPELT = {b: 256 + n for n, b in enumerate([*range(33), *range(127, 161), 173])}
 _PLAIN = re.compile(f"[ \n0-9{_LETTERS}{_SIGNS}]*")
 _OF_WORKER: dict[tuple[type, str], TextIds] = {}
 
 
+class _Words(dict):
+    """Ids of words, worked out when a word is first asked for."""
+
+    def __init__(self, model, before: dict[str, bytes]):
+        self.model, self.before = model, before
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.before.get(word)
+        if ids is None:
+            found = self.model.tokenize(word.encode().decode("latin-1").translate(_SPELT))
+            ids = b"".join([t.id.to_bytes(4, "little") for t in found])
+        if len(word) <= LONGEST:
+            self[word] = ids
+        return ids
+
+
 class TextIds:
     """Ids of texts as little-endian 32-bit integers."""
 
@@ -31,9 +51,12 @@ class TextIds:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark already keeps every core busy
         self.tokenizer = Tokenizer.from_file(path)
+        cutter = self.tokenizer.pre_tokenizer
+        steps = json.loads(cutter.__getstate__()) if cutter else {"type": None}
+        #: Whether the model is given the bytes of words; if not, all texts are encoded whole.
+        self.by_bytes = steps.get("pretokenizers", [steps])[-1]["type"] == "ByteLevel"
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
+        self.known = _Words(self.tokenizer.model, {})
 
     @classmethod
     def of_worker(cls, path: str) -> TextIds:
@@ -46,47 +69,18 @@ class TextIds:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(f.ids, "<u4") for f in found]
 
-    def _marked(self, mark) -> np.ndarray:
-        """Which ids have a token that `mark` accepts."""
-        tokens = self.tokenizer.get_vocab()
-        out = np.zeros(max(tokens.values()) + 1, bool)
-        out[[i for token, i in tokens.items() if mark(token)]] = True
-        return out
-
     def _cut(self, text: str) -> list[str]:
         return self.words.findall(text)
 
-    def _learn(self, words: list[str]) -> None:
-        raise NotImplementedError
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """Texts that quote a control token, or with other characters, are encoded whole."""
-        plain = [bool(_PLAIN.fullmatch(t)) and not any(s in t for s in self.special) for t in texts]
+        plain = [self.by_bytes and bool(_PLAIN.fullmatch(t)) and not any(s in t for s in self.special) for t in texts]
         whole = iter(self._ids([t for t, p in zip(texts, plain) if not p]))
-        words = [self._cut(t) if p else None for t, p in zip(texts, plain)]
         if len(self.known) > REMEMBERED:  # words that do not come back are forgotten next time
-            self.before, self.known = self.known, {}
-        known, before, new = self.known, self.before, set()
-        found = [None if ws is None else list(map(known.get, ws)) for ws in words]
-        for ws, ids in zip(words, found):
-            if ids and None in ids:
-                new.update([w for w, i in zip(ws, ids) if i is None])
-        known.update((w, before[w]) for w in new if w in before)
-        self._learn([w for w in new if w not in known])
-        out = []
-        for ws, ids in zip(words, found):
-            if ids is None:
-                out.append(next(whole).tobytes())
-            else:
-                out.append(b"".join([known[w] if i is None else i for w, i in zip(ws, ids)] if None in ids else ids))
-        for word in new:
-            if len(word) > LONGEST:
-                del known[word]
-        return out
-
-    def _split(self, words: list[str], ids: np.ndarray, starts: np.ndarray) -> None:
-        raw, at = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
-        self.known.update((w, raw[a:b]) for w, a, b in zip(words, at, at[1:]))
+            self.known.before = {}
+            self.known = _Words(self.known.model, self.known)
+        ids = self.known.__getitem__
+        return [b"".join(map(ids, self._cut(t))) if p else next(whole).tobytes() for t, p in zip(texts, plain)]
 
 
 class ByteLevelIds(TextIds):
@@ -95,19 +89,6 @@ class ByteLevelIds(TextIds):
     #: The word pattern of byte-level vocabularies (fixed value), for plain texts.
     words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[{_SIGNS}]+|[ \n]+(?![^ \n])|[ \n]+")
 
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.blank = self._marked(lambda token: token.startswith("Ġ"))
-
-    def _learn(self, words: list[str]) -> None:
-        """Words that begin with a blank: an id that begins with one then begins a word."""
-        led = [w for w in words if w[0] == " " and w.strip(" \n")]
-        bare = [w for w in words if w[0] != " " or not w.strip(" \n")]
-        self.known.update((w, ids.tobytes()) for w, ids in zip(bare, self._ids(bare)))
-        for k in range(0, len(led), 4000):
-            (ids,) = self._ids(["".join(led[k : k + 4000])])
-            self._split(led[k : k + 4000], ids, np.flatnonzero(self.blank[ids]))
-
 
 class WordEndIds(TextIds):
     """For vocabularies that drop white space, lower the case and mark the end of a word."""
@@ -115,14 +96,5 @@ class WordEndIds(TextIds):
     #: The word pattern of such vocabularies (fixed value), for plain texts in lower case.
     words = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}ⱥⱦ]+|[0-9]|[{_SIGNS}]+")
 
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.end = self._marked(lambda token: token.endswith("</w>"))
-
     def _cut(self, text: str) -> list[str]:
         return self.words.findall(text.lower())
-
-    def _learn(self, words: list[str]) -> None:
-        for k in range(0, len(words), 4000):
-            (ids,) = self._ids([" ".join(words[k : k + 4000])])
-            self._split(words[k : k + 4000], ids, np.append(0, np.flatnonzero(self.end[ids])[:-1] + 1))
