@@ -86,6 +86,16 @@ def test_words_are_forgotten(tokenizer, monkeypatch):
     assert "x" * 100 not in encoder.known
 
 
+def test_plain_texts_do_not_go_through_the_tokenizer(tokenizer, monkeypatch):
+    encoder, asked = token_ids.ByteLevelIds(PATH), []
+    real = encoder._ids
+    monkeypatch.setattr(encoder, "_ids", lambda texts: asked.extend(texts) or real(texts))
+    texts = ["One, two:  dr\u00f6lf!\n\n 12", "one\ttwo", "One <|endoftext|> two", " Qu\u00e9's\u20ac... "]
+    got = [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)]
+    assert got == [ids_of(tokenizer, t)[:-1] for t in texts]
+    assert asked == texts[1:3]
+
+
 def check(rows, texts, tokenizer, size):
     """`rows` are a right packing of (id, text) pairs; returns the number of sequences."""
     wanted = sorted((k is not None, k or 0, len(ids_of(tokenizer, t)), zlib.crc32(np.array(ids_of(tokenizer, t), "<u4").tobytes())) for k, t in texts)
