@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textlens.llm import span_arrays
-from textlens.llm.pii_spans import find_personal_data, redact
+from textlens.llm.pii_spans import find_personal_data, redact, with_candidates
 from textlens.llm.span_arrays import chunks, clear_of, piece, running
 
 SPANS = "array<struct<kind: int, start: int, end: int>>"
@@ -77,3 +77,16 @@ def test_text_with_very_many_spans(spark, docs):
     (hidden,) = find_personal_data(docs([texts[20_000]])).select(redact(F.lit(texts[20_000]), F.col("spans")).alias("t")).collect()
     assert hidden.t.count("<EMAIL>") == hidden.t.count("<IP>") == 10_000 and "@" not in hidden.t
     print(took)
+
+
+def test_the_driver_computes_no_lower_case(spark):
+    df = spark.createDataFrame([("Ab" * 9, 2, 4)], "t string, a int, b int").repartition(1)
+    low = df.select(F.lower(piece(chunks(F.col("t")), F.col("a"), F.col("b"))).alias("p"))
+    assert "THEN lower(" not in low._jdf.queryExecution().optimizedPlan().toString()
+    assert low.first().p == "ab"
+
+
+def test_candidates_are_a_plan_of_few_steps(docs):
+    found = with_candidates(docs(["mail a@b.example.org, +49 30 1234567 or a (at) b (dot) org", "", None]))
+    assert found._jdf.queryExecution().analyzed().toString().count("Project [") <= 8
+    assert [(len(r.pii_base), len(r.pii_more)) for r in found.collect()] == [(2, 2), (0, 0), (0, 0)]

@@ -57,16 +57,16 @@ LABELERS = ("form", "check", "gazetteer", "context", "around", "variety")
 _SPAN = "struct<kind:int,start:int,end:int,m:string,base:boolean>"
 
 
-def _positions(kind: int, base: bool, matches: Column, gaps: Column) -> Column:
-    """Spans of the matches, in code points."""
+def _positions(found: Column) -> Column:
+    """Spans of the matches `m` of one pattern, in code points."""
     spans = F.zip_with(
-        match_starts(gaps, matches),
-        matches,
+        match_starts(found["gaps"], found["m"]),
+        found["m"],
         lambda at, m: F.struct(
-            F.lit(kind).alias("kind"), at.alias("start"), (at + F.length(m)).alias("end"), m.alias("m"), F.lit(base).alias("base")
+            found["kind"].alias("kind"), at.alias("start"), (at + F.length(m)).alias("end"), m.alias("m"), found["base"].alias("base")
         ),
     )
-    return F.when(F.size(matches) > 0, spans).otherwise(F.array()).cast(f"array<{_SPAN}>")
+    return F.when(F.size(found["m"]) > 0, spans).otherwise(F.array()).cast(f"array<{_SPAN}>")
 
 
 def digits(value: Column) -> Column:
@@ -142,38 +142,37 @@ def with_candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     docs = docs.drop(*[c for c in docs.columns if c.startswith("pii_") and c != text_col])
     df = docs.withColumn("pii_text", F.coalesce(F.col(text_col), F.lit("")))
-    names = []
+    matches, found = {}, []
     for k, kind in enumerate(KINDS):
         for base, pattern in ((True, BASE[kind]), (False, LOOSE[kind])):
             name = f"pii_{'base' if base else 'loose'}_{kind}"
-            found = F.regexp_extract_all("pii_text", F.lit(pattern), F.lit(0))
+            values = F.regexp_extract_all("pii_text", F.lit(pattern), F.lit(0))
             if kind == "email" and base:
-                found = F.when(F.contains("pii_text", F.lit("@")), found).otherwise(F.array().cast("array<string>"))
+                values = F.when(F.contains("pii_text", F.lit("@")), values).otherwise(F.array().cast("array<string>"))
             if not base:
-                found = F.when(F.col("pii_text").rlike(_HINTS[kind]), found).otherwise(F.array().cast("array<string>"))
-            df = df.withColumn(f"{name}_m", found)
-            df = df.withColumn(f"{name}_g", F.when(F.size(f"{name}_m") > 0, F.split("pii_text", pattern, -1)))
-            df = df.withColumn(name, _positions(k, base, F.col(f"{name}_m"), F.col(f"{name}_g"))).drop(f"{name}_m", f"{name}_g")
-            names.append((k, base, name))
+                values = F.when(F.col("pii_text").rlike(_HINTS[kind]), values).otherwise(F.array().cast("array<string>"))
+            matches[name] = values
+            gaps = F.when(F.size(name) > 0, F.split("pii_text", pattern, -1))
+            found.append(F.struct(F.lit(k).alias("kind"), F.lit(base).alias("base"), F.col(name).alias("m"), gaps.alias("gaps")))
+    # What follows is written once for the spans of all kinds: planning takes the driver's memory for every expression.
+    df = df.withColumns(matches).withColumn("pii_spans", F.flatten(F.transform(F.array(*found), _positions)))
 
-    def passes(k: int):
-        return lambda s: valid(k, s["m"])
+    def passes(s: Column) -> Column:
+        return _by_kind(s, lambda k: valid(k, s["m"]))
 
-    def fails(k: int):
-        return lambda s: ~valid(k, s["m"]) & F.length(s["m"]).between(13, 40)
-
-    passed = F.concat(*[F.filter(name, passes(k)) for k, base, name in names if base])
     # What failed its check is a candidate still, if long enough; so are the loose matches.
-    others = [F.filter(name, fails(k)) if base else F.col(name) for k, base, name in names if not base or KINDS[k] != "email"]
-    df = df.withColumn("pii_passed", passed).withColumn("pii_others", F.concat(*others)).drop(*[n for _, _, n in names])
-
-    def voted(spans: str) -> Column:
-        def of(cut: Column) -> Column:
-            return F.transform(spans, lambda s: _votes(cut, s))
-
-        return let(F.when(F.size(spans) > 0, chunks(F.col("pii_text"))), of)
-
-    return df.withColumns({"pii_base": voted("pii_passed"), "pii_more": voted("pii_others")}).drop("pii_text", "pii_passed", "pii_others")
+    df = df.withColumns({
+        "pii_passed": F.filter("pii_spans", lambda s: s["base"] & passes(s)),
+        "pii_others": F.filter("pii_spans", lambda s: ~s["base"] | (~passes(s) & F.length(s["m"]).between(13, 40))),
+    })
+
+    def voted(cut: Column) -> Column:
+        return F.transform(F.array("pii_passed", "pii_others"), lambda spans: F.transform(spans, lambda s: _votes(cut, s)))
+
+    cut = F.when(F.size("pii_passed") + F.size("pii_others") > 0, chunks(F.col("pii_text")))
+    df = df.withColumn("pii_voted", let(cut, voted))
+    df = df.withColumns({"pii_base": F.col("pii_voted")[0], "pii_more": F.col("pii_voted")[1]})
+    return df.drop("pii_text", *matches, "pii_spans", "pii_passed", "pii_others", "pii_voted")
 
 
 def estimate_reliabilities(patterns: Sequence[dict], rounds: int = 50) -> dict:

@@ -47,14 +47,19 @@ def chunks(text: Column) -> Column:
 
 
 def piece(cut: Column, start: Column, end: Column) -> Column:
-    """Code points from `start` to before `end` of a text in chunks."""
+    """Code points from `start` to before `end` of a text in chunks.
+
+    No part is a literal: the optimizer would push `lower` onto it and compute that in the driver, where
+    the first use of `lower` makes Spark's table of letter cases of all code points.
+    """
 
     def part(k: Column) -> Column:
         skip = F.greatest(start - k * CHUNK, F.lit(0))
         return F.substring(F.get(cut, k), skip + 1, F.least(end - k * CHUNK, F.lit(CHUNK)) - skip)
 
     first, last = F.floor(start / CHUNK).cast("int"), F.floor((end - 1) / CHUNK).cast("int")
-    return F.when(end > start, F.array_join(F.transform(F.sequence(first, last), part), "")).otherwise("")
+    chosen = F.when(end > start, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+    return F.array_join(F.transform(chosen, part), "")
 
 
 def match_starts(gaps: Column, matches: Column) -> Column:
